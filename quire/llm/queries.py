@@ -14,8 +14,25 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, percent=80)
 
 
+def op2_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, bit-packed into files and read back."""
+    from quire.llm.tokenbin import read_digests, write_tokens
+    from quire.llm.tokens import public_tokenizer
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_digests(write_tokens(docs, public_tokenizer("byte_bpe_50k.json"), end_id=0))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    from quire.llm.packing import pack
+    from quire.llm.tokens import public_tokenizer
+
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizer("word_bpe_49k.json"), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_bin, op3_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
