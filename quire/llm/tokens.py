@@ -19,6 +19,8 @@ CACHE_ENTRIES = 300_000
 
 #: Characters on which regex engines disagree whether they are white space.
 _ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+#: Pieces with characters beyond this go through the library: classes of later ones differ between Unicode versions.
+LATIN = "\u024f"
 _PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 #: The published pre-tokenisation patterns of the two builds (fixed values).
@@ -58,9 +60,9 @@ class _Pre(dict):
 class _Pieces(dict):
     """Ids of a piece between spaces."""
 
-    def __init__(self, pre: _Pre, find, prefix: str, strict: bool, normal=None):
+    def __init__(self, pre: _Pre, whole, find, prefix: str, strict: bool, normal=None):
         super().__init__()
-        self.pre, self.find, self.prefix, self.strict, self.normal = pre, find, prefix, strict, normal
+        self.pre, self.whole, self.find, self.prefix, self.strict, self.normal = pre, whole, find, prefix, strict, normal
 
     def __missing__(self, piece: str) -> bytes:
         if self.strict and (not piece or piece[0].isspace() or piece[-1].isspace()) or _ODD.search(piece):
@@ -68,8 +70,10 @@ class _Pieces(dict):
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         text = self.normal(piece) if self.normal else self.prefix + piece
-        found = self.find(text)
-        out = self[piece] = b"".join([self.pre[x] for x in found])
+        if text and max(text) > LATIN:
+            out = self[piece] = self.whole(self.prefix + piece)
+        else:
+            out = self[piece] = b"".join([self.pre[x] for x in self.find(text)])
         return out
 
 
@@ -96,13 +100,13 @@ class Encoder:
         model = _Pre(self.tokenizer.model)
         if plain_model and not added and pre.get("type") == "ByteLevel" and not normal and not pre.get("add_prefix_space") and pre.get("use_regex", True):
             self.kind, find = "byte", regex.compile(BYTE_PATTERN).findall
-            self.head = _Pieces(model, find, "", False)
-            self.rest = _Pieces(model, find, " ", True)
-            self.loose = _Pieces(model, find, " ", False)
+            self.head = _Pieces(model, self.whole, find, "", False)
+            self.rest = _Pieces(model, self.whole, find, " ", True)
+            self.loose = _Pieces(model, self.whole, find, " ", False)
         elif plain_model and not added and parts == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["pattern"].get("Regex") == WORD_PATTERN:
             self.kind, find = "word", regex.compile(WORD_PATTERN).findall
             normalise = self.tokenizer.normalizer.normalize_str
-            self.rest = _Pieces(model, find, "", False, lambda s: s.lower() if s.isascii() else normalise(s))
+            self.rest = _Pieces(model, self.whole, find, "", False, lambda s: s.lower() if s.isascii() else normalise(s))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -121,6 +125,10 @@ class Encoder:
                 return self.head[pieces[0]] + b"".join(map(self.loose.__getitem__, pieces[1:]))
         except _Odd:
             pass
+        return self.whole(text)
+
+    def whole(self, text: str) -> bytes:
+        """Ids by the library's encode()."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
