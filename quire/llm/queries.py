@@ -31,8 +31,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives, equal payloads as revisits, and read back."""
+    from quire.llm.warc import page_digests, write_warc
+    from quire.session import work_path
+
+    folder = work_path(spark, "warc")
+    files = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return page_digests(spark, folder, files)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_bin, op3_packing)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_bin, op3_packing, op5_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
