@@ -41,9 +41,56 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_digests(spark, folder, files)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts for all documents; the host is the source."""
+    from quire.llm.quality import quality
+
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed: weights 3, 1, 2 over the sources, 150% of all words, at most twice each."""
+    from pyspark.sql import functions as F
+
+    from quire.llm.mixing import mix
+
+    rows = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_bin, op3_packing, op5_warc)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_bin, op3_packing, op5_warc, op7_quality_rules, op9_mixing)}
+
+
+OP9_SQL = """
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents),
+d2 as (select *, cast(floor(log2(cast(greatest(size, 1) as double))) as integer) as lvl from d),
+src as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+w as (select *, row_number() over (order by source nulls last) - 1 as place from src),
+w2 as (select *, cast([3, 1, 2][place % 3 + 1] as double) as weight, cast(source_size * 2 as double) as most from w),
+w3 as (select *,
+  coalesce(sum(most) over (order by most / weight, place rows between unbounded preceding and 1 preceding), 0) as full_words,
+  sum(weight) over (order by most / weight, place rows between current row and unbounded following) as open_weight,
+  sum(source_size) over () * 150 / 100.0 as budget from w2),
+w4 as (select *, (budget - full_words) / open_weight as lev from w3),
+w5 as (select *, (select lev from w4 x where x.most >= x.lev * x.weight order by x.most / x.weight, x.place limit 1) as level from w4),
+t as (select source, source_size, least(most, coalesce(level * weight, most)) as target from w5),
+c as (select source, lvl, ceil(count(*) / 4096) as parts from d2 group by source, lvl),
+r as (
+  select d2.*, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate,
+    md5('11|' || coalesce(cast(d2.doc_id as varchar), '') || '|' || d2.size) as ord,
+    cast(floor(cast(('0x' || substr(md5('11|' || coalesce(cast(d2.doc_id as varchar), '') || '|part'), 1, 12))::bigint as double) / 281474976710656.0 * c.parts) as bigint) as part
+  from d2 join t on d2.source is not distinct from t.source join c on d2.source is not distinct from c.source and d2.lvl = c.lvl),
+k as (
+  select *, rate - floor(rate) as share, row_number() over (partition by source, lvl, part order by ord) as k,
+    cast(('0x' || substr(md5('11|' || coalesce(source, '') || '|' || lvl || '|' || part), 1, 12))::bigint as double) / 281474976710656.0 as shift
+  from r)
+select doc_id, size, source_size, target,
+  cast(size * (floor(rate) + floor(k * share + shift) - floor((k - 1) * share + shift)) as bigint) as taken
+from k
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": OP9_SQL}
