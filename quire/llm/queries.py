@@ -58,8 +58,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95."""
+    from quire.llm.embed import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_bin, op3_packing, op5_warc, op7_quality_rules, op9_mixing)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_bin, op3_packing, op5_warc, op7_quality_rules, op9_mixing, op10_embedding_near_dedup)}
 
 
 OP9_SQL = """
