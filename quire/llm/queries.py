@@ -31,6 +31,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; a quarter, chosen by doc_id, is held out of the training."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from quire.llm.langid import identify, learn, vocabulary
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = learn(docs.filter(~held_out), vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives, equal payloads as revisits, and read back."""
     from quire.llm.warc import page_digests, write_warc
@@ -66,7 +79,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_bin, op3_packing, op5_warc, op7_quality_rules, op9_mixing, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_bin, op3_packing, op4_language_id, op5_warc, op7_quality_rules, op9_mixing, op10_embedding_near_dedup)}
 
 
 OP9_SQL = """
