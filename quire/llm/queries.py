@@ -54,6 +54,24 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_digests(spark, folder, files)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents, one row a match."""
+    from quire.llm.licenses import scan
+
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as transcripts, parsed back into turns: roles and digests of texts and renderings."""
+    from pyspark.sql import functions as F
+
+    from quire.llm.chat import learn, parse, transcripts
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = parse(transcripts(turns), learn(turns))
+    return found.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"), F.md5("rendered").alias("rendered_md5"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts for all documents; the host is the source."""
     from quire.llm.quality import quality
@@ -79,7 +97,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_bin, op3_packing, op4_language_id, op5_warc, op7_quality_rules, op9_mixing, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_bin, op3_packing, op4_language_id, op5_warc, op6_license_scan, op7_quality_rules, op8_chat_format, op9_mixing, op10_embedding_near_dedup)}
 
 
 OP9_SQL = """
@@ -112,5 +130,11 @@ from k
 """
 
 
+OP8_SQL = """
+select conv_id, turn, role, md5(text) as text_md5, md5('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10)) as rendered_md5
+from conversations
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9_SQL}
+    return {"op8_chat_format": OP8_SQL, "op9_mixing": OP9_SQL}

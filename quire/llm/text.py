@@ -60,13 +60,13 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa
 class Words:
     """The words of a slice of texts: bounds in the bytes, row of each, first word of each row."""
 
-    def __init__(self, column: pa.Array, lower: bool = True):
+    def __init__(self, column: pa.Array, lower: bool = True, table: np.ndarray | None = None):
         data, bounds = utf8(column)
         base, end = int(bounds[0]), int(bounds[-1])
         raw = data[base:end]
         self.bounds = bounds - base
         self.rows = len(column)
-        self.bytes = _LOWER[raw] if lower else raw
+        self.bytes = table[raw] if table is not None else _LOWER[raw] if lower else raw
         n = len(self.bytes)
         word = ~_IS_SPACE[self.bytes]
         edge = np.zeros(n + 1, bool)
@@ -127,9 +127,3 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
             else:
                 out.append(windows(h[a:b], b - a) if b > a else h[:0])
     return out
-
-
-def has_letter_pattern():
-    import regex
-
-    return regex.compile(r"\p{L}")
