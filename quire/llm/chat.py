@@ -2,7 +2,7 @@
 
 States are (role, first line of a turn or later line). A line emits a speaker marker class and a
 line class; Viterbi finds the likeliest states of a transcript's lines, and turns are rendered in
-one canonical form. Transitions and emissions are relative frequencies, with additive smoothing, of
+one canonical form. Transitions and emissions are relative frequencies, with an even share for what was never seen, of
 transcripts made from a bounded sample of conversations with known roles.
 """
 
@@ -58,12 +58,12 @@ def transcript(turns: list[tuple[str, str]], style: int) -> str:
 class Hmm:
     """Log probabilities of starts, transitions and emissions."""
 
-    def __init__(self, smooth: float = 0.1):
+    def __init__(self):
         n = len(_STATES)
-        self.start = [smooth] * n
-        self.move = [[smooth] * n for _ in range(n)]
-        self.mark = [[smooth] * len(_MARKS) for _ in range(n)]
-        self.shape = [[smooth] * len(_SHAPES) for _ in range(n)]
+        self.start = [0.0] * n
+        self.move = [[0.0] * n for _ in range(n)]
+        self.mark = [[0.0] * len(_MARKS) for _ in range(n)]
+        self.shape = [[0.0] * len(_SHAPES) for _ in range(n)]
 
     def learn(self, turns: list[tuple[str, str]], style: int) -> None:
         """Count one transcript with known roles."""
@@ -82,16 +82,17 @@ class Hmm:
 
     def fixed(self) -> "Hmm":
         """Counts as log probabilities; a later line only follows a line of its own role."""
-        for p, (_, first) in zip(range(len(_STATES)), _STATES):
-            if not first:
-                self.start[p] = 0.0
-        for i, (role, _) in enumerate(_STATES):
-            for j, (to, first) in enumerate(_STATES):
-                if not first and to != role:
-                    self.move[i][j] = 0.0
-        log = lambda row: [math.log(x / sum(row)) if x else -math.inf for x in row]
-        self.start = log(self.start)
-        self.move, self.mark, self.shape = ([log(r) for r in m] for m in (self.move, self.mark, self.shape))
+
+        def log(counts, allowed=None, rest=1e-3):
+            # a small share is spread evenly: what was never seen is as unlikely in every state
+            allowed = allowed or [True] * len(counts)
+            total, n = sum(counts), sum(allowed)
+            return [math.log(((1 - rest) * c / total if total else (1 - rest) / n) + rest / n) if ok else -math.inf for c, ok in zip(counts, allowed)]
+
+        self.start = log(self.start, [first for _, first in _STATES])
+        self.move = [log(row, [first or to == role for to, first in _STATES]) for row, (role, _) in zip(self.move, _STATES)]
+        self.mark = [log(r, rest=1e-6) for r in self.mark]  # a marker outweighs the order of roles
+        self.shape = [log(r) for r in self.shape]
         return self
 
     def viterbi(self, seen: list[tuple[str, str]]) -> list[tuple[str, bool]]:
