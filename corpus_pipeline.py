@@ -1,15 +1,62 @@
-"""The corpus pipeline: stages that each take and return a table of documents."""
+"""The corpus pipeline: stages that each take all that the stage before kept.
+
+A stage is called with (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet
+and reads again as the docs of the next. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.llm import langid, minhash, mixing, packing, quality
+from quire.llm.tokens import public_tokenizer
+from quire.session import work_path
+
+#: Documents whose predicted language gets a smaller share than this are rejected.
+LEAST_SCORE = 0.5
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and aren't depleted by boilerplate lines."""
+    return quality.passing(docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; those without letters and doubtful ones go."""
+    model = langid.learn(docs, langid.vocabulary(public_tokenizer("piece_bpe_32k.model")))
+    found = langid.tagged(docs, model)
+    return found.filter((found["lang_pred"] != langid.UNKNOWN) & (found["score"] >= LEAST_SCORE)).select(*docs.columns)
+
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies."""
+    return minhash.deduplicated(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources take them."""
+    return mixing.mixed(docs)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 tokens."""
+    return packing.pack(docs, public_tokenizer("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("source_mix", source_mix),
+    ("sequence_packing", sequence_packing),
+]
+
+#: Language models, min-max hashing and token ids aren't SQL; tests/llm/test_pipeline.py holds each stage against brute force.
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    """All stages over documents, each written and read again."""
-    from quire.session import work_path
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = work_path(spark, f"pipeline-{name}")

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quire.llm.text import Words, mix64, slices
 from quire.session import ship
@@ -249,13 +250,12 @@ def learn(docs: DataFrame, pieces: list[bytes], lang: str = "lang", per_language
     return fit(counts, pieces)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of each row of docs (doc_id, text), from the whole text alone.
+def tagged(docs: DataFrame, model: Model) -> DataFrame:
+    """docs (text, ...) with lang_pred and score, from the whole text alone; columns of these names are replaced.
 
     lang_pred is `und` with score 0 if the text is null or has no letter, or if the model has learned no language.
     score is the share of the predicted language among all when each gets the geometric mean likelihood of a word. Ties
-    go to the first language by name. Rows that repeat a doc_id are predicted each for itself; an empty
-    table gives no rows.
+    go to the first language by name. Each row is predicted for itself; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     names = np.array([*model.languages, UNKNOWN], object)
@@ -275,6 +275,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     share /= share.sum(1, keepdims=True)
                     pred = np.where(lettered, share.argmax(1), pred)
                     score = np.where(lettered, share.max(1), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(names[pred].tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(names[pred].tolist(), pa.string()), pa.array(score)], ["r", "lang_pred", "score"])
+
+    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(F.struct(*own).alias("r"), F.col("text").cast("string"))
+    out = StructType([rows.schema["r"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, out).select("r.*", "lang_pred", "score")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score of each row of docs (doc_id, text); see tagged()."""
+    return tagged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "lang_pred", "score")

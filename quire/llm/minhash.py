@@ -224,3 +224,15 @@ def near_duplicates(
     out = sig.select("doc_id", "n_shingles", "digest").join(part, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def deduplicated(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) without near-copies: of each component the document of the smallest doc_id.
+
+    Rows without doc_id are known by a hash of their text; of rows that repeat both id and text one stays.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), -(F.shiftrightunsigned(F.xxhash64("text"), 2)) - 1)
+    keyed = docs.withColumn("md_key", key)
+    kept = near_duplicates(keyed.select(F.col("md_key").alias("doc_id"), "text"), **settings).filter("kept").select(F.col("doc_id").alias("md_key")).distinct()
+    rows = keyed.join(kept, "md_key", "left_semi").withColumn("md_text", F.xxhash64("text"))
+    return rows.dropDuplicates(["md_key", "md_text"]).select(*docs.columns)

@@ -21,7 +21,7 @@ from quire.session import cut, ship
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
-_FACTS = "row long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, fingerprint long, lines array<struct<line:long,words:long>>"
+_FACTS = "row long, text_key long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, fingerprint long, lines array<struct<line:long,words:long>>"
 
 
 def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def line_facts(docs: DataFrame, host: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, hosts, texts, rows = (batch.column(i) for i in range(4))
+            ids, hosts, texts, rows, keys = (batch.column(i) for i in range(5))
             for at, part in slices(texts):
                 w, chars, symbols, dups, repeats, row, line, words = _facts(part)
                 order = np.lexsort((line, row))
@@ -139,13 +139,13 @@ def line_facts(docs: DataFrame, host: str) -> DataFrame:
                 fingerprint[has] = line[offsets[:-1][has]]  # sorted: the smallest
                 lines = pa.StructArray.from_arrays([pa.array(line), pa.array(total.astype(np.int64))], ["line", "words"])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.slice(at, w.rows), ids.slice(at, w.rows), hosts.slice(at, w.rows)]
+                    [rows.slice(at, w.rows), keys.slice(at, w.rows), ids.slice(at, w.rows), hosts.slice(at, w.rows)]
                     + [pa.array(np.asarray(x, np.int64)) for x in (w.counts, chars, symbols, dups, repeats, fingerprint)]
                     + [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), lines)],
-                    ["row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fingerprint", "lines"],
+                    ["row", "text_key", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fingerprint", "lines"],
                 )
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
     return source.mapInArrow(run, _FACTS)
 
 
@@ -153,7 +153,7 @@ def quality(docs: DataFrame, host: str = "source", share: int = 5, least: int =
     """Counts and verdict for each row of docs (doc_id, text, and the host's column).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and
-    boilerplate_words. base_failed: fewer than `least_words` words, or more than `most_repeated` percent of
+    boilerplate_words, host and text_key (hash of the text). base_failed: fewer than `least_words` words, or more than `most_repeated` percent of
     the words in repeated 3-word windows. kept: not base_failed, and at least `keep` percent of the words outside
     of boilerplate lines. Null and empty texts have no words and fail; rows that repeat a doc_id are
     judged each for itself; rows without a host share one; an empty table gives no rows. Lines are counted
@@ -169,8 +169,20 @@ def quality(docs: DataFrame, host: str = "source", share: int = 5, least: int =
     common = cut(common)
     # a host has fewer than 100 / share times its mean lines a text of such lines; Spark broadcasts them if they are few
     lost = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("boilerplate_words"))
-    out = facts.drop("lines", "host").join(lost, "row", "left").withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)))
+    out = facts.drop("lines").join(lost, "row", "left").withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("boilerplate_words")) >= keep * F.col("n_words"))
-    return out.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate_words")
+    return out.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate_words", "host", "text_key")
+
+
+def passing(docs: DataFrame, host: str = "source", **settings) -> DataFrame:
+    """The rows of docs that quality() keeps, with their columns. The verdict hangs on host and text, so these find the rejected rows."""
+    verdict = quality(docs, host, **settings).filter("not kept").select("doc_id", "host", "text_key").distinct()
+    verdict = verdict.toDF("qr_id", "qr_host", "qr_key")
+    same = (
+        F.col("doc_id").cast("long").eqNullSafe(F.col("qr_id"))
+        & (F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("qr_host"))
+        & (F.xxhash64(F.col("text").cast("string")) == F.col("qr_key"))
+    )
+    return docs.join(verdict, same, "left_anti")
