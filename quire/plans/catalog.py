@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
+
+_PARTS = ("window_queries", "join_queries")
+
+
+def _parts():
+    return [importlib.import_module(f"quire.plans.{p}") for p in _PARTS]
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for p in _parts() for k, f in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for p in _parts() for k, s in p.SQL.items()}

@@ -23,6 +23,7 @@ def local_session(name: str = "quire", cores: int | str = "*", **conf) -> SparkS
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
