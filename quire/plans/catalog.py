@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ("window_queries", "join_queries")
+_PARTS = ("window_queries", "join_queries", "function_queries")
 
 
 def _parts():
