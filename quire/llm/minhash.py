@@ -126,6 +126,109 @@ def _stack(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.uint8) for x in column.to_pylist()]) if len(column) else np.zeros((0, 1), np.uint8)
 
 
+def _grouped(work):
+    """Call work on the rows of one or more whole groups (key, i, j) of a sorted partition; a group is at most two blocks."""
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+            if not table.num_rows:
+                continue
+            group = np.stack([table.column(x).to_numpy() for x in ("key", "i", "j")], 1)
+            last = int(np.flatnonzero((group == group[-1]).all(1))[0])  # the last group may go on
+            if last:
+                yield from work(table.slice(0, last).combine_chunks())
+            kept = table.slice(last)
+        if kept is not None and kept.num_rows:
+            yield from work(kept.combine_chunks())
+
+    return run
+
+
+def _with_partner(table: pa.Table, percent: int, share: float):
+    """Rows that have a partner in another component whose sketch and size allow a link."""
+    col = {x: table.column(x).to_numpy() for x in ("key", "i", "j", "own", "node", "part", "lead", "n")}
+    sketch = _stack(table.column("sketch").combine_chunks())
+    hit = np.zeros(table.num_rows, bool)
+    for d in range(1, table.num_rows):
+        same = np.ones(table.num_rows - d, bool)
+        for x in ("key", "i", "j"):
+            same &= col[x][d:] == col[x][:-d]
+        if not same.any():
+            break
+        same &= (col["part"][d:] != col["part"][:-d]) & ((col["i"][d:] == col["j"][d:]) | (col["own"][d:] != col["own"][:-d]))
+        same &= (col["node"][d:] != col["lead"][d:]) & (col["node"][:-d] != col["lead"][:-d])  # those are compared already
+        at = np.flatnonzero(same)
+        at = at[_similar(sketch[at], sketch[at + d], col["n"][at], col["n"][at + d], percent, share)]
+        hit[at] = hit[at + d] = True
+    if hit.any():
+        yield from table.filter(pa.array(hit)).select(["key", "i", "j", "own", "node", "part"]).to_batches()
+
+
+def _short_sets(batches, shingle: int):
+    """Shingle sets as 32-bit hashes."""
+    for batch in batches:
+        for at, part in slices(batch.column(1)):
+            short = [np.unique(s.astype(np.uint32)).tobytes() for s in shingle_sets(part, shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(short, pa.binary())], ["node", "short"])
+
+
+def _joining_pairs(table: pa.Table, percent: int):
+    """Of each group the linked pairs that join components: a forest, not all pairs.
+
+    Common shingles are counted by products of the 0/1 matrix of the group's shared shingles, some
+    columns at a time. Two clashes of 32-bit hashes are allowed for; full sets decide afterwards.
+    """
+    col = {x: table.column(x).to_numpy() for x in ("key", "i", "j", "own", "node", "part")}
+    group = np.stack([col["key"], col["i"], col["j"]], 1)
+    edges = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1), [True]]))
+    short = table.column("short").combine_chunks()
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        m = hi - lo
+        if m < 2:
+            continue
+        sets = [np.frombuffer(x.as_py(), np.uint32) for x in short.slice(lo, m)]
+        n = np.array([len(x) for x in sets])
+        _, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        who = np.repeat(np.arange(m), n)
+        shared = times[where] > 1
+        place = np.cumsum(times > 1)[where[shared]] - 1
+        who, width = who[shared], int((times > 1).sum())
+        both = np.zeros((m, m), np.float32)
+        order = np.argsort(place, kind="stable")
+        place, who = place[order], who[order]
+        for at in range(0, width, 2048):
+            x, y = np.searchsorted(place, [at, at + 2048])
+            part = np.zeros((m, min(2048, width - at)), np.float32)
+            part[who[x:y], place[x:y] - at] = 1
+            both += part @ part.T
+        ok = 100 * (both + 2) >= percent * (n[:, None] + n[None, :] - both - 2)
+        own, comp, node = (col[x][lo:hi] for x in ("own", "part", "node"))
+        ok &= comp[:, None] != comp[None, :]
+        if col["i"][lo] != col["j"][lo]:
+            ok &= own[:, None] != own[None, :]
+        x, y = np.nonzero(np.triu(ok, 1))
+        sure = 100 * both[x, y] >= percent * (n[x] + n[y] - both[x, y])
+        root: dict = {}
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        found = []
+        for i, j, certain in zip(x.tolist(), y.tolist(), sure.tolist()):
+            a, b = find(int(comp[i])), find(int(comp[j]))
+            if certain and a != b:
+                root[max(a, b)] = min(a, b)
+            if not certain or a != b:
+                found.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
@@ -157,9 +260,6 @@ def near_duplicates(
     buckets = cut(members.join(shared, "key"))
     facts = nodes.select("node", F.struct("n_shingles", "sketch").alias("f"))
 
-    stars = buckets.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(facts.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(facts.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
-
     def likely(batches):
         for batch in batches:
             if batch.num_rows:
@@ -167,9 +267,25 @@ def near_duplicates(
                 ok = _similar(_stack(c[4]), _stack(c[5]), c[2].to_numpy(), c[3].to_numpy(), percent, share)
                 yield batch.select([0, 1]).filter(pa.array(ok))
 
-    stars = stars.select("a", "b", "fa.n_shingles", F.col("fb.n_shingles").alias("m"), F.col("fa.sketch"), F.col("fb.sketch").alias("t"))
-    links = cut(_confirm(stars.mapInArrow(likely, "a long, b long"), docs, shingle, percent))
-    part = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    def confirmed(pairs):
+        both = pairs.join(facts.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(facts.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
+        both = both.select("a", "b", "fa.n_shingles", F.col("fb.n_shingles").alias("m"), F.col("fa.sketch"), F.col("fb.sketch").alias("t"))
+        return cut(_confirm(both.mapInArrow(likely, "a long, b long"), docs, shingle, percent))
+
+    def components(links):
+        return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+    # first one lead for each node, then its other leads where the components still differ
+    stars = cut(buckets.filter("node != lead").groupBy(F.col("node").alias("b"), F.col("lead").alias("a")).agg(F.count("*").alias("n")).drop("n"))
+    best = stars.groupBy("b").agg(F.min("a").alias("a"))
+    links = confirmed(best.select("a", "b"))
+    part = components(links)
+    left = stars.join(best.withColumnRenamed("a", "tried"), "b").filter("a != tried").select("a", "b")
+    for x in ("a", "b"):
+        left = left.join(part.select(F.col("id").alias(x), F.col("component_id").alias(f"c{x}")), x, "left")
+    left = left.filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
+    links = links.union(confirmed(left))
+    part = components(links)
 
     # buckets in which several components are left
     known = buckets.join(part.withColumnRenamed("id", "node"), "node", "left").withColumn("part", F.coalesce("component_id", "node"))
@@ -181,44 +297,17 @@ def near_duplicates(
     rest = rest.select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", "lead", F.col("f.n_shingles").alias("n"), F.col("f.sketch").alias("sketch")
     )
+    whole = "key long, i int, j int, own int, node long, part long"
     rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compare(batches):
-        kept = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
-            group = np.stack([table.column(x).to_numpy() for x in ("key", "i", "j")], 1)
-            if not len(group):
-                continue
-            last = int(np.flatnonzero((group == group[-1]).all(1))[0])  # the last group may go on
-            if last:
-                yield from _block_pairs(table.slice(0, last))
-            kept = table.slice(last)
-        if kept is not None and kept.num_rows:
-            yield from _block_pairs(kept)
-
-    def _block_pairs(table):
-        table = table.combine_chunks()
-        col = {x: table.column(x).to_numpy() for x in ("key", "i", "j", "own", "node", "part", "lead", "n")}
-        sketch = _stack(table.column("sketch").combine_chunks())
-        for d in range(1, table.num_rows):
-            same = np.ones(table.num_rows - d, bool)
-            for x in ("key", "i", "j"):
-                same &= col[x][d:] == col[x][:-d]
-            if not same.any():
-                break
-            same &= (col["part"][d:] != col["part"][:-d]) & ((col["i"][d:] == col["j"][d:]) | (col["own"][d:] != col["own"][:-d]))
-            same &= (col["node"][d:] != col["lead"][d:]) & (col["node"][:-d] != col["lead"][:-d])  # those are compared already
-            at = np.flatnonzero(same)
-            at = at[_similar(sketch[at], sketch[at + d], col["n"][at], col["n"][at + d], percent, share)]
-            if len(at):
-                x, y = col["node"][at], col["node"][at + d]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    more = cut(_confirm(rest.mapInArrow(compare, "a long, b long"), docs, shingle, percent))
+    # members with a likely partner in another component; then, for those alone, sets of 32-bit hashes
+    near = cut(rest.mapInArrow(_grouped(lambda t: _with_partner(t, percent, share)), whole))
+    ids = near.select(F.col("node").alias("doc_id")).distinct()
+    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").mapInArrow(lambda x: _short_sets(x, shingle), "node long, short binary")
+    near = near.join(sets, "node").select("key", "i", "j", "own", "node", "part", "short").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = near.mapInArrow(_grouped(lambda t: _joining_pairs(t, percent)), "a long, b long")
+    more = cut(_confirm(pairs, docs, shingle, percent))
     if not more.isEmpty():
-        joined = links.union(more)
-        part = connected_components(joined.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        part = components(links.union(more))
 
     part = groups.join(part, groups["node"] == part["id"], "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "digest").join(part, "digest", "left")
