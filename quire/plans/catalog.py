@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ("window_queries", "join_queries", "function_queries")
+_PARTS = ("source_queries", "window_queries", "join_queries", "function_queries", "state_queries")
 
 
 def _parts():
