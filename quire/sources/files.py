@@ -21,8 +21,10 @@ def write_jsonl(df: DataFrame, path: str, exclusive: bool = True) -> str:
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Lines that are objects of the schema; others are dropped, blank lines and a byte-order mark are skipped."""
     schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    read = spark.read.schema(schema.add("_corrupt", "string") if "_corrupt" not in schema.names else schema)
-    return read.option("columnNameOfCorruptRecord", "_corrupt").json(path).filter("_corrupt is null").drop("_corrupt")
+    line = F.regexp_replace("value", "^\ufeff", "")
+    parsed = F.from_json(line, StructType([*schema.fields]).add("_corrupt", "string"), {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(path).filter(F.trim(line) != "").select(parsed.alias("r")).filter("r is not null and r._corrupt is null")
+    return rows.select("r.*").drop("_corrupt")
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: StructType | str, key: str = "id") -> DataFrame:
