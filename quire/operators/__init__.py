@@ -1 +1 @@
-
+"""Operators over unit tables."""

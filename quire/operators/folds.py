@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def list_levels(pages: DataFrame) -> DataFrame:
     """List items of pages.html with their nesting level, by a stack of open lists."""
-    import re
-
     tag = re.compile(r"<(/?)(ul|ol|li)\b[^>]*>", re.I)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,3 +35,116 @@ def list_levels(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["page_id", "item", "level", "place"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, item long, level long, place long")
+
+
+#: Limits of list flow in font sizes (fixed values): same level, deeper, gap within a list, content column, gap to a continuation.
+SAME_LEVEL, DEEPER, LIST_GAP, CONTENT_COLUMN, CONTINUATION_GAP = 0.6, 0.9, 3.0, 0.45, 1.6
+_MARKED = re.compile(r"^\s*([•·▪●◦‣⁃–—\-]|\d+[.)]|\([0-9A-Za-z]+\)|[A-Za-z][.)])\s+(?=[A-Za-z㐀-鿿])")
+
+
+class _ListState:
+    """The open list of a page: indents of its levels and where its last item ends."""
+
+    def __init__(self, list_id: str, page: int):
+        self.list_id, self.page = list_id, page
+        self.indents: list[float] = []
+        self.bottom = self.content = self.level = 0.0
+
+    def place(self, x: float, size: float) -> int | None:
+        """Level of an item at x, or None if it fits no level."""
+        for level, indent in enumerate(self.indents):
+            if abs(x - indent) <= SAME_LEVEL * size:
+                del self.indents[level + 1 :]
+                return level
+        if self.indents and x >= self.indents[-1] + DEEPER * size:
+            self.indents.append(x)
+            return len(self.indents) - 1
+        return None
+
+
+def list_flow(units: DataFrame) -> DataFrame:
+    """Role, list and level of the units of a document (doc_id, id, ord, page, kind, source_text, x0, y0, y1, size).
+
+    A body unit with a marker is an item of the open list if it is near and its indent is known or deeper,
+    else of a new list; a body unit in the content column right below an item goes on with it; anything else closes the list.
+    """
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        out, state = [], None
+        for u in part.sort_values("ord").itertuples():
+            marked = _MARKED.match(u.source_text or "") if u.kind == "body" else None
+            near = state is not None and state.page == u.page and u.y0 >= state.bottom
+            if marked:
+                level = state.place(u.x0, u.size) if near and u.y0 - state.bottom <= LIST_GAP * u.size else None
+                if level is None:
+                    state, level = _ListState(f"list-{u.id}", u.page), 0
+                    state.indents.append(u.x0)
+                state.bottom, state.level = u.y1, level
+                state.content = u.x0 + (len(marked.group(1)) * 0.5 + 0.3) * u.size
+                out.append((u.doc_id, u.id, "list_item", state.list_id, level, marked.group(1)))
+            elif near and u.kind == "body" and abs(u.x0 - state.content) <= CONTENT_COLUMN * u.size and u.y0 - state.bottom <= CONTINUATION_GAP * u.size:
+                state.bottom = u.y1
+                out.append((u.doc_id, u.id, "list_continuation", state.list_id, state.level, None))
+            else:
+                state = None
+                out.append((u.doc_id, u.id, "paragraph", None, None, None))
+        return pd.DataFrame(out, columns=["doc_id", "id", "flow_role", "list_id", "list_level", "source_marker"]).astype({"list_level": "Int64"})
+
+    return units.groupBy("doc_id").applyInPandas(fold, "doc_id long, id string, flow_role string, list_id string, list_level long, source_marker string")
+
+
+def nearest_exclusive(captions: DataFrame, visuals: DataFrame) -> DataFrame:
+    """Captions of a page in order take the nearest free visual: first those that overlap in x, then the smallest vertical gap.
+
+    Both: page, n, kind, x0, y0, x1, y1; a caption of kind figure takes any kind, others their own. Returns page, caption, visual (null if none is left).
+    """
+
+    def fold(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        free = list(right.rename(columns=lambda c: c.removeprefix("v_")).sort_values("n").itertuples())
+        out = []
+        for c in left.sort_values("n").itertuples():
+            fits = [v for v in free if c.kind in ("figure", v.kind)]
+            best = min(fits, key=lambda v: (not (v.x0 < c.x1 and v.x1 > c.x0), min(abs(v.y1 - c.y0), abs(v.y0 - c.y1)), v.n), default=None)
+            if best is not None:
+                free.remove(best)
+            out.append((key[0], c.n, None if best is None else best.n))
+        return pd.DataFrame(out, columns=["page", "caption", "visual"]).astype({"visual": "Int64"})
+
+    names = ("page", "n", "kind", "x0", "y0", "x1", "y1")
+    visuals = visuals.select(*[F.col(c).alias(f"v_{c}") for c in names])  # both sides may come from one table
+    return captions.select(*names).groupBy("page").cogroup(visuals.groupBy("v_page")).applyInPandas(fold, "page long, caption long, visual long")
+
+
+def align(text: str, runs: list[str]) -> list[tuple[int | None, str]]:
+    """Place of each run in a text, in order, and whether it is sure.
+
+    The earliest places in order, going forward, are held against the latest, going backward: where they
+    agree the run is located, else ambiguous; a run that isn't found is unmatched. White space counts as one blank.
+    """
+    flat = re.sub(r"\s+", " ", text)
+    needles = [re.sub(r"\s+", " ", r).strip() for r in runs]
+    first: list[int | None] = []
+    at = 0
+    for n in needles:
+        place = flat.find(n, at) if n else -1
+        first.append(place if place >= 0 else None)
+        at = place + len(n) if place >= 0 else at
+    out: list[tuple[int | None, str]] = [(None, "unmatched")] * len(runs)
+    end = len(flat)
+    for k in range(len(runs) - 1, -1, -1):
+        if first[k] is not None:
+            last = flat.rfind(needles[k], 0, end)
+            out[k] = (first[k], "located" if last == first[k] else "ambiguous")
+            end = last if last >= 0 else end
+    return out
+
+
+def align_spans(units: DataFrame) -> DataFrame:
+    """align() of units (id, source_text, runs): id, run, place, status."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(i, k, p, s) for i, t, r in zip(part["id"], part["source_text"], part["runs"]) for k, (p, s) in enumerate(align(t or "", list(r) if r is not None else []))]
+            yield pd.DataFrame(rows, columns=["id", "run", "place", "status"]).astype({"place": "Int64"})
+
+    return units.select("id", "source_text", "runs").mapInPandas(run, "id string, run long, place long, status string")

@@ -1 +1 @@
-
+"""Empty: the workflow has no event-time streams; its batch-incremental state is in operators/state.py."""

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quire.functions import arrow, text
-from quire.operators import joins, state, windows
+from quire.operators import folds, joins, state, windows
 from quire.sources import files
 
 
@@ -89,3 +89,27 @@ def test_review_is_applied_whole_or_not_at_all(spark):
     ops = spark.createDataFrame([(1, 1, "replace", "11", "r"), (1, 2, "suppress", "12", None), (2, 1, "suppress", "21", None), (2, 2, "replace", "zz", "r")], "doc_id long, step long, op string, id string, text string")
     got = {(r.doc_id, r.id): r.source_text for r in state.replay(u, ops).collect()}
     assert got == {(1, "11"): "r", (2, "21"): "t", (2, "22"): "t"}
+
+
+def test_list_flow(spark):
+    rows = [("p", "Intro text", 10.0), ("a", "- first", 10.0), ("b", "goes on", 18.0), ("c", "- nested", 25.0), ("d", "- second", 10.0), ("e", "After", 10.0), ("f", "(12)", 10.0)]
+    data = [(1, i, k, 1, "body", t, x, 12.0 * k, 12.0 * k + 10, 10.0) for k, (i, t, x) in enumerate(rows)]
+    df = spark.createDataFrame(data, "doc_id long, id string, ord int, page int, kind string, source_text string, x0 double, y0 double, y1 double, size double")
+    got = {r.id: (r.flow_role, r.list_id, r.list_level) for r in folds.list_flow(df).collect()}
+    assert got == {
+        "p": ("paragraph", None, None), "a": ("list_item", "list-a", 0), "b": ("list_continuation", "list-a", 0), "c": ("list_item", "list-a", 1),
+        "d": ("list_item", "list-a", 0), "e": ("paragraph", None, None), "f": ("paragraph", None, None),
+    }
+
+
+def test_spans_are_located_ambiguous_or_unmatched():
+    assert folds.align("one two\n three one", ["one two", "three", "none"]) == [(0, "located"), (8, "located"), (None, "unmatched")]
+    assert folds.align("x and x", ["x"]) == [(0, "ambiguous")]
+    assert folds.align("x and x", ["x", "and", "x"]) == [(0, "located"), (2, "located"), (6, "located")]
+
+
+def test_visuals_are_used_once(spark):
+    schema = "page long, n long, kind string, x0 double, y0 double, x1 double, y1 double"
+    c = spark.createDataFrame([(1, 1, "figure", 0.0, 50.0, 10.0, 55.0), (1, 2, "figure", 0.0, 52.0, 10.0, 57.0), (1, 3, "table", 0.0, 0.0, 9.0, 1.0)], schema)
+    v = spark.createDataFrame([(1, 1, "figure", 0.0, 30.0, 10.0, 49.0), (1, 2, "figure", 40.0, 30.0, 50.0, 50.0)], schema)
+    assert {(r.caption, r.visual) for r in folds.nearest_exclusive(c, v).collect()} == {(1, 1), (2, 2), (3, None)}
