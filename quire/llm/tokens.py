@@ -10,17 +10,17 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+from array import array
 
 import numpy as np
 
-#: Entries of a cache before it starts anew; bounds the memory of a worker.
-CACHE_ENTRIES = 300_000
+#: Entries of each of the two generations of a cache; bounds the memory of a worker.
+CACHE_ENTRIES = 400_000
 
 #: Characters on which regex engines disagree whether they are white space.
 _ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
-#: Pieces with characters beyond this go through the library: classes of later ones differ between Unicode versions.
-LATIN = "\u024f"
+#: Pieces with characters beyond U+024F go through the library: classes of later ones differ between Unicode versions.
+_BEYOND = re.compile("[\x1c-\x1f\x85\u0250-\U0010ffff]")
 _PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 #: The published pre-tokenisation patterns of the two builds (fixed values).
@@ -28,6 +28,10 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: Marks that are a pre-token of their own after a word.
+_STOPS = frozenset(",.;:!?")
+
+
 class _Odd(Exception):
     """The text can't be cut into pieces."""
 
@@ -40,41 +44,59 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+SPACE = _LETTERS[0x20]
 
 
-class _Pre(dict):
-    """Ids of a pre-token as little-endian 32-bit integers."""
+class _Kept(dict):
+    """A cache of two generations: what is in use moves to the young one, the old one is dropped as it fills."""
 
-    def __init__(self, model):
+    def __init__(self):
         super().__init__()
-        self.model = model
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        out = self.old.get(piece)
+        if out is None:
+            out = self.made(piece)
         if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
             self.clear()
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]
-        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = out
         return out
 
 
-class _Pieces(dict):
+class _Pre(_Kept):
+    """Ids of a pre-token as little-endian 32-bit integers."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+
+    def made(self, piece: str) -> bytes:
+        letters = piece.replace(" ", SPACE) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+
+
+class _Pieces(_Kept):
     """Ids of a piece between spaces."""
 
     def __init__(self, pre: _Pre, whole, find, prefix: str, strict: bool, normal=None):
         super().__init__()
         self.pre, self.whole, self.find, self.prefix, self.strict, self.normal = pre, whole, find, prefix, strict, normal
 
-    def __missing__(self, piece: str) -> bytes:
-        if self.strict and (not piece or piece[0].isspace() or piece[-1].isspace()) or _ODD.search(piece):
+    def made(self, piece: str) -> bytes:
+        if self.strict and (not piece or piece[0].isspace() or piece[-1].isspace()):
             raise _Odd
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
         text = self.normal(piece) if self.normal else self.prefix + piece
-        if text and max(text) > LATIN:
-            out = self[piece] = self.whole(self.prefix + piece)
-        else:
-            out = self[piece] = b"".join([self.pre[x] for x in self.find(text)])
-        return out
+        if _BEYOND.search(text):
+            if _ODD.search(piece):
+                raise _Odd
+            return self.whole(self.prefix + piece)
+        if piece.isalpha():  # one pre-token
+            return self.pre.made(text)
+        if piece[-1:] in _STOPS and piece[:-1].isalpha():
+            return self[piece[:-1]] + self.pre[piece[-1]]
+        return b"".join([self.pre[x] for x in self.find(text)])
 
 
 class Encoder:
