@@ -205,4 +205,5 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     def _rows(out):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("path", "first").repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = max(1, manifest.count())  # so many tasks: the rows are small, the files are not
+    return manifest.select("path", "first").repartition(files, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
