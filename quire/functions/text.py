@@ -29,6 +29,15 @@ def clean_lines(c: Column) -> Column:
     return F.regexp_replace(c, r"[ \t]+", " ")
 
 
+def normal_body(c: Column) -> Column:
+    """Paragraph text in one line: hyphenated words rejoined, line ends between Han characters dropped, others blanks."""
+    c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    c = F.regexp_replace(c, r"(?<=[A-Za-z])-\s*\n+\s*(?=[a-z])", "")
+    c = F.regexp_replace(c, "(?<=" + HAN + ")\\s*\\n+\\s*(?=" + HAN + "|[\\d，。；：！？、）])", "")
+    c = F.regexp_replace(c, "(?<=\\d)\\s*\\n+\\s*(?=" + HAN + ")", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*\n+\s*", " "), r"[ \t]+", " "))
+
+
 def compare_key(c: Column) -> Column:
     """Text without soft hyphens, hyphenation and white space, in lower case."""
     c = F.replace(c, F.lit("­"), F.lit(""))

@@ -91,6 +91,21 @@ def pred_math_run(spark, sf):
     return units(spark, sf).select("id", symbols.cast("long").alias("symbols"), prose.cast("long").alias("prose"), ((symbols >= 2) & (prose < 2)).alias("math"))
 
 
+def pred_code_run(spark, sf):
+    """Units that look like code or tables: many bars, braces or assignments for their words."""
+    t = F.col("source_text")
+    marks = F.regexp_count(t, F.lit("[|{};=<>_]"))
+    return units(spark, sf).select("id", ((marks >= 3) & (marks * 4 >= F.col("words"))).alias("code"))
+
+
+def f_norm_body(spark, sf):
+    """Paragraph text: line ends to blanks, hyphenated words rejoined, blanks squeezed."""
+    from quire.functions.text import normal_body
+
+    t = F.replace(F.replace(F.col("text"), F.lit("er "), F.lit("er-\n")), F.lit(". "), F.lit(".\r\n"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(normal_body(t)).alias("body"))
+
+
 def pred_formula_only(spark, sf):
     t = F.col("source_text")
     signs = F.regexp_count(t, F.lit(r"[=<>+*/^|$%&#-]"))
@@ -239,6 +254,9 @@ SQL = {
     "filter_invariant": _U + ", s as (select doc_id, min(ord) as lo, max(ord) as hi from units where translatable group by doc_id) select id from units join s using (doc_id) where not translatable and ord between lo and hi",
     "pred_kind": _U + r"""select id, case when regexp_matches(source_text, '(?i)^\s*(abstract|summary)\b') then 'abstract' when regexp_matches(source_text, '(?i)^\s*(figure|fig\.?|table)\s*\d+') then 'caption' when contains(source_text, '|') then 'table' when regexp_matches(source_text, '^\s*(\d+(\.\d+)*[.)]?\s+|[A-Z][.)]\s+)[^\n]{2,120}$') then 'heading' when words <= 4 and not regexp_matches(source_text, '[.!?]$') then 'footer' when length(source_text) > 600 then 'long-body' else 'body' end as kind from units""",
     "pred_math_run": _U + rf""", c as (select id, cast(len(regexp_extract_all(source_text, '{_SIGN}')) as bigint) as symbols, cast(len(regexp_extract_all(source_text, '[A-Za-z]{{4,}}')) as bigint) as prose from units) select *, symbols >= 2 and prose < 2 as math from c""",
+    "pred_code_run": _U + ", c as (select id, words, len(regexp_extract_all(source_text, '[|{};=<>_]')) as m from units) select id, m >= 3 and m * 4 >= words as code from c",
+    "f_norm_body": r"""with a as (select doc_id, replace(replace(replace(text, 'er ', 'er-' || chr(10)), '. ', '.' || chr(13) || chr(10)), chr(13) || chr(10), chr(10)) as t from documents),
+b as (select doc_id, regexp_replace(t, '([A-Za-z])-\s*\n+\s*([a-z])', '\1\2', 'g') as t from a) select doc_id, md5(trim(regexp_replace(regexp_replace(t, '\s*\n+\s*', ' ', 'g'), '[ \t]+', ' ', 'g'))) as body from b""",
     "pred_formula_only": _U + rf""", c as (select id, length(source_text) as n, len(regexp_extract_all(source_text, '{_SIGN}')) as s, length(regexp_replace(source_text, '\s', '', 'g')) as v, len(regexp_extract_all(source_text, '[A-Za-z]{{3,}}')) as p from units) select id, n >= 8 and ((s / greatest(v, 1) >= 0.6 and p < 2) or (p = 0 and s >= 2 and n >= 12)) as formula from c""",
     "pred_formal_heading": _U + "select id, len(list_filter(string_split(source_text, ' '), lambda x: x != '' and not regexp_matches(x, '^([0-9]+|[A-Za-z]|[^A-Za-z0-9]+)$'))) = 0 as formal from units",
     "pred_balanced": "select event_id, length(replace(props, '{', '')) = length(replace(props, '}', '')) as balanced from events",
@@ -266,4 +284,4 @@ select id, contains(o, t) or (n > z and (cast(contains(o, substr(t, 1, z)) as in
     "f_summary": "select doc_id, length(text) between 800 and 1500 as length_ok, len(string_split(text, chr(10))) >= 9 as sections_ok, len(regexp_extract_all(text, '[A-Z]')) >= greatest(10, length(text) / 30) as share_ok from documents",
 }
 
-QUERIES = {f.__name__: f for f in (proj_template, proj_compact, filter_range, filter_boundary_auto, filter_boundary_reviewed, filter_invariant, pred_kind, pred_math_run, pred_formula_only, pred_formal_heading, pred_balanced, pred_terminal, f_words, f_clean_lines, f_normalise, f_heading, f_join_continuation, f_doi_arxiv_year, f_label, f_protect, f_restore, f_token_seq, f_has_han, f_invariant_present, f_canon_hash, f_unit_id, f_slug, f_casefold, f_rect, f_safe_path, f_redact, f_glyph, f_summary)}
+QUERIES = {f.__name__: f for f in (proj_template, proj_compact, filter_range, filter_boundary_auto, filter_boundary_reviewed, filter_invariant, pred_kind, pred_math_run, pred_code_run, f_norm_body, pred_formula_only, pred_formal_heading, pred_balanced, pred_terminal, f_words, f_clean_lines, f_normalise, f_heading, f_join_continuation, f_doi_arxiv_year, f_label, f_protect, f_restore, f_token_seq, f_has_han, f_invariant_present, f_canon_hash, f_unit_id, f_slug, f_casefold, f_rect, f_safe_path, f_redact, f_glyph, f_summary)}

@@ -206,6 +206,30 @@ def val_quick(spark, sf):
     return table(spark, sf, "pages").select("page_id", (F.trim(h) == "").alias("blank"), F.regexp_count(h, F.lit("[#%$&*]")).cast("long").alias("marks"), (F.regexp_count(h, F.lit("[a-z]+")) > 50).alias("searchable"))
 
 
+def val_visual_review(spark, sf):
+    """Reports of orders: every page (line) reviewed exactly once, none with findings, and the count as stated."""
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("n"), F.countDistinct("l_linenumber").alias("pages"), F.max("l_linenumber").cast("long").alias("last"), F.count_if(F.col("l_returnflag") == "R").alias("findings")
+    )
+    error = F.when((F.col("pages") != F.col("n")) | (F.col("last") != F.col("n")), "pages").when(F.col("findings") > 0, "findings").otherwise("pass")
+    return l.select("l_orderkey", error.alias("status"))
+
+
+def val_reviewed_flow(spark, sf):
+    """Orders whose first line is placed other than exactly once."""
+    l = table(spark, sf, "lineitem").filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    o = table(spark, sf, "orders").join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return o.filter("n != 1").select("o_orderkey", F.when(F.col("n") == 0, "unplaced").otherwise("repeated").alias("code"))
+
+
+def val_boundary(spark, sf):
+    """Boxes beyond their page's frame of 60 by 700 points, and those wider than tall by over four times."""
+    b = boxes(spark, sf)
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    code = F.when(F.col("x1") > 140, "beyond_right").when(F.col("y1") > 700, "beyond_bottom").when(w > 4 * h, "aspect")
+    return b.select("page", "n", code.alias("code")).filter("code is not null")
+
+
 _U = f"with {UNITS_SQL} "
 _B = f"with {BOXES_SQL} "
 SQL = {
@@ -242,7 +266,10 @@ select doc_id, row_number() over (partition by doc_id order by o) as ord, id, md
     "val_coverage": "with n as (select l_orderkey, cast(count(*) as integer) as n from lineitem group by l_orderkey), s as (select l_orderkey, cast(unnest(range(1, n + 1)) as integer) as lacks from n) select * from s where not exists (select 1 from lineitem l where l.l_orderkey = s.l_orderkey and l.l_linenumber = s.lacks)",
     "val_readiness": "select o_orderkey, coalesce(n, 0) = 1 as covered from orders left join (select c_custkey, count(*) as n from customer group by c_custkey) on o_custkey = c_custkey",
     "val_metadata": "select p_partkey, case when trim(p_name) = '' then 'title' when not regexp_matches(p_brand, '^Brand#[0-9]+$') then 'brand' when p_size < 5 then 'size' when p_retailprice > 1500 then 'price' else 'ok' end as fault from part",
+    "val_visual_review": "with r as (select l_orderkey, count(*) as n, count(distinct l_linenumber) as p, max(l_linenumber) as m, count(*) filter (l_returnflag = 'R') as f from lineitem group by l_orderkey) select l_orderkey, case when p != n or m != n then 'pages' when f > 0 then 'findings' else 'pass' end as status from r",
+    "val_reviewed_flow": "with l as (select l_orderkey, count(*) as n from lineitem where l_linenumber = 1 group by l_orderkey), o as (select o_orderkey, coalesce(n, 0) as n from orders left join l on o_orderkey = l_orderkey) select o_orderkey, case when n = 0 then 'unplaced' else 'repeated' end as code from o where n != 1",
+    "val_boundary": _B + ", c as (select page, n, case when x1 > 140 then 'beyond_right' when y1 > 700 then 'beyond_bottom' when x1 - x0 > 4 * (y1 - y0) then 'aspect' end as code from boxes) select * from c where code is not null",
     "val_quick": "with h as (select page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') as h from pages) select page_id, trim(h) = '' as blank, cast(len(regexp_extract_all(h, '[#%$&*]')) as bigint) as marks, len(regexp_extract_all(h, '[a-z]+')) > 50 as searchable from h",
 }
 
-QUERIES = {f.__name__: f for f in (agg_counter, agg_median, agg_weighted_mode, agg_vote, agg_bbox_union, agg_mean_conf, agg_progress, agg_repeated_running, agg_rule_status, agg_distinct_order, agg_ratio, agg_defects, agg_fingerprint, state_merge, state_stage, state_reconcile, state_review_carry, state_receipt, state_pointer, state_replay, cache_compile, gate_ready, val_source, val_flow, val_strict, val_coverage, val_readiness, val_metadata, val_quick)}
+QUERIES = {f.__name__: f for f in (agg_counter, agg_median, agg_weighted_mode, agg_vote, agg_bbox_union, agg_mean_conf, agg_progress, agg_repeated_running, agg_rule_status, agg_distinct_order, agg_ratio, agg_defects, agg_fingerprint, state_merge, state_stage, state_reconcile, state_review_carry, state_receipt, state_pointer, state_replay, cache_compile, gate_ready, val_source, val_flow, val_strict, val_coverage, val_readiness, val_metadata, val_visual_review, val_reviewed_flow, val_boundary, val_quick)}
