@@ -277,6 +277,8 @@ select id, md5(case when a = '' then b when b = '' then a when right(a, 1) = '-'
 select id, contains(o, t) or (n > z and (cast(contains(o, substr(t, 1, z)) as int) + cast(contains(o, substr(t, (n - z) // 2 + 1, z)) as int) + cast(contains(o, substr(t, n - z + 1, z)) as int)) >= 2) as present from v""",
     "f_canon_hash": _U + r"""select id, sha256('{"id":"' || id || '","kind":"' || kind || '","page":' || page || ',"source_text":' || cast(to_json(source_text) as varchar) || '}') as digest from units""",
     "f_unit_id": _U + r""", h as (select sha256('{"flow_role":"paragraph","kind":"' || kind || '","list_level":0,"source_text":' || cast(to_json(source_text) as varchar) || '}') as identity from units) select identity, count(*) as n from h group by identity""",
+    "f_slug": "with a as (select doc_id, regexp_replace(strip_accents(substr(text, 1, 100)), '[^\\x00-\\x7F]', '', 'g') as t from documents) select doc_id, coalesce(nullif(left(lower(trim(regexp_replace(t, '[^A-Za-z0-9]+', '-', 'g'), '-')), 80), ''), 'paper') as slug from a",
+    "f_casefold": "with a as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents) select doc_id, length(t) + len(regexp_extract_all(t, 'ß')) as chars from a",
     "f_rect": "with " + BOXES_SQL + " select page, n, round((x1 - x0) * (y1 - y0), 3) as area, round((x0 + x1) / 2, 3) as cx, round((y0 + y1) / 2, 3) as cy from boxes",
     "f_safe_path": "with p as (select page_id, case when page_id % 3 = 0 then '../' else '' end || regexp_replace(url, '^https?://', '') as p from pages) select page_id, not contains(p, ':') and not contains('/' || p || '/', '/../') and p != '' and left(p, 1) != '/' as safe from p",
     "f_redact": "select event_id, md5(replace(replace(props, 'click', '[redacted]'), 'view', '[redacted]')) as props from events",
