@@ -18,16 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.session import cut
+
 #: Weights of the sources in code-point order, repeated.
 WEIGHTS = (3, 1, 2)
 
 
 def words(text: Column) -> Column:
     """Number of runs of bytes other than space and \\t..\\r; null has none."""
-    # every word is followed by one white-space run once a blank is added, so runs are counted, not kept
-    flat = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    bare = F.regexp_replace(F.trim(flat), " +", " ")
-    return F.coalesce(F.when(F.length(bare) > 0, F.length(bare) - F.length(F.replace(bare, F.lit(" "))) + 1), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def uniform(*key: Column, seed: int) -> Column:
@@ -68,6 +67,7 @@ def mix(docs: DataFrame, percent: int = 150, most: int = 2, weights: tuple[int,
     rows = docs.select(*own).withColumn("size", words(F.col("text"))).withColumn("mix_level", level)
     # summed in each task before it is dealt out
     classes = rows.groupBy(F.col("source").alias("mix_source"), F.col("mix_level").alias("mix_class")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+    classes = cut(classes)  # a few rows a source; texts are read once for them and once for the draws
     sizes = classes.groupBy(F.col("mix_source").alias("source")).agg(F.sum("words").alias("source_size"))
     sources = targets(sizes, percent, most, weights).withColumnRenamed("source", "mix_name")
     plan = classes.join(sources, F.col("mix_source").eqNullSafe(F.col("mix_name"))).select(
