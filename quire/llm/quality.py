@@ -2,10 +2,10 @@
 
 A line is hashed after folding A-Z, white space and digits. A line is boilerplate on a host if it
 stands in more than `share` percent of the host's texts and in more than `least` of them. Texts are
-counted by a fingerprint, the smallest hash among their lines, rather than by row: exact copies
-count once and lightly edited copies nearly so, hence copies don't make their own content
-boilerplate; that is for deduplication. A document is depleted, and rejected, if its lines that are
-not boilerplate hold less than `keep` percent of its words.
+counted by a fingerprint, a hash over all their folded lines in order, rather than by row: exact
+copies count once, hence they don't make their own content boilerplate; every other text counts. A
+document is depleted, and rejected, if its lines that are not boilerplate hold less than `keep`
+percent of its words.
 """
 
 from __future__ import annotations
@@ -126,6 +126,8 @@ def line_facts(docs: DataFrame, host: str) -> DataFrame:
             ids, hosts, texts, rows, keys = (batch.column(i) for i in range(5))
             for at, part in slices(texts):
                 w, chars, symbols, dups, repeats, row, line, words = _facts(part)
+                bounds = np.searchsorted(row, np.arange(w.rows + 1))
+                fingerprint = _prefix_hash(line.view(np.uint64), bounds[:-1], bounds[1:]).view(np.int64)
                 order = np.lexsort((line, row))
                 row, line, words = row[order], line[order], words[order]
                 first = np.ones(len(row), bool)
@@ -134,9 +136,6 @@ def line_facts(docs: DataFrame, host: str) -> DataFrame:
                 total = np.add.reduceat(words, starts) if len(starts) else words[:0]
                 row, line = row[starts], line[starts]
                 offsets = np.searchsorted(row, np.arange(w.rows + 1))
-                fingerprint = np.zeros(w.rows, np.int64)
-                has = offsets[1:] > offsets[:-1]
-                fingerprint[has] = line[offsets[:-1][has]]  # sorted: the smallest
                 lines = pa.StructArray.from_arrays([pa.array(line), pa.array(total.astype(np.int64))], ["line", "words"])
                 yield pa.RecordBatch.from_arrays(
                     [rows.slice(at, w.rows), keys.slice(at, w.rows), ids.slice(at, w.rows), hosts.slice(at, w.rows)]

@@ -63,6 +63,23 @@ def test_lines_above_the_limit(spark):
     assert not any(got[i].kept for i in range(60, 90)) and all(got[i].kept for i in [*range(60), *range(100, 140)])
 
 
+def test_every_distinct_text_counts(spark):
+    def name(i):  # no digits: they fold to 0
+        return "".join("abcdefghij"[int(d)] for d in f"{i:03d}")
+
+    shared = [" ".join(f"{w}shared{name(j)}" for w in "pqrstuvwx") for j in range(10)]
+    own = [[" ".join(f"{w}own{name(i)}" for w in "abcdefghijklmnopqr"[9 * k : 9 * k + 9]) for k in range(2)] for i in range(200)]
+    rows = [(i, "\n".join(shared + own[i]), "h") for i in range(200)]
+    rows += [(1000 + i, "\n".join(shared[:3] + ["copied " + " ".join(shared)]), "h") for i in range(50)]  # one text
+    few = [(2000 + i, "\n".join(shared + own[i]), "few") for i in range(20)]  # not above 20
+    rows += few
+    got = {r.doc_id: r for r in quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {got[i].boilerplate_words for i in range(200)} == {90}
+    assert {got[1000 + i].boilerplate_words for i in range(50)} == {27}
+    assert {got[i].boilerplate_words for i, _, _ in few} == {0}
+    assert not any(got[i].kept for i in range(200)) and all(got[i].kept for i, _, _ in few)
+
+
 def test_edges(spark):
     texts = [None, "", " \n\t", "a", "a b c a b c", "é ü # $", "x\n x\nx\nx", "z" * 100_000 + " " + "long " * 60_000]
     df = spark.createDataFrame([(i, t, None, 1) for i, t in enumerate(texts)] + [(0, "a b", "s", 2)], "doc_id long, text string, source string, n_words int")
