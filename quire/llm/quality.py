@@ -5,13 +5,14 @@ stands in more than `share` percent of the host's texts and in more than `least`
 counted by a fingerprint, a hash over all their folded lines in order, rather than by row: exact
 copies count once, hence they don't make their own content boilerplate; every other text counts. A
 document is depleted, and rejected, if its lines that are not boilerplate hold less than `keep`
-percent of its words.
+percent of its words. Documents that stay are handed on without their boilerplate lines.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,17 +149,8 @@ def line_facts(docs: DataFrame, host: str) -> DataFrame:
     return source.mapInArrow(run, _FACTS)
 
 
-def quality(docs: DataFrame, host: str = "source", share: int = 5, least: int = 20, keep: int = 30, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
-    """Counts and verdict for each row of docs (doc_id, text, and the host's column).
-
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and
-    boilerplate_words, host and text_key (hash of the text). base_failed: fewer than `least_words` words, or more than `most_repeated` percent of
-    the words in repeated 3-word windows. kept: not base_failed, and at least `keep` percent of the words outside
-    of boilerplate lines. Null and empty texts have no words and fail; rows that repeat a doc_id are
-    judged each for itself; rows without a host share one; an empty table gives no rows. Lines are counted
-    over all documents: (host, line, fingerprint) and then (host, line), so that a line of
-    every document is summed in parts before it is dealt out.
-    """
+def _judged(docs: DataFrame, host: str = "source", share: int = 5, least: int = 20, keep: int = 30, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
+    """quality() and, for each row, the hashes of its boilerplate lines as dropped (null if it has none)."""
     ship(docs.sparkSession)
     facts = cut(line_facts(docs, host))
     lines = facts.select("row", "host", "fingerprint", F.explode("lines").alias("l")).select("row", "host", "fingerprint", "l.line", "l.words")
@@ -167,21 +159,75 @@ def quality(docs: DataFrame, host: str = "source", share: int = 5, least: int =
     common = held.filter(F.col("n_texts") > least).join(texts, "host").filter(100 * F.col("n_texts") > share * F.col("texts")).select("host", "line")
     common = cut(common)
     # a host has fewer than 100 / share times its mean lines a text of such lines; Spark broadcasts them if they are few
-    lost = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("boilerplate_words"))
+    lost = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("boilerplate_words"), F.collect_set("line").alias("dropped"))
     out = facts.drop("lines").join(lost, "row", "left").withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("boilerplate_words")) >= keep * F.col("n_words"))
-    return out.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate_words", "host", "text_key")
+    return out.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate_words", "host", "text_key", "dropped")
+
+
+def quality(docs: DataFrame, host: str = "source", share: int = 5, least: int = 20, keep: int = 30, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
+    """Counts and verdict for each row of docs (doc_id, text, and the host's column).
+
+    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and
+    boilerplate_words, host and text_key (hash of the text). base_failed: fewer than `least_words` words, or more than `most_repeated` percent of
+    the words in repeated 3-word windows. kept: not base_failed, and at least `keep` percent of the words outside
+    of boilerplate lines. Null and empty texts have no words and fail; rows that repeat a doc_id are
+    judged each for itself; rows without a host share one; an empty table gives no rows. Lines are counted
+    over all documents: (host, line, fingerprint) and then (host, line), so that a line of
+    every document is summed in parts before it is dealt out.
+    """
+    return _judged(docs, host, share, least, keep, least_words, most_repeated).drop("dropped")
+
+
+def _without(texts: pa.Array, dropped: pa.Array) -> pa.Array:
+    """The texts less the lines whose hashes are dropped; the other lines as they are and in order."""
+    out: list[str] = []
+    for at, part in slices(texts):
+        w = Words(part, lower=False)
+        row, begins, ends, a, b, raw = _lines(part, w)
+        line = _prefix_hash(_folded_hashes(w), a, b).view(np.int64).tolist()
+        first = np.searchsorted(row, np.arange(w.rows + 1)).tolist()
+        data, bounds, begins = raw.tobytes(), w.bounds.tolist(), begins.tolist()
+        for i, gone in enumerate(dropped.slice(at, w.rows).to_pylist()):
+            gone = set(gone)
+            skip = {begins[k] for k in range(first[i], first[i + 1]) if line[k] in gone}
+            kept, place = [], bounds[i]
+            for x in data[bounds[i] : bounds[i + 1]].split(b"\n"):
+                if place not in skip:
+                    kept.append(x)
+                place += len(x) + 1
+            out.append(b"\n".join(kept).decode())
+    return pa.array(out, pa.string())
+
+
+def _texts_without(texts: pa.Array, dropped: pa.Array) -> pa.Array:
+    """Row by row, texts without their dropped lines; where dropped is null, the text itself."""
+    texts = texts.cast(pa.string())
+    hit = pc.and_(pc.is_valid(dropped), pc.is_valid(texts))
+    if not pc.any(hit).as_py():
+        return texts
+    return pc.replace_with_mask(texts, hit, _without(texts.filter(hit), dropped.filter(hit)))
 
 
 def passing(docs: DataFrame, host: str = "source", **settings) -> DataFrame:
-    """The rows of docs that quality() keeps, with their columns. The verdict hangs on host and text, so these find the rejected rows."""
-    verdict = quality(docs, host, **settings).filter("not kept").select("doc_id", "host", "text_key").distinct()
-    verdict = verdict.toDF("qr_id", "qr_host", "qr_key")
+    """The rows of docs that quality() keeps, with their columns, and their texts without boilerplate lines.
+
+    Lines that stay are exact and in order. Where docs has n_chars, it follows the text of the rows that lose lines.
+    Verdict and lines hang on host and text, so these find the rows.
+    """
+    verdict = _judged(docs, host, **settings).filter("not kept or dropped is not null").select("doc_id", "host", "text_key", "kept", "dropped")
+    verdict = verdict.dropDuplicates(["doc_id", "host", "text_key"]).toDF("qr_id", "qr_host", "qr_key", "qr_kept", "qr_dropped")
     same = (
         F.col("doc_id").cast("long").eqNullSafe(F.col("qr_id"))
         & (F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("qr_host"))
         & (F.xxhash64(F.col("text").cast("string")) == F.col("qr_key"))
     )
-    return docs.join(verdict, same, "left_anti")
+    without = F.arrow_udf(_texts_without, "string")
+    out = docs.join(verdict, same, "left").filter("qr_kept is null or qr_kept")
+    out = out.withColumn("text", without(F.col("text").cast("string"), F.col("qr_dropped")))
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("qr_dropped").isNotNull(), size).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -1,7 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
-from quire.llm.quality import quality
+from quire.llm.quality import passing, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -80,6 +80,30 @@ def test_every_distinct_text_counts(spark):
     assert not any(got[i].kept for i in range(200)) and all(got[i].kept for i, _, _ in few)
 
 
+def test_boilerplate_lines_go(spark):
+    def name(i):
+        return "".join("abcdefghij"[int(d)] for d in f"{i:03d}")
+
+    nav, legal = "Home 12 \t about us  and MORE links", "\r\u00a9 all rights reserved here"
+    rows = []
+    for i in range(60):
+        own = [" ".join(f"{w}\u00e9own{name(i)}{name(k)}" for w in "abcdefg") + "  " for k in range(9)]
+        rows.append((i, "\n".join([nav.replace("12", str(i + 10)), own[0], "", nav.upper(), *own[1:], " ", legal] + [""] * (i % 3)), "h", 7))
+    rows += [(100 + i, "\n".join([nav, legal, *(f"r{name(i)} {w} end" for w in "abcdefghijklmnopqrst")]), "other", 7) for i in range(5)]
+    rows += [(200, "\n".join([nav, legal] * 20 + ["x"]), "h", 7), (None, rows[3][1], "h", 7), (3, rows[4][1], "h", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    want = []
+    for i, t, s, n in rows:
+        gone = {tuple(map(fold, WORD.findall(x))) for x in (nav, legal)} if s == "h" else set()
+        left = "\n".join(x for x in t.split("\n") if tuple(map(fold, WORD.findall(x))) not in gone)
+        if i != 200:  # nothing but such lines
+            want.append((i, left, s, len(left) if left != t else n))
+    got = passing(docs)
+    assert got.schema == docs.schema
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert sum(x[1] == y[1] for x, y in zip(want, rows)) == 5
+
+
 def test_edges(spark):
     texts = [None, "", " \n\t", "a", "a b c a b c", "é ü # $", "x\n x\nx\nx", "z" * 100_000 + " " + "long " * 60_000]
     df = spark.createDataFrame([(i, t, None, 1) for i, t in enumerate(texts)] + [(0, "a b", "s", 2)], "doc_id long, text string, source string, n_words int")
