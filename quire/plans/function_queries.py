@@ -204,7 +204,7 @@ def f_unit_id(spark, sf):
 
 
 def f_slug(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", arrow.slug(F.substring("text", 1, 100)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", arrow.slug("text").alias("slug"))
 
 
 def f_casefold(spark, sf):

@@ -2,6 +2,8 @@
 
 import glob
 import os
+import re
+import unicodedata
 
 import duckdb
 import pytest
@@ -42,3 +44,13 @@ def test_protection_is_reversible(spark, sf_dir):
 def test_exclusive_links_are_exclusive(spark, sf_dir):
     links = catalog.queries()["join_asof_exclusive"](spark, sf_dir).filter("marker_id is not null")
     assert links.count() == links.select("marker_id").distinct().count()
+
+
+def test_slug_of_whole_text(spark, sf_dir):
+    """The slug holds 80 characters wherever the text has them, however many marks stand before."""
+
+    def slugify(value):
+        return re.sub(r"[^a-zA-Z0-9]+", "-", unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode()).strip("-").lower()[:80] or "paper"
+
+    want = {r.doc_id: slugify(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert {r.doc_id: r.slug for r in catalog.queries()["f_slug"](spark, sf_dir).collect()} == want
