@@ -134,14 +134,33 @@ def rendered(role: str, text: str) -> str:
     return f"<|{role}|>\n{text}\n<|end|>\n"
 
 
-def learn(turns: DataFrame, conversations: int = 2000) -> Hmm:
-    """Fit on about `conversations` conversations, by hash of conv_id, each in every style; the bound holds whatever the table's size."""
+def sampled(turns: DataFrame, conversations: int = 2000, most_rows: int = 128_000) -> DataFrame:
+    """The turns (conv_id, turn, role, text) of about `conversations` whole conversations, at most `most_rows` rows in all.
+
+    By hash of conv_id, and in its order where the rows are too many: a conversation that doesn't fit in what is left is
+    passed over whole. Turns from number 256 on, of other roles and without text aren't learned from and don't count.
+    """
     total = turns.select("conv_id").distinct().count()
     rate = min(1.0, conversations / max(1, total))
-    some = turns.filter(F.pmod(F.xxhash64("conv_id", F.lit(9)), F.lit(1 << 30)) < rate * (1 << 30)).filter(F.col("role").isin(*ROLES) & F.col("text").isNotNull())
+    place = F.pmod(F.xxhash64("conv_id", F.lit(9)), F.lit(1 << 30))
+    some = turns.filter(place < rate * (1 << 30)).filter(F.col("role").isin(*ROLES) & F.col("text").isNotNull())
     some = some.filter(F.col("turn") < TURNS).select("conv_id", "turn", "role", "text")
+    left, out = most_rows, []
+    for r in sorted(some.groupBy("conv_id", place.alias("place")).agg(F.count("*").alias("n")).collect(), key=lambda r: (r.place, str(r.conv_id))):
+        if r.n <= left:
+            left -= r.n
+        else:
+            out.append(r.conv_id)
+    if not out:
+        return some
+    over = F.when(F.col("conv_id").isNull(), F.lit(None in out)).otherwise(F.col("conv_id").isin([c for c in out if c is not None]))
+    return some.filter(~over)
+
+
+def learn(turns: DataFrame, conversations: int = 2000, most_rows: int = 128_000) -> Hmm:
+    """Fit on the sampled() conversations, each in every style; the bounds hold whatever the table's size."""
     by: dict[int, list] = {}
-    for r in some.limit(conversations * 64).collect():
+    for r in sampled(turns, conversations, most_rows).collect():
         by.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
     model = Hmm()
     for c in sorted(by, key=str):

@@ -42,3 +42,24 @@ def test_styles_and_edges(spark, sf_dir):
     assert sorted(r.text for r in got if r.conv_id == 4) == sorted(f"same {i}" for i in range(600))
     assert max(len([r for r in got if r.conv_id == 4 and r.part == p]) for p in range(3)) < 400
     assert parse(transcripts(df.limit(0)), m).count() == 0
+
+
+def test_learns_from_whole_conversations(spark, monkeypatch):
+    rows = [(c, i, ("user", "assistant")[i % 2], f"turn {i} of {c}") for c in range(10) for i in range(200)]
+    rows += [(None, i, "user", f"t{i}") for i in range(5)] + [(99, i % 7, "user", f"t{i}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    seen = []
+    monkeypatch.setattr(Hmm, "learn", lambda self, turns, style: seen.append(sorted(t for _, t in turns)))
+
+    def conversations(df, **bounds):
+        seen.clear()
+        learn(df, 12, **bounds)
+        assert len(seen) % len(STYLES) == 0
+        return seen[:: len(STYLES)]
+
+    whole = {c: sorted(r[3] for r in rows if r[0] == c) for c in [*range(10), None, 99]}
+    assert sorted(conversations(df)) == sorted(whole.values())
+    some = conversations(df, most_rows=700).copy()
+    assert all(x in whole.values() for x in some) and 600 <= sum(map(len, some)) <= 700
+    assert conversations(df.repartition(5, "text"), most_rows=700) == some
+    assert conversations(df, most_rows=4) == []
