@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.session import cut
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest id reachable from each id that has a link.
 
     edges: columns src, dst (long); direction, repeats, loops and nulls don't matter.
@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = cut(pair.union(pair.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = both.groupBy(F.col("src").alias("id")).agg(F.least(F.col("id"), F.min("dst")).alias("label"))
     labels = cut(labels)
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so the rounds end
         near = (
             both.join(labels.select(F.col("id").alias("dst"), "label"), "dst")
             .groupBy(F.col("src").alias("id"))
@@ -33,4 +33,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if labels.filter("was != label").isEmpty():
             return labels.select("id", F.col("label").alias("component_id"))
         labels = labels.drop("was")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

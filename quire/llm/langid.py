@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quire.llm.text import Words, mix64, slices
+from quire.llm.text import frugal, mix64, slices, Words
 from quire.session import ship
 
 #: Pieces of more bytes are left out of the vocabulary.
@@ -260,6 +260,7 @@ def tagged(docs: DataFrame, model: Model) -> DataFrame:
     ship(docs.sparkSession)
     names = np.array([*model.languages, UNKNOWN], object)
 
+    @frugal
     def run(batches):
         import regex
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import Words, mix64, slices, windows
+from quire.llm.text import frugal, mix64, slices, windows, Words
 from quire.session import ship
 
 SHINGLE, ROWS, BANDS, PERCENT = 5, 2, 24, 80
@@ -173,6 +173,7 @@ def scan(docs: DataFrame, templates=tuple(TEMPLATES), percent: int = PERCENT) ->
     """
     ship(docs.sparkSession)
 
+    @frugal
     def run(batches):
         index = Index(templates)
         for batch in batches:

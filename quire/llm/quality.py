@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import _IS_SPACE, Words, mix64, slices, utf8, windows
+from quire.llm.text import _IS_SPACE, frugal, mix64, slices, utf8, windows, Words
 from quire.session import cut, ship
 
 _SYMBOL = np.zeros(256, bool)
@@ -122,6 +122,7 @@ def _folded_hashes(w: Words) -> np.ndarray:
 def line_facts(docs: DataFrame, host: str) -> DataFrame:
     """For each row its counts, fingerprint and distinct lines."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             ids, hosts, texts, rows, keys = (batch.column(i) for i in range(5))

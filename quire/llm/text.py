@@ -6,6 +6,8 @@ slices of a few MB of text, so memory follows the slice or the longest single te
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -17,6 +19,20 @@ SLICE_BYTES = 4 << 20
 #: Words longer than this are hashed one by one.
 LONG_WORD = 64
 
+def frugal(run):
+    """run(batches) for mapInArrow, after which the worker hands freed memory back: idle workers live on beside later stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+    return wrapped
+
+
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15 | 1)
 _STEP = _U(0xD6E8FEB86659FD93)
