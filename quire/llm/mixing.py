@@ -5,11 +5,9 @@ the one x at which they add up to T, which is what resharing the excess by weigh
 above its capacity arrives at. Each document is then taken floor(rate) times and once more by a
 hash-seeded Bernoulli draw whose probability is the fraction of rate = target / size of its source.
 
-The draws are systematic within groups of one source and similar size: documents go by hash, and
-the k-th is taken if k * fraction + u passes a whole number, u being the group's own uniform hash.
-Each single draw has the stated probability, while the words taken keep close to the
-target. Large groups are split by hash into groups of about `group_rows` rows, so no task holds more of a
-source than that.
+A draw hangs on the hash of seed, doc_id and text alone, so documents that come or go don't change
+those of others, rows of documents are never shuffled or ordered, and the words taken of a source stray
+from its target by chance only: of n documents of like size by about 1 / (3 * sqrt(n)) of it at most.
 """
 
 from __future__ import annotations
@@ -54,36 +52,25 @@ def targets(sizes: DataFrame, percent: int = 150, most: int = 2, weights: tuple[
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, percent: int = 150, most: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 11, group_rows: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, percent: int = 150, most: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
     """docs (doc_id, text, source, ...) with size, source_size, target and copies (times taken).
 
     Null text has size 0 and adds nothing; a null source is a source of its own, last in order. Rows that
-    repeat a doc_id are documents of their own; equal rows draw by their order. Other columns are kept. An
+    repeat a doc_id are documents of their own, which draw by their texts; equal rows draw alike. Other columns are kept. An
     empty table gives no rows; sources of size 0 have target 0. Columns of the input with these four names are replaced; names that begin with mix_ are taken.
     """
     made = ("size", "source_size", "target", "copies")
     own = [c for c in docs.columns if c not in made]
-    level = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double"))).cast("int")  # sizes that differ by less than 2 times
-    rows = docs.select(*own).withColumn("size", words(F.col("text"))).withColumn("mix_level", level)
-    # summed in each task before it is dealt out
-    classes = rows.groupBy(F.col("source").alias("mix_source"), F.col("mix_level").alias("mix_class")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
-    classes = cut(classes)  # a few rows a source; texts are read once for them and once for the draws
-    sizes = classes.groupBy(F.col("mix_source").alias("source")).agg(F.sum("words").alias("source_size"))
-    sources = targets(sizes, percent, most, weights).withColumnRenamed("source", "mix_name")
-    plan = classes.join(sources, F.col("mix_source").eqNullSafe(F.col("mix_name"))).select(
-        "mix_source", "mix_class", "source_size", "target", F.ceil(F.col("rows") / group_rows).alias("mix_parts")
-    )
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_level") == F.col("mix_class")))
+    rows = docs.select(*own).withColumn("size", words(F.col("text")))
+    # summed in each task before it is dealt out; one row a source
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = cut(targets(sizes, percent, most, weights)).withColumnRenamed("source", "mix_name")
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("mix_name")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    place = F.md5(F.concat_ws("|", F.lit(str(seed)), key, F.col("size").cast("string")))
-    part = F.floor(uniform(key, F.lit("part"), seed=seed) * F.col("mix_parts"))
-    rows = rows.withColumn("mix_rate", rate).withColumn("mix_place", place).withColumn("mix_part", part)
-    k = F.row_number().over(Window.partitionBy("mix_source", "mix_level", "mix_part").orderBy("mix_place"))
-    share = F.col("mix_rate") - F.floor("mix_rate")
-    shift = uniform(F.coalesce(F.col("mix_source"), F.lit("")), F.col("mix_level").cast("string"), F.col("mix_part").cast("string"), seed=seed)
-    drawn = F.floor(k * share + shift) - F.floor((k - 1) * share + shift)
-    rows = rows.withColumn("copies", (F.floor("mix_rate") + drawn).cast("long"))
+    text_key = F.coalesce(F.md5(F.col("text").cast("string")), F.lit(""))
+    draw = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_key, seed=seed)
+    rows = rows.withColumn("mix_rate", rate)
+    rows = rows.withColumn("copies", (F.floor("mix_rate") + F.when(draw < F.col("mix_rate") - F.floor("mix_rate"), 1).otherwise(0)).cast("long"))
     return rows.select(*own, *made)
 
 
