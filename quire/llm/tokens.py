@@ -2,8 +2,8 @@
 
 Both pre-tokenizers met here never join text across a single space between two non-space
 characters, so a text is cut there, each distinct piece goes through the library's own model once,
-and the ids of a text are the joined ids of its pieces. Texts that don't allow it, and tokenizer
-files of any other build, go through the library's encode().
+and the ids of a text are the joined ids of its pieces. Texts that don't allow it, texts with the
+name of a special token, and tokenizer files of any other build, go through the library's encode().
 """
 
 from __future__ import annotations
@@ -102,7 +102,8 @@ class _Pieces(_Kept):
 class Encoder:
     """ids(text) equals Tokenizer.encode(text, add_special_tokens=False).ids as little-endian uint32 bytes.
 
-    Names of special tokens in a text are ordinary text. Null is empty.
+    Texts in which the name of a special token stands go through the library whole, which gives that token's id.
+    Null is empty.
     """
 
     def __init__(self, path: str):
@@ -110,14 +111,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocab_size = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         parts = [x.get("type") for x in pre.get("pretokenizers", [])]
         plain_model = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
-        added = [x for x in spec.get("added_tokens", []) if not x.get("special")]
+        added = [x for x in spec.get("added_tokens", []) if x.get("normalized") or not x.get("content")]
+        self.names = [x["content"] for x in spec.get("added_tokens", []) if x.get("content")]
         self.kind = ""
         model = _Pre(self.tokenizer.model)
         if plain_model and not added and pre.get("type") == "ByteLevel" and not normal and not pre.get("add_prefix_space") and pre.get("use_regex", True):
@@ -133,6 +134,8 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(name in text for name in self.names):
+            return self.whole(text)
         try:
             if self.kind == "word":
                 return b"".join(map(self.rest.__getitem__, text.split(" ")))
