@@ -22,13 +22,16 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from quire.llm.text import frugal, mix64, slices, Words
 from quire.session import ship
 
-#: Pieces of more bytes are left out of the vocabulary.
-LONGEST_PIECE = 8
-#: Words are cut into stretches of so many bytes, which bounds the tables of one step.
-STRETCH = 32
+#: Words of more bytes are not learned from; they are scored whole like all others.
+LONGEST_LEARNED = 4096
 UNKNOWN = "und"
 
+#: Sums below this are scaled up by its inverse; a sum of logarithms keeps account.
+_SMALL = 1e-60
+#: End positions by words that one segment of the recursion covers; bounds the tables of a step.
+_CELLS = 1 << 20
 _U = np.uint64
+_BASE = _U(0x9E3779B97F4A7C15)
 
 
 def vocabulary(model: str) -> list[bytes]:
@@ -40,118 +43,182 @@ def vocabulary(model: str) -> list[bytes]:
     for i in range(p.get_piece_size()):
         if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i)):
             piece = p.id_to_piece(i).replace("▁", "").lower().encode()
-            if 1 < len(piece) <= LONGEST_PIECE:
+            if piece:
                 found.add(piece)
     return sorted(found, key=lambda x: (len(x), x))
 
 
 class Lattice:
-    """Finds the pieces in many words at once and runs the recursions over all of them."""
+    """Finds the pieces in many words at once and runs the recursions over all of them.
+
+    Every prefix of a piece is known by a 64-bit hash, so a search from a byte goes on only while some
+    piece begins so; its length is that of the longest piece there.
+    """
 
     def __init__(self, pieces: list[bytes]):
-        self.n = len(pieces)
-        keys = np.array([self._key(np.frombuffer(p, np.uint8)) for p in pieces], np.uint64)
-        bits = (self.n * 8 - 1).bit_length()
-        self.shift = _U(64 - bits)
-        # open addressing with linear steps, probed for all positions at once
-        self.table_key, self.table_id = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        self.steps = 1
-        for i, k in enumerate(keys.tolist()):
-            at, step = self._slot(k), 1
-            while self.table_id[at] >= 0:
-                at, step = (at + 1) % len(self.table_id), step + 1
-            self.table_key[at], self.table_id[at] = k, i
-            self.steps = max(self.steps, step)
-
-    def _slot(self, key: int) -> int:
-        return int((key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> int(self.shift))
-
-    @staticmethod
-    def _key(b: np.ndarray) -> int:
-        """Up to 8 bytes are their own key; no byte of UTF-8 text is 0xff, which stands before them."""
-        return int.from_bytes(b.tobytes(), "big") if len(b) == 8 else int.from_bytes(b"\xff" + b.tobytes(), "big")
+        lengths = np.array([len(p) for p in pieces])
+        self.longest = int(lengths.max())
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint64)
+        first = np.cumsum(lengths) - lengths
+        h, live, keys, ids = np.zeros(len(pieces), np.uint64), np.arange(len(pieces)), [], []
+        for m in range(self.longest):
+            live = live[lengths[live] > m]
+            h[live] = h[live] * _BASE + data[first[live] + m] + _U(1)
+            keys.append(h[live])
+            ids.append(np.where(lengths[live] == m + 1, live, -1))
+        keys, ids = np.concatenate(keys), np.concatenate(ids)
+        order = np.lexsort((-ids, keys))  # of equal prefixes the one that is a piece
+        keys, ids = keys[order], ids[order]
+        only = np.concatenate([[True], keys[1:] != keys[:-1]])
+        keys, ids = keys[only], ids[only]
+        bits = (len(keys) * 4 - 1).bit_length()
+        self.shift, self.mask = _U(64 - bits), (1 << bits) - 1
+        # open addressing with linear steps: of those that want a free place the first gets it, the others step on
+        self.table_key, self.table_id = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -2, np.int32)
+        at, left, self.steps = (keys * _BASE >> self.shift).astype(np.int64), np.arange(len(keys)), 0
+        while len(left):
+            free = left[self.table_id[at[left]] == -2]
+            _, nth = np.unique(at[free], return_index=True)
+            won = free[nth]
+            self.table_key[at[won]], self.table_id[at[won]] = keys[won], ids[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            at[left] = (at[left] + 1) & self.mask
+            self.steps += 1
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Piece of each key, or -1."""
-        at = (keys * _U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-        out = np.full(len(keys), -1, np.int32)
-        for _ in range(self.steps):
-            hit = (self.table_key[at] == keys) & (self.table_id[at] >= 0)
-            out[hit] = self.table_id[at[hit]]
-            at = (at + 1) & (len(self.table_id) - 1)
+        """Piece of each key, -1 for the begin of a piece, -2 for neither."""
+        at = (keys * _BASE >> self.shift).astype(np.int64)
+        out = self.table_id[at]
+        miss = np.flatnonzero((self.table_key[at] != keys) & (out != -2))
+        out[miss] = -2
+        at = (at[miss] + 1) & self.mask
+        for _ in range(self.steps - 1):
+            if not len(miss):
+                break
+            here = self.table_id[at]
+            hit = (self.table_key[at] == keys[miss]) & (here != -2)
+            out[miss[hit]] = here[hit]
+            on = ~hit & (here != -2)
+            miss, at = miss[on], (at[on] + 1) & self.mask
         return out
 
-    def arcs(self, text: np.ndarray) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-        """text: words by bytes, 0 after the end. For each end i and length m: (words, pieces) that match."""
-        n, width = text.shape
-        wide = text.astype(np.uint64)
-        lengths = (text != 0).sum(1)
-        out: list[list] = [[] for _ in range(width + 1)]
-        key = [wide[:, i] for i in range(width)]  # keys of the pieces of m bytes that begin at i
-        for m in range(1, LONGEST_PIECE + 1):
-            if m > 1:
-                key = [(key[i] << _U(8)) | wide[:, i + m - 1] for i in range(width - m + 1)]
-            mark = _U(0xFF << 8 * m) if m < 8 else _U(0)
-            for i in range(width - m + 1):
-                live = np.flatnonzero(lengths >= i + m)
-                if not len(live):
+    def arcs(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, low: int, high: int):
+        """Pieces in the words that end after `low` and not after `high`, by end and word: (end, word, bytes, piece)."""
+        begin = max(0, low - self.longest + 1)
+        n = np.clip(lengths, 0, high) - begin
+        word = np.repeat(np.arange(len(lengths), dtype=np.int32), np.maximum(n, 0))
+        n = np.maximum(n, 0)
+        place = begin + np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+        last = np.minimum(lengths, high)[word]
+        h, found = np.zeros(len(word), np.uint64), []
+        for m in range(1, self.longest + 1):
+            on = place + m <= last
+            if not on.all():
+                word, place, last, h = word[on], place[on], last[on], h[on]
+            if not len(word):
+                break
+            h = h * _BASE + data[starts[word] + place + (m - 1)] + _U(1)
+            piece = self.find(h)
+            hit = (piece >= 0) & (place + m > low)
+            found.append((place[hit] + m, word[hit], np.full(int(hit.sum()), m, np.int32), piece[hit]))
+            on = piece != -2
+            word, place, last, h = word[on], place[on], last[on], h[on]
+        end, word, m, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+        order = np.lexsort((word, end))
+        return end[order], word[order], m[order], piece[order]
+
+    def forward(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Log-likelihood of each word by language: words as bytes from starts on, p as pieces by languages.
+
+        A segment of end positions is worked at a time, and the sums at its last ends are carried over; sums are
+        scaled as they get small, so words may have any length.
+        """
+        n, back = len(lengths), self.longest
+        out, scale = np.zeros((n, p.shape[1])), np.zeros((n, p.shape[1]))
+        carried = np.zeros((back, n, p.shape[1]))
+        carried[-1] = 1.0
+        width, step = int(lengths.max(initial=0)), max(64, _CELLS // max(1, n))
+        for low in range(0, width, step):
+            high = min(width, low + step)
+            end, word, m, piece = self.arcs(data, starts, lengths, low, high)
+            a = np.concatenate([carried, np.zeros((high - low, n, p.shape[1]))])
+            bounds = np.searchsorted(end, np.arange(low + 1, high + 2))
+            for k in range(high - low):
+                x, y = bounds[k], bounds[k + 1]
+                if x == y:
                     break
-                piece = self.find(key[i][live] | mark)
-                ok = piece >= 0
-                if ok.any():
-                    out[i + m].append((m, live[ok], piece[ok]))
+                row, who = back + k, word[x:y]
+                flow = a[row - m[x:y], who] * p[piece[x:y]]
+                edges = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+                who, flow = who[edges], np.add.reduceat(flow, edges)
+                small = flow < _SMALL
+                if small.any():
+                    up = np.where(small, 1 / _SMALL, 1.0)
+                    flow = flow * up
+                    a[row - back + 1 : row, who] *= up
+                    scale[who] -= np.log(up)
+                a[row, who] = flow
+                done = lengths[who] == low + k + 1
+                out[who[done]] = np.log(flow[done]) + scale[who[done]]
+            carried = a[-back:]
         return out
 
-    def forward(self, text: np.ndarray, p: np.ndarray, arcs=None):
-        """Log-likelihood of each word by language, and the scaled forward sums. p: pieces by languages."""
-        n, width = text.shape
-        arcs = arcs or self.arcs(text)
-        lengths = (text != 0).sum(1)
-        a = np.zeros((width + 1, n, p.shape[1]))
+    def expected(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, times: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in the words, each counted so many times, under the probabilities p of one language."""
+        n, width = len(lengths), int(lengths.max())
+        end, word, m, piece = self.arcs(data, starts, lengths, 0, width)
+        bounds = np.searchsorted(end, np.arange(1, width + 2))
+        a, b = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+        up_a, up_b = np.zeros((width + 1, n)), np.zeros((width + 1, n))  # logarithms of what the sums are scaled by
         a[0] = 1.0
-        for i in range(1, width + 1):
-            for m, who, piece in arcs[i]:
-                a[i, who] += a[i - m, who] * p[piece]
-        return a[lengths, np.arange(n)], a
+        for e in range(1, width + 1):
+            x, y = bounds[e - 1], bounds[e]
+            who, before = word[x:y], e - m[x:y]
+            top = up_a[e - 1, who]
+            flow = a[before, who] * np.exp(top - up_a[before, who]) * p[piece[x:y]]
+            edges = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+            total, who = np.add.reduceat(flow, edges), who[edges]
+            a[e, who], up_a[e, who] = 1.0, up_a[e - 1, who] - np.log(total)
+        b[lengths, np.arange(n)] = 1.0
+        uses = np.zeros(len(p))
+        for e in range(width, 0, -1):
+            x, y = bounds[e - 1], bounds[e]
+            who, before = word[x:y], e - m[x:y]
+            # sums from e to the end, scaled so that a sum over all pieces that begin at a byte is known only when all are added
+            flow = p[piece[x:y]] * b[e, who]
+            fresh = b[before, who] == 0
+            up_b[before[fresh], who[fresh]] = up_b[e, who[fresh]]
+            b[before, who] += flow * np.exp(up_b[before, who] - up_b[e, who])
+            # a(before) * P * b(e) / a(length)
+            share = flow * np.exp(up_a[lengths[who], who] - up_a[before, who] - up_b[e, who])
+            uses += np.bincount(piece[x:y], weights=share * times[who], minlength=len(p))
+            here = e - 1
+            if here:
+                small = (b[here] > 0) & (b[here] < _SMALL)
+                if small.any():
+                    b[here, small] /= _SMALL
+                    up_b[here, small] -= np.log(_SMALL)
+        return uses
 
 
 def distinct_words(part: pa.Array):
-    """Distinct stretches of words of a slice: (bytes, stretch of each occurrence, row of each occurrence)."""
+    """Distinct words of a slice: (bytes, starts, lengths, word of each occurrence, row of each occurrence, rows)."""
     w = Words(part)
-    starts, ends, own = w.starts, w.ends, w.owner()
-    lengths = ends - starts
-    if len(lengths) and int(lengths.max()) > STRETCH:
-        pieces = -(-lengths // STRETCH)
-        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts, ends, own = np.repeat(starts, pieces) + nth * STRETCH, np.repeat(ends, pieces), np.repeat(own, pieces)
-        ends = np.minimum(ends, starts + STRETCH)
-        lengths = ends - starts
-    h = lengths.astype(np.uint64)
-    live, k = np.arange(len(lengths)), 0
-    while len(live):
-        live = live[lengths[live] > k]
-        h[live] = (h[live] ^ w.bytes[starts[live] + k]) * _U(0x9E3779B97F4A7C15)
-        k += 1
-    _, first, which = np.unique(mix64(h), return_index=True, return_inverse=True)
-    return w.bytes, starts[first], lengths[first], which, own, w.rows
-
-
-def word_matrix(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Words as rows of bytes, 0 after the end."""
-    width = int(lengths.max())
-    at = starts[:, None] + np.arange(width)
-    inside = np.arange(width) < lengths[:, None]
-    return np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
+    lengths = w.ends - w.starts
+    _, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+    return w.bytes, w.starts[first], lengths[first], which, w.owner(), w.rows
 
 
 def _by_length(lengths: np.ndarray, limit: int = 60_000):
-    """Indices of words of like length, at most `limit` a step."""
+    """Indices of words of like length, at most `limit` a step and fewer of long ones."""
     order = np.argsort(lengths, kind="stable")
-    for top in (4, 8, 12, 16, 24, STRETCH):
-        low = 0 if top == 4 else {8: 4, 12: 8, 16: 12, 24: 16, STRETCH: 24}[top]
-        group = order[np.searchsorted(lengths[order], low, "right") : np.searchsorted(lengths[order], top, "right")]
-        for i in range(0, len(group), limit):
-            yield group[i : i + limit]
+    at = 0
+    while at < len(order):
+        shortest = int(lengths[order[at]])
+        top = max(4, shortest + shortest // 3)
+        to = min(at + max(1, min(limit, 16 * limit // max(1, top))), int(np.searchsorted(lengths[order], top, "right")))
+        yield order[at:to]
+        at = to
 
 
 class Model:
@@ -179,8 +246,7 @@ class Model:
         data, starts, lengths, which, own, rows = distinct_words(part)
         scores = np.zeros((len(starts), len(self.languages)))
         for at in _by_length(lengths):
-            total, _ = self.lattice.forward(word_matrix(data, starts[at], lengths[at]), self.p)
-            scores[at] = np.log(total)
+            scores[at] = self.lattice.forward(data, starts[at], lengths[at], self.p)
         out = np.stack([np.bincount(own, weights=scores[which, k], minlength=rows) for k in range(len(self.languages))], 1) if len(own) else np.zeros((rows, len(self.languages)))
         return out, np.bincount(own, minlength=rows)
 
@@ -190,64 +256,44 @@ def fit(counts: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int =
     languages = sorted(counts)
     lattice = Lattice(pieces)
     p = np.full((len(pieces), len(languages)), 1.0 / len(pieces))
-    cut: list[dict[bytes, int]] = []
-    for lang in languages:
-        found: dict[bytes, int] = {}
-        for word, n in counts[lang].items():
-            for i in range(0, len(word), STRETCH):
-                found[word[i : i + STRETCH]] = found.get(word[i : i + STRETCH], 0) + n
-        cut.append(found)
-    for _ in range(rounds):
-        expected = np.full_like(p, least)
-        for k, found in enumerate(cut):
-            words = list(found)
-            times = np.array([found[w] for w in words], float)
-            lengths = np.array([len(w) for w in words])
-            starts = np.cumsum(lengths) - lengths
-            data = np.frombuffer(b"".join(words), np.uint8)
+    for k, lang in enumerate(languages):
+        words = [w for w in counts[lang] if 0 < len(w) <= LONGEST_LEARNED]
+        times = np.array([counts[lang][w] for w in words], float)
+        lengths = np.array([len(w) for w in words], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        data = np.frombuffer(b"".join(words), np.uint8)
+        for _ in range(rounds):
+            uses = np.full(len(pieces), least)
             for at in _by_length(lengths, 20_000):
-                text = word_matrix(data, starts[at], lengths[at])
-                arcs = lattice.arcs(text)
-                total, a = lattice.forward(text, p[:, k : k + 1], arcs)
-                a, total = a[:, :, 0], total[:, 0]
-                b = np.zeros_like(a)
-                b[(text != 0).sum(1), np.arange(len(at))] = 1.0
-                for i in range(text.shape[1], 0, -1):
-                    for m, who, piece in arcs[i]:
-                        flow = p[piece, k] * b[i, who]
-                        expected[:, k] += np.bincount(piece, weights=a[i - m, who] * flow / total[who] * times[at][who], minlength=len(pieces))
-                        b[i - m, who] += flow
-        p = expected / expected.sum(0)
+                uses += lattice.expected(data, starts[at], lengths[at], times[at], p[:, k])
+            p[:, k] = uses / uses.sum()
     return Model(languages, pieces, p)
 
 
 def sample(docs: DataFrame, lang: str, per_language: int) -> DataFrame:
-    """About per_language labelled rows of each language, by hash of doc_id, as (lang, text)."""
+    """About per_language labelled rows of each language, by hash of doc_id and text, as (lang, text)."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull())
     n = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # one row a language
     rate = F.lit(0.0)
     for k, v in n.items():
         rate = F.when(F.col(lang) == k, min(1.0, per_language / v)).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 30)) < rate * (1 << 30)
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(3)), F.lit(1 << 30)) < rate * (1 << 30)
     return rows.filter(draw).select(F.col(lang).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
 
-def learn(docs: DataFrame, pieces: list[bytes], lang: str = "lang", per_language: int = 1500, words_per_language: int = 60_000) -> Model:
-    """Fit a model on a sample of docs: about `per_language` rows and the `words_per_language` most frequent words of each language.
+def learn(docs: DataFrame, pieces: list[bytes], lang: str = "lang", per_language: int = 1500) -> Model:
+    """Fit a model on a sample of docs: about `per_language` rows of each language, whatever the size of docs.
 
-    Both bounds hold the model's training data to a fixed size, whatever the size of docs. Texts in
-    the sample count whole.
+    Texts in the sample count with all their words of up to LONGEST_LEARNED bytes. Rows without text or label are not
+    learned from; labels of null doc_id count like others; of a table without labels nothing is learned.
     """
-    from pyspark.sql.window import Window
-
     rows = sample(docs, lang, per_language)
     word = F.explode(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
-    counted = rows.select("lang", word.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    counted = rows.select("lang", word.alias("word")).filter(F.octet_length("word") <= LONGEST_LEARNED).groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts: dict[str, dict[bytes, int]] = {}
-    for r in counted.withColumn("k", first).filter(F.col("k") <= words_per_language).collect():
+    for r in counted.collect():  # the words of the sample
         counts.setdefault(r["lang"], {})[r["word"].encode()] = r["n"]
-    return fit(counts, pieces)
+    return fit({k: dict(sorted(v.items())) for k, v in counts.items()}, pieces)
 
 
 def tagged(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -7,35 +9,81 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm.langid import STRETCH, Lattice, Model, fit, identify, learn, vocabulary, word_matrix
+from quire.llm import langid
+from quire.llm.langid import Lattice, Model, fit, identify, learn, vocabulary
 
 
 def brute(word, pieces, p):
-    """Sum over all segmentations, by recursion."""
-    if not word:
-        return np.ones(p.shape[1])
-    return sum((p[pieces[word[:m]]] * brute(word[m:], pieces, p) for m in range(1, min(8, len(word)) + 1) if word[:m] in pieces), np.zeros(p.shape[1]))
+    """Log of the sum over all segmentations, by fractions of the text's end."""
+    sums = [[Fraction(1)] * p.shape[1]]
+    for i in range(1, len(word) + 1):
+        here = [Fraction(0)] * p.shape[1]
+        for j in range(i):
+            if word[j:i] in pieces:
+                here = [x + Fraction(float(q)) * y for x, q, y in zip(here, p[pieces[word[j:i]]], sums[j])]
+        sums.append(here)
+    return np.array([math.log(x.numerator) - math.log(x.denominator) for x in sums[-1]])
 
 
-def test_forward_sums_all_segmentations():
+def uses(word, pieces, p):
+    """Expected uses of the pieces, by listing all segmentations."""
+    found = []
+
+    def go(at, path, chance):
+        if at == len(word):
+            found.append((path, chance))
+        for to in range(at + 1, len(word) + 1):
+            if word[at:to] in pieces:
+                k = pieces[word[at:to]]
+                go(to, [*path, k], chance * p[k])
+
+    go(0, [], 1.0)
+    out, total = np.zeros(len(p)), sum(c for _, c in found)
+    for path, chance in found:
+        for k in path:
+            out[k] += chance / total
+    return out
+
+
+def stacked(words):
+    lengths = np.array([len(w) for w in words])
+    return np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
     rng = random.Random(1)
-    names = sorted({bytes([b]) for b in range(256)} | {bytes(rng.choices(b"abc", k=rng.randrange(2, 9))) for _ in range(60)})
+    names = sorted({bytes([b]) for b in range(256)} | {bytes(rng.choices(b"abc", k=rng.randrange(2, 25))) for _ in range(60)} | {b"ab" * 12, b"abc"})
     pieces = {x: i for i, x in enumerate(names)}
-    p = np.random.default_rng(2).random((len(names), 3))
-    words = [bytes(rng.choices(b"abcd", k=n)) for n in (1, 2, 5, 8, 9, 12)] + ["éa".encode()]
-    lengths = np.array([len(w) for w in words])
-    total, _ = Lattice(names).forward(word_matrix(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths), p)
-    assert total == pytest.approx(np.array([brute(w, pieces, p) for w in words]))
+    p = np.random.default_rng(2).random((len(names), 3)) * 1e-3
+    words = [bytes(rng.choices(b"abcd", k=n)) for n in (1, 2, 5, 8, 9, 12, 33, 100, 100, 250)] + ["éa".encode(), b"a\0b\0", b"ab" * 60]
+    want = np.array([brute(w, pieces, p) for w in words])
+    assert Lattice(names).forward(*stacked(words), p) == pytest.approx(want, rel=1e-9)
+    monkeypatch.setattr(langid, "_CELLS", 1)  # many segments
+    assert Lattice(names).forward(*stacked(words), p) == pytest.approx(want, rel=1e-9)
+
+
+def test_expected_uses_are_those_of_all_segmentations():
+    rng = random.Random(4)
+    names = sorted({bytes([b]) for b in range(256)} | {bytes(rng.choices(b"ab", k=rng.randrange(2, 6))) for _ in range(12)})
+    pieces = {x: i for i, x in enumerate(names)}
+    p = np.random.default_rng(5).random(len(names)) * 1e-30  # sums far below what a double holds
+    words = [bytes(rng.choices(b"abc", k=n)) for n in (1, 3, 7, 12, 13)]
+    times = np.array([1.0, 2.0, 5.0, 1.0, 3.0])
+    want = sum(t * uses(w, pieces, p * 1e30 * 1e-3) for w, t in zip(words, times))
+    assert Lattice(names).expected(*stacked(words), times, p * 1e30 * 1e-3) == pytest.approx(want)
+    long = b"abc" * 300
+    got = Lattice(names).expected(*stacked([long]), np.array([1.0]), p)
+    assert (got * np.array([len(x) for x in names])).sum() == pytest.approx(len(long))  # every byte lies in one piece
 
 
 def test_text_is_the_product_of_its_words():
     names = [bytes([b]) for b in range(256)] + [b"ab", b"abc"]
     m = Model(["x", "y"], names, np.random.default_rng(3).random((len(names), 2)))
-    text = "Abc  ab\n" + "z" * (STRETCH + 5)
+    text = "Abc  ab\n" + "z" * 5000
     pieces = {x: i for i, x in enumerate(names)}
-    want = sum(np.log(brute(w, pieces, m.p)) for w in (b"abc", b"ab", b"z" * STRETCH, b"z" * 5))
+    want = sum(brute(w, pieces, m.p) for w in (b"abc", b"ab")) + 5000 * np.log(m.p[ord("z")])
     got, n = m.log_likelihood(pa.array([text, None, "", "abc"]))
-    assert got[0] == pytest.approx(want) and list(n) == [4, 0, 0, 1] and (got[1] == 0).all()
+    assert got[0] == pytest.approx(want) and list(n) == [3, 0, 0, 1] and (got[1] == 0).all()
 
 
 def test_fitting_raises_the_likelihood():
