@@ -32,14 +32,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of all documents; a quarter, chosen by doc_id, is held out of the training."""
+    """Languages of all documents; a quarter, chosen by doc_id, is held out of the training; a null doc_id is not held out."""
     import public_tokenizers
     from pyspark.sql import functions as F
 
     from quire.llm.langid import identify, learn, vocabulary
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = learn(docs.filter(~held_out), vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -100,33 +100,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_bin, op3_packing, op4_language_id, op5_warc, op6_license_scan, op7_quality_rules, op8_chat_format, op9_mixing, op10_embedding_near_dedup)}
 
 
+#: Sources above their capacities are set aside round by round, as the excess is shared again.
 OP9_SQL = """
-with d as (
-  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents),
-d2 as (select *, cast(floor(log2(cast(greatest(size, 1) as double))) as integer) as lvl from d),
-src as (select source, cast(sum(size) as bigint) as source_size from d group by source),
-w as (select *, row_number() over (order by source nulls last) - 1 as place from src),
-w2 as (select *, cast([3, 1, 2][place % 3 + 1] as double) as weight, cast(source_size * 2 as double) as most from w),
-w3 as (select *,
-  coalesce(sum(most) over (order by most / weight, place rows between unbounded preceding and 1 preceding), 0) as full_words,
-  sum(weight) over (order by most / weight, place rows between current row and unbounded following) as open_weight,
-  sum(source_size) over () * 150 / 100.0 as budget from w2),
-w4 as (select *, (budget - full_words) / open_weight as lev from w3),
-w5 as (select *, (select lev from w4 x where x.most >= x.lev * x.weight order by x.most / x.weight, x.place limit 1) as level from w4),
-t as (select source, source_size, least(most, coalesce(level * weight, most)) as target from w5),
-c as (select source, lvl, ceil(count(*) / 4096) as parts from d2 group by source, lvl),
+with recursive d as (
+  select doc_id, source, md5(text) as digest, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents),
+s as (
+  select source, cast(sum(size) as bigint) as source_size, cast(2 * sum(size) as double) as most,
+    cast([3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as double) as weight
+  from d group by source),
+budget as (select cast(sum(source_size) as double) * 150 / 100 as words from s),
+rounds as (
+  select 0 as k, (select words from budget) / (select sum(weight) from s) as level
+  union all
+  select k + 1, ((select words from budget) - coalesce(sum(most) filter (where most <= weight * level), 0)) / sum(weight) filter (where most > weight * level)
+  from rounds, s where k < (select count(*) from s) group by k, level),
+last_round as (select level from rounds order by k desc limit 1),
+t as (select source, source_size, coalesce(least(most, weight * level), most) as target from s, last_round),
 r as (
-  select d2.*, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate,
-    md5('11|' || coalesce(cast(d2.doc_id as varchar), '') || '|' || d2.size) as ord,
-    cast(floor(cast(('0x' || substr(md5('11|' || coalesce(cast(d2.doc_id as varchar), '') || '|part'), 1, 12))::bigint as double) / 281474976710656.0 * c.parts) as bigint) as part
-  from d2 join t on d2.source is not distinct from t.source join c on d2.source is not distinct from c.source and d2.lvl = c.lvl),
-k as (
-  select *, rate - floor(rate) as share, row_number() over (partition by source, lvl, part order by ord) as k,
-    cast(('0x' || substr(md5('11|' || coalesce(source, '') || '|' || lvl || '|' || part), 1, 12))::bigint as double) / 281474976710656.0 as shift
-  from r)
-select doc_id, size, source_size, target,
-  cast(size * (floor(rate) + floor(k * share + shift) - floor((k - 1) * share + shift)) as bigint) as taken
-from k
+  select doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0 end as rate,
+    cast(cast('0x' || left(md5('11|' || coalesce(cast(doc_id as varchar), '') || '|' || coalesce(digest, '')), 12) as bigint) as double) / 281474976710656.0 as draw
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, cast(size * (floor(rate) + case when draw < rate - floor(rate) then 1 else 0 end) as bigint) as taken
+from r
 """
 
 
