@@ -1,6 +1,6 @@
 import numpy as np
 
-from quire.llm.embed import near_vectors
+from quire.llm.embed import _codes, hyperplanes, near_vectors, tables_for
 
 
 def brute(rows, cosine):
@@ -58,3 +58,20 @@ def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.01]), (None, [0.0, 1.0])], "vec_id long, embedding array<float>")
     rows = near_vectors(df).collect()
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in rows) == [("3", 2, "3", True), ("3", 2, "3", True), ("None", 0, "None", False), ("None", 2, "3", False)]
+
+
+def test_tables_keep_the_recall():
+    for n in (10, 10**4, 10**6, 10**9):
+        tables, signs = tables_for(n, 0.95)
+        share = (1 - np.arccos(0.95) / np.pi) ** signs
+        assert (1 - share) ** tables <= 1e-4 and (signs >= np.log2(n) or n > 2**30)
+    assert tables_for(10**6, 0.5)[0] <= 1024
+
+
+def test_codes_hang_on_the_vector_alone():
+    x = np.random.default_rng(1).standard_normal((300, 40))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    planes = hyperplanes(40, 7, 9, 3)
+    whole = _codes(x, planes, 7, 9)
+    assert all((_codes(x[i : i + 1], planes, 7, 9)[0] == whole[i]).all() for i in range(300))
+    assert (np.concatenate([_codes(x[a : a + 37], planes, 7, 9) for a in range(0, 300, 37)]) == whole).all()
