@@ -1,6 +1,6 @@
 """WARC archives: a writer and a PySpark Python data source.
 
-Files are record-at-a-time gzip. Every member carries the 'sl' extra field with its compressed and
+Files are record-at-a-time gzip, or plain. Every member carries the 'sl' extra field with its compressed and
 uncompressed lengths, so that a reader which has parsed a record's headers and found it unwanted
 goes on to the next member without inflating the payload. Members of other writers lack the
 field; those are inflated to find their end, but their payload is not kept.
@@ -154,6 +154,9 @@ def read_records(uri: str, wanted=None, with_payload: bool = True):
     with system.open_input_file(path) as file:
         end = file.size()
         source = _Source(file, 0, end)
+        if source.need(2)[:2] != b"\x1f\x8b":
+            yield from _plain_records(source, uri, wanted, with_payload)
+            return
         while source.at < end:
             total, _ = _inflated(source)
             z = zlib.decompressobj(31)
@@ -171,18 +174,17 @@ def read_records(uri: str, wanted=None, with_payload: bool = True):
             else:
                 out, fed = _whole(source, z, begin)
             head, _, rest = out.partition(b"\r\n\r\n")
-            headers = {}
-            for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
-                k, _, v = line.partition(":")
-                headers[k.strip().lower()] = v.strip()
+            headers = _headers(head)
+            size = _whole_number(headers.get("content-length"))
             keep = wanted is None or wanted(headers)
             kind = headers.get("warc-type")
             if keep and total and not z.eof and (with_payload or b"\r\n\r\n" not in rest):
                 need = source.need(total)[fed:total]
                 rest += z.decompress(z.unconsumed_tail + need)
             source.at = begin + (total or fed)
-            if keep:
-                yield _row(kind, headers, rest[: int(headers.get("content-length", 0))], with_payload)
+            if keep:  # a length that is no number is that of the member, less the two line ends
+                block = rest[:size] if size is not None else rest.removesuffix(b"\r\n\r\n")
+                yield _row(kind, headers, block, size, with_payload)
 
 
 def _whole(source: _Source, z, begin: int):
@@ -199,22 +201,79 @@ def _whole(source: _Source, z, begin: int):
     return b"".join(out), fed
 
 
-def _row(kind, headers, block: bytes, with_payload: bool):
-    http, _, payload = block.partition(b"\r\n\r\n")
-    stated = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+def _whole_number(text: str | None) -> int | None:
+    """A length as a header states it; null if it is none."""
+    return int(text) if text is not None and re.fullmatch(r"[0-9]{1,18}", text.strip()) else None
+
+
+def _row(kind, headers, block: bytes | None, size: int | None, with_payload: bool):
+    """A record as SCHEMA has it. block: all of it, what follows the headers of a skipped payload's HTTP head, or null if it was skipped.
+
+    The payload of an HTTP message is what follows its head; of other records it is the whole block. A revisit has none.
+    """
+    http = (headers.get("content-type") or "").lower().startswith("application/http")
     digest = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
-    size = int(stated[1]) if stated else None
-    if kind == "response" and with_payload:
-        size, digest = len(payload), digest32(hashlib.sha1(payload).digest())
-    elif kind == "revisit":
+    payload, stated = block, size
+    if http or (kind == "revisit" and block):
+        head, _, payload = (block or b"").partition(b"\r\n\r\n")
+        found = re.search(rb"(?im)^content-length:[ \t]*(\d{1,18})[ \t]*\r?$", head)
+        stated = int(found[1]) if found else None
+    if kind == "revisit":
         payload = None
-    ids = [re.fullmatch(r"<urn:page:(-?\d+)>", headers.get(k, "")) for k in ("warc-record-id",)]
+    elif with_payload and payload is not None:
+        stated, digest = len(payload), digest32(hashlib.sha1(payload).digest())
+    page = re.fullmatch(r"<urn:page:(-?\d{1,18})>", headers.get("warc-record-id", ""))
     return (
-        kind, headers.get("warc-record-id"), headers.get("warc-target-uri"), int(ids[0][1]) if ids[0] else None, headers.get("warc-refers-to"),
-        digest, size, headers, payload if with_payload else None,
+        kind, headers.get("warc-record-id"), headers.get("warc-target-uri"), int(page[1]) if page else None, headers.get("warc-refers-to"),
+        digest, stated, headers, payload if with_payload else None,
     )
 
 
+def _headers(head: bytes) -> dict[str, str]:
+    """Header lines by lower-case name; values of a name that repeats are joined by a comma, and lines that go on are one."""
+    out: dict[str, str] = {}
+    last = None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+            continue
+        k, colon, v = line.partition(":")
+        if colon:
+            last = k.strip().lower()
+            out[last] = f"{out[last]}, {v.strip()}" if last in out else v.strip()
+    return out
+
+
+def _plain_records(source: "_Source", uri: str, wanted, with_payload: bool):
+    """Records of a file that isn't compressed; unwanted ones are skipped by their length."""
+    while source.at < source.end:
+        n = 1 << 12
+        while True:
+            data = source.need(n)
+            at = data.find(b"\r\n\r\n")
+            if at >= 0 or len(data) < n:
+                break
+            n *= 2
+        if at < 0:
+            if data.strip():
+                raise ValueError(f"cut-off record at byte {source.at} of {uri}")
+            return
+        if not data.startswith(b"WARC/"):
+            if data[:1] in (b"\r", b"\n"):  # more blank lines than there should be
+                source.at += 1
+                continue
+            raise ValueError(f"no record at byte {source.at} of {uri}")
+        headers = _headers(data[:at])
+        size = _whole_number(headers.get("content-length"))
+        if size is None:
+            raise ValueError(f"a record without length at byte {source.at} of {uri}")
+        source.at += at + 4
+        if wanted is None or wanted(headers):
+            block = source.need(size if with_payload else min(size, 1 << 13))[:size]
+            yield _row(headers.get("warc-type"), headers, block, size, with_payload)
+        source.at += size + 4
+
+
 class _Files(InputPartition):
     def __init__(self, paths):
         super().__init__(paths)
@@ -240,10 +299,15 @@ class WarcReader(DataSourceReader):
                 self.tests.append((name, "prefix" if isinstance(f, StringStartsWith) else "in", (f.value,)))
 
     def partitions(self):
-        """Files in groups of about the target size, large ones first."""
-        found = sorted(listed(self.options["path"], ".warc.gz"), key=lambda x: -x[1])
-        if "only" in self.options:
-            names = set(self.options["only"].split(","))
+        """Files in groups of about the target size, large ones first.
+
+        With `listing`, a file of names one a line in the folder, the files that it names are those that count.
+        """
+        found = sorted((x for x in listed(self.options["path"], "") if x[0].endswith((".warc.gz", ".warc"))), key=lambda x: -x[1])
+        if "listing" in self.options:
+            system, path = opened(f"{self.options['path']}/{self.options['listing']}")
+            with system.open_input_stream(path, compression=None) as f:
+                names = set(f.read().decode().split("\n"))
             found = [x for x in found if x[0].rpartition("/")[2] in names]
         target = int(self.options.get("partitionbytes", 64 << 20))
         groups: list[list] = []
@@ -272,7 +336,7 @@ class WarcReader(DataSourceReader):
 
 
 class WarcDataSource(DataSource):
-    """spark.read.format("warc"). Options: path; payload=false skips payloads; partitionBytes; only (file names)."""
+    """spark.read.format("warc"). Options: path; payload=false skips payloads; partitionBytes; listing (a file of the names that count)."""
 
     @classmethod
     def name(cls):
@@ -299,7 +363,11 @@ def page_digests(spark: SparkSession, folder: str, files: DataFrame) -> DataFram
     Length and digest of a response are those of the payload as read back; a revisit holds no payload and
     states both in its headers. files: paths that count.
     """
-    names = ",".join(r.path.rpartition("/")[2] for r in files.collect())  # one row a file
-    records = read_warc(spark, folder, only=names, partitionBytes=str(16 << 20))
+    listing = f"files-{uuid.uuid4().hex[:12]}.txt"
+    system, path = opened(f"{folder}/{listing}")
+    with system.open_output_stream(path, compression=None) as f:
+        for r in files.toLocalIterator():  # one row a file, which may be 256 MB
+            f.write(f"{r.path.rpartition('/')[2]}\n".encode())
+    records = read_warc(spark, folder, listing=listing, partitionBytes=str(16 << 20))
     refers = F.regexp_extract("refers_to", r"<urn:page:(-?\d+)>", 1)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(refers != "", refers.cast("long")).alias("refers_to"))

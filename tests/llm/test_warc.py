@@ -49,6 +49,35 @@ def test_members_of_other_writers(tmp_path):
         assert [r[3] for r in only] == [2]
 
 
+def test_records_of_other_kinds(spark, tmp_path):
+    def raw(kind, block, *lines, length=None):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x:{kind}>", *lines, f"Content-Length: {len(block) if length is None else length}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    info = raw("warcinfo", b"software: x\r\nformat: y\r\n", "Content-Type: application/warc-fields")
+    resource = raw("resource", b"one\r\n\r\ntwo", "Content-Type: text/plain", "X-Note: a", "x-note: b", "X-Long: first", "\tsecond")
+    request = raw("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "Content-Type: application/http; msgtype=request")
+    response = record(5, "http://a", b"body \r\n\r\n of it", None, "2020-01-01T00:00:00Z")
+    empty = raw("metadata", b"")
+    want = {"warcinfo": b"software: x\r\nformat: y\r\n", "resource": b"one\r\n\r\ntwo", "request": b"", "response": b"body \r\n\r\n of it", "metadata": b""}
+    parts = [info, resource, request, response, empty]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts) + b"\r\n")
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(member, parts)))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "notes.txt").write_text("no archive")
+    for name in ("a.warc", "b.warc.gz", "c.warc.gz"):
+        got = list(read_records(str(tmp_path / name)))
+        assert {r[0]: r[8] for r in got} == want and all(r[6] == len(r[8]) for r in got)
+        headers = next(r[7] for r in got if r[0] == "resource")
+        assert headers["x-note"] == "a, b" and headers["x-long"] == "first second"
+        assert [r[3] for r in read_records(str(tmp_path / name), lambda h: h["warc-type"] == "response", False)] == [5]
+    for make in (member, gzip.compress):  # a length that is no number
+        (tmp_path / "d").write_bytes(make(raw("resource", b"abc", length="x1")) + make(resource))
+        assert [r[8] for r in read_records(str(tmp_path / "d"))] == [b"abc", want["resource"]]
+    df = read_warc(spark, f"file://{tmp_path}")
+    assert df.count() == 15 and df.filter("record_type = 'resource'").select("payload").distinct().count() == 1
+
+
 def test_empty_table_and_repeated_rows(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "a", "c"), (1, "u", "a", "c"), (0, "u", "a", "c")], "page_id long, url string, html string, payload string")
     files = write_warc(df, f"file://{tmp_path}/r")
