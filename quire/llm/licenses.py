@@ -3,20 +3,25 @@
 Words are runs of letters and digits, folded, every digit as 0; shingles take five words. Templates
 and texts are cut into overlapping windows of a few fixed sizes. A window's signature holds
 `bands * ROWS` minima; a text window that shares a band with a template window makes that template
-a candidate for the text. Text windows begin every quarter of their size, so some window is off
+a candidate for the text. Windows don't run over the end of a text: past it they are cut off. Text windows begin every quarter of their size, so some window is off
 by at most an eighth; with a fifth of the shingles changed the similarity is then still about
 0.5, and 24 bands of 2 rows meet it with probability 1 - (1 - 0.5^2)^24 > 0.998. A candidate
 is a match where a stretch of the text, up to a quarter longer than the template, contains at least
-80 percent of the template's distinct shingles.
+80 percent of the template's distinct shingles. As digits are folded, a match of a name with a version
+keeps the version only if the template's numbers stand in the stretch in order.
 """
 
 from __future__ import annotations
 
+import bisect
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.license_texts import TEMPLATES
 from quire.llm.text import frugal, mix64, slices, windows, Words
 from quire.session import ship
 
@@ -24,57 +29,42 @@ SHINGLE, ROWS, BANDS, PERCENT = 5, 2, 24, 80
 #: Sizes of windows in shingles; a template is cut by the largest that it fills.
 SIZES = (1, 3, 8, 24)
 
-#: Notices and headers that authors put on works (fixed values, public texts).
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("AGPL", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-]
-
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _FOLD[ord("0") : ord("9") + 1] = ord("0")
 
 
-def _minima(h: np.ndarray, size: int, n: int, step: int) -> np.ndarray:
-    """n minima of each window of `size` shingles that begins at a multiple of step."""
+def _minima(h: np.ndarray, size: int, n: int, at: np.ndarray) -> np.ndarray:
+    """n minima of each window of `size` shingle hashes that begins at a place of `at`; the hash 0 stands for none."""
     rng = np.random.default_rng(17)
     a = rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1)
     b = rng.integers(0, 1 << 32, n, np.uint32)
-    short = (h ^ (h >> np.uint64(32))).astype(np.uint32)
+    short, none = (h ^ (h >> np.uint64(32))).astype(np.uint32), h == 0
     count = len(h) - size + 1
-    out = np.empty((n, max(0, -(-count // step))), np.uint32)
+    out = np.empty((n, len(at)), np.uint32)
     for i in range(n):
         m, w = (short ^ b[i]) * a[i], 1
+        m[none] = np.uint32(0xFFFFFFFF)
         while 2 * w <= size:
             m = np.minimum(m[:-w], m[w:])
             w *= 2
         if w < size:
             m = np.minimum(m[:count], m[size - w :])
-        out[i] = m[:count:step]
+        out[i] = m[at]
     return out
 
 
+def _apart_from_all(starts: list[int], stretches: list[tuple[int, int]], x: int, y: int) -> bool:
+    """Put x..y among sorted disjoint stretches unless it overlaps one; says whether it went in."""
+    k = bisect.bisect_right(starts, x)
+    if (k and stretches[k - 1][1] >= x) or (k < len(starts) and starts[k] <= y):
+        return False
+    starts.insert(k, x)
+    stretches.insert(k, (x, y))
+    return True
+
+
 def _band_keys(minima: np.ndarray, size: int):
     """Keys of the bands, one array a band."""
     for k in range(len(minima) // ROWS):
@@ -92,18 +82,19 @@ class Index:
         words = Words(pa.array([t for _, t in templates]), table=_FOLD)
         h = words.hashes()
         keys: dict[int, set[int]] = {}
-        self.names, self.shingles, self.sizes = [], [], set()
+        self.names, self.numbers, self.shingles, self.sizes = [], [], [], set()
         for i, (name, text) in enumerate(templates):
             s = windows(h[words.first[i] : words.first[i + 1]], SHINGLE)
             if not len(s):
                 raise ValueError(f"a template has fewer than {SHINGLE} words: {text}")
             self.names.append(name)
+            self.numbers.append(_numbers(text) if name.rpartition("-")[2].replace(".", "").isdigit() else [])
             self.shingles.append(np.unique(s))
             size = max(x for x in SIZES if x <= len(s))
             self.sizes.add(size)
             begins = {*range(0, len(s) - size + 1, max(1, size // 2)), len(s) - size}
             for at in sorted(begins):
-                for key in _band_keys(_minima(s[at : at + size], size, self.n(size), 1), size):
+                for key in _band_keys(_minima(s[at : at + size], size, self.n(size), np.zeros(1, np.int64)), size):
                     keys.setdefault(int(key[0]), set()).add(i)
         self.keys = np.array(sorted(keys), np.uint64)
         self.found = [sorted(keys[k]) for k in self.keys.tolist()]
@@ -114,22 +105,39 @@ class Index:
         """Signature length: windows of one shingle are equal or not, and need one band."""
         return ROWS * (1 if size == 1 else self.bands)
 
-    def candidates(self, s: np.ndarray) -> list[tuple[int, int]]:
-        """(place of a window in s, template) for windows that share a band."""
+    def candidates(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(text, template) for texts (shingle hashes in order) of which a window shares a band with the template."""
         out = set()
+        lengths = np.array([len(x) for x in sets], np.int64)
         for size in sorted(self.sizes):
-            if len(s) < size:
-                continue
+            # after each text so many empty places that no window reaches the next
+            room = lengths + size - 1
+            begin = np.cumsum(room) - room
+            h = np.zeros(int(room.sum()) + size, np.uint64)
+            for a, x in zip(begin.tolist(), sets):
+                h[a : a + len(x)] = x
             step = max(1, size // 4)
-            for key in _band_keys(_minima(s, size, self.n(size), step), size):
-                at = np.flatnonzero(self.filter[(key >> np.uint64(48)).astype(np.int64)])
-                where = np.searchsorted(self.keys, key[at])
-                ok = (where < len(self.keys)) & (self.keys[np.minimum(where, len(self.keys) - 1)] == key[at])
-                for place, w in zip(at[ok].tolist(), where[ok].tolist()):
-                    out.update((place * step + d, t) for t in self.found[w] for d in (0,))
+            n = -(-lengths // step)
+            text = np.repeat(np.arange(len(sets)), n)
+            at = begin[text] + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * step
+            for key in _band_keys(_minima(h, size, self.n(size), at), size):
+                maybe = np.flatnonzero(self.filter[(key >> np.uint64(48)).astype(np.int64)])
+                where = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
+                ok = self.keys[where] == key[maybe]
+                out.update((int(r), t) for r, w in zip(text[maybe[ok]].tolist(), where[ok].tolist()) for t in self.found[w])
         return sorted(out)
 
 
+def _numbers(text: str) -> list[str]:
+    """Runs of digits in order."""
+    return re.findall("[0-9]+", text)
+
+
+def _in_order(few: list[str], many: list[str]) -> bool:
+    it = iter(many)
+    return all(x in it for x in few)
+
+
 def contained(s: np.ndarray, template: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int, int]]:
     """Stretches of s that hold enough of the template: (first shingle, last shingle, distinct shingles held).
 
@@ -156,18 +164,17 @@ def contained(s: np.ndarray, template: np.ndarray, percent: int = PERCENT) -> li
 
 def _apart(found):
     """Of overlapping stretches the best."""
-    out: list = []
-    for x in sorted(found, key=lambda x: (-x[2], x[1] - x[0], x[0])):
-        if all(x[1] < y[0] or x[0] > y[1] for y in out):
-            out.append(x)
-    return sorted(out)
+    starts: list[int] = []
+    stretches: list[tuple[int, int]] = []
+    return sorted(x for x in sorted(found, key=lambda x: (-x[2], x[1] - x[0], x[0])) if _apart_from_all(starts, stretches, x[0], x[1]))
 
 
 def scan(docs: DataFrame, templates=tuple(TEMPLATES), percent: int = PERCENT) -> DataFrame:
     """Licenses in docs (doc_id, text), one row a match: doc_id, license, first_word, last_word, containment.
 
     Words count from 0 in the folded text. Where matches of several templates overlap, the one with more shingles held
-    stays, then the higher containment, then the first template. Null, empty and short texts have no match; rows that repeat a
+    stays, then the higher containment, then the first template. A notice of another version than the template's is reported
+    without version (Apache for Apache-2.0). Null, empty and short texts have no match; rows that repeat a
     doc_id are scanned each for itself; an empty table gives no rows. Whole texts are scanned, a slice of
     a few MB at a time.
     """
@@ -180,29 +187,27 @@ def scan(docs: DataFrame, templates=tuple(TEMPLATES), percent: int = PERCENT) ->
             for at, part in slices(batch.column(1)):
                 w = Words(part, table=_FOLD)
                 s = windows(w.hashes(), SHINGLE)
-                own = w.owner()
-                pairs = sorted({(int(own[place]), t) for begin, t in index.candidates(s) for place in _touched(begin, own, index, t)})
+                first = w.first.tolist()
+                sets = [s[a : max(a, b - SHINGLE + 1)] for a, b in zip(first[:-1], first[1:])]
                 by_row: dict[int, list] = {}
-                for row, t in pairs:
-                    a, b = int(w.first[row]), int(w.first[row + 1]) - SHINGLE + 1
+                for row, t in index.candidates(sets):
                     size = len(index.shingles[t])
-                    if b > a:
-                        by_row.setdefault(row, []).extend((x, y, n, 100.0 * n / size, t) for x, y, n in contained(s[a:b], index.shingles[t], percent))
+                    by_row.setdefault(row, []).extend((x, y, n, 100.0 * n / size, t) for x, y, n in contained(sets[row], index.shingles[t], percent))
                 out = []
                 for row, found in by_row.items():
-                    kept: list = []
-                    for x in sorted(found, key=lambda x: (-x[2], -x[3], x[4], x[0])):
-                        if all(x[1] < y[0] or x[0] > y[1] for y in kept):
-                            kept.append(x)
-                    out += [(batch.column(0)[at + row].as_py(), index.names[t], x, y + SHINGLE - 1, share) for x, y, _, share, t in sorted(kept)]
+                    starts: list[int] = []
+                    stretches: list[tuple[int, int]] = []
+                    kept = [x for x in sorted(found, key=lambda x: (-x[2], -x[3], x[4], x[0])) if _apart_from_all(starts, stretches, x[0], x[1])]
+                    text = part[row].as_py().encode() if any(index.numbers[x[4]] for x in kept) else b""
+                    base = int(w.bounds[row])
+                    for x, y, _, share, t in sorted(kept):
+                        name, last = index.names[t], y + SHINGLE - 1
+                        if index.numbers[t]:
+                            said = text[int(w.starts[first[row] + x]) - base : int(w.ends[first[row] + last]) - base].decode()
+                            name = name if _in_order(index.numbers[t], _numbers(said)) else name.rpartition("-")[0]
+                        out.append((batch.column(0)[at + row].as_py(), name, x, last, share))
                 if out:
                     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "license", "first_word", "last_word", "containment"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, license string, first_word long, last_word long, containment double")
-
-
-def _touched(begin: int, own: np.ndarray, index: Index, t: int):
-    """Places in the first and last text that a window from begin on reaches: windows run over the ends of texts."""
-    size = max(x for x in SIZES if x <= len(index.shingles[t]) or x == 1)
-    return {begin, min(begin + size - 1, len(own) - 1)}

@@ -1,3 +1,4 @@
+import random
 import re
 
 from quire.llm.licenses import PERCENT, TEMPLATES, scan
@@ -43,6 +44,8 @@ def test_edited_templates_and_edges(spark):
             words[20] = "changed"
         rows.append((i, f"{filler} x{i} {' '.join(words).upper()} {filler}", name))
         want[i] = {name}
+    rows += [(105, "Licensed under the Apache License, Version 1.1", ""), (106, "Licensed under the Apache License, Version 2.0", "")]
+    want |= {105: {"Apache"}, 106: {"Apache-2.0"}}
     rows += [(100, None, ""), (101, "", ""), (102, "MIT License", ""), (103, "Released under the MIT License.", ""), (104, "a " * 200_000 + "Licensed under CC BY-NC 3.0.", "")]
     want |= {103: {"MIT"}, 104: {"CC-BY-NC"}}
     got = {}
@@ -50,3 +53,29 @@ def test_edited_templates_and_edges(spark):
         got.setdefault(r.doc_id, set()).add(r.license)
     assert got == want
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_windows_end_with_their_text(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for i in range(300):  # edited notices between other texts of all lengths; only their own words decide
+        name, text = TEMPLATES[i % len(TEMPLATES)]
+        words = text.split()
+        if len(words) > 40:
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((2 * i, " ".join(f"n{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 60)))))
+        rows.append((2 * i + 1, " ".join(words)))
+        want[2 * i + 1] = {n for _, n in brute(rows[-1][1])}
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {}
+    for r in scan(df).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert set(got) == {d for d, x in want.items() if x} and all(x <= want[d] for d, x in got.items())
+
+
+def test_full_texts(spark):
+    full = [t for t in TEMPLATES if len(t[1].split()) > 100]
+    rows = [(i, "Copyright 2020 Someone\n\n" + text.replace(". ", ".\n\n")) for i, (_, text) in enumerate(full)]
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(i, name) for i, (name, _) in enumerate(full)] and len(full) >= 5
+    assert all(r.containment == 100 for r in got)
