@@ -7,7 +7,7 @@ import importlib
 
 from quire.session import ship
 
-_PARTS = ("source_queries", "window_queries", "join_queries", "function_queries", "state_queries")
+_PARTS = ("source_queries", "window_queries", "join_queries", "function_queries", "state_queries", "paper_queries")
 
 
 def _parts():

@@ -8,7 +8,6 @@ from quire.functions import arrow, text
 from quire.operators.units import BOXES_SQL, UNITS_SQL, table, units
 
 
-
 def section():
     """Numbered headings made of units."""
     return F.concat(((F.col("ord") - 1) % 9 + 1).cast("string"), F.when(F.col("ord") % 2 == 0, F.lit(".2")).otherwise(""), F.lit(". "), F.col("source_text"))
@@ -45,28 +44,6 @@ def proj_compact(spark, sf):
     return e.join(last, "user_id").select("event_id", F.coalesce(F.when(F.col("value") < 10, F.col("review")), F.col("event_type")).alias("status"))
 
 
-def filter_range(spark, sf):
-    """The body of each document: from its first body unit to its last table unit, or its end."""
-    u = units(spark, sf)
-    b = u.groupBy("doc_id").agg(F.min(F.when(F.col("kind") == "body", F.col("ord"))).alias("lo"), F.coalesce(F.max(F.when(F.col("kind") == "table", F.col("ord"))), F.max("ord")).alias("hi"))
-    return u.join(b, "doc_id").filter(F.col("ord").between(F.col("lo"), F.col("hi"))).select("id")
-
-
-def filter_boundary_auto(spark, sf):
-    """From the first caption on to the first unit after it that begins with E or T and is longer than 200; all without a caption."""
-    u = units(spark, sf)
-    start = u.filter("kind = 'caption'").groupBy("doc_id").agg(F.min("ord").alias("lo"))
-    v = u.join(start, "doc_id", "left").withColumn("lo", F.coalesce("lo", F.lit(1)))
-    stop = v.filter((F.col("ord") > F.col("lo")) & F.col("source_text").rlike("^[ET]") & (F.length("source_text") > 200)).groupBy("doc_id").agg(F.min("ord").alias("hi"))
-    return v.join(stop, "doc_id", "left").filter((F.col("ord") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("ord") < F.col("hi")))).select("id")
-
-
-def filter_boundary_reviewed(spark, sf):
-    """A reviewed range of units 2 to 8, with included tables and without excluded captions."""
-    u = units(spark, sf)
-    return u.filter(((F.col("ord").between(2, 7) & F.col("kind").isin("heading", "body")) | (F.col("kind") == "table")) & (F.col("kind") != "caption")).select("id")
-
-
 def filter_invariant(spark, sf):
     u = units(spark, sf)
     span = u.filter("translatable").groupBy("doc_id").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
@@ -248,9 +225,6 @@ _SIGN = "[=<>+*/^|$%&#-]"
 SQL = {
     "proj_template": _U + "select id, page, kind, source_text, '' as translated_text from units where translatable",
     "proj_compact": "with l as (select user_id, event_type as review from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1) select event_id, case when value < 10 then review else event_type end as status from events join l using (user_id)",
-    "filter_range": _U + ", b as (select doc_id, min(case when kind = 'body' then ord end) as lo, coalesce(max(case when kind = 'table' then ord end), max(ord)) as hi from units group by doc_id) select id from units join b using (doc_id) where ord between lo and hi",
-    "filter_boundary_auto": _U + ", s as (select doc_id, coalesce(min(case when kind = 'caption' then ord end), 1) as lo from units group by doc_id), v as (select * from units join s using (doc_id)), e as (select doc_id, min(ord) as hi from v where ord > lo and regexp_matches(source_text, '^[ET]') and length(source_text) > 200 group by doc_id) select id from v left join e using (doc_id) where ord >= lo and (hi is null or ord < hi)",
-    "filter_boundary_reviewed": _U + "select id from units where (ord between 2 and 7 and kind in ('heading', 'body')) or kind = 'table'",
     "filter_invariant": _U + ", s as (select doc_id, min(ord) as lo, max(ord) as hi from units where translatable group by doc_id) select id from units join s using (doc_id) where not translatable and ord between lo and hi",
     "pred_kind": _U + r"""select id, case when regexp_matches(source_text, '(?i)^\s*(abstract|summary)\b') then 'abstract' when regexp_matches(source_text, '(?i)^\s*(figure|fig\.?|table)\s*\d+') then 'caption' when contains(source_text, '|') then 'table' when regexp_matches(source_text, '^\s*(\d+(\.\d+)*[.)]?\s+|[A-Z][.)]\s+)[^\n]{2,120}$') then 'heading' when words <= 4 and not regexp_matches(source_text, '[.!?]$') then 'footer' when length(source_text) > 600 then 'long-body' else 'body' end as kind from units""",
     "pred_math_run": _U + rf""", c as (select id, cast(len(regexp_extract_all(source_text, '{_SIGN}')) as bigint) as symbols, cast(len(regexp_extract_all(source_text, '[A-Za-z]{{4,}}')) as bigint) as prose from units) select *, symbols >= 2 and prose < 2 as math from c""",
@@ -286,4 +260,4 @@ select id, contains(o, t) or (n > z and (cast(contains(o, substr(t, 1, z)) as in
     "f_summary": "select doc_id, length(text) between 800 and 1500 as length_ok, len(string_split(text, chr(10))) >= 9 as sections_ok, len(regexp_extract_all(text, '[A-Z]')) >= greatest(10, length(text) / 30) as share_ok from documents",
 }
 
-QUERIES = {f.__name__: f for f in (proj_template, proj_compact, filter_range, filter_boundary_auto, filter_boundary_reviewed, filter_invariant, pred_kind, pred_math_run, pred_code_run, f_norm_body, pred_formula_only, pred_formal_heading, pred_balanced, pred_terminal, f_words, f_clean_lines, f_normalise, f_heading, f_join_continuation, f_doi_arxiv_year, f_label, f_protect, f_restore, f_token_seq, f_has_han, f_invariant_present, f_canon_hash, f_unit_id, f_slug, f_casefold, f_rect, f_safe_path, f_redact, f_glyph, f_summary)}
+QUERIES = {f.__name__: f for f in (proj_template, proj_compact, filter_invariant, pred_kind, pred_math_run, pred_code_run, f_norm_body, pred_formula_only, pred_formal_heading, pred_balanced, pred_terminal, f_words, f_clean_lines, f_normalise, f_heading, f_join_continuation, f_doi_arxiv_year, f_label, f_protect, f_restore, f_token_seq, f_has_han, f_invariant_present, f_canon_hash, f_unit_id, f_slug, f_casefold, f_rect, f_safe_path, f_redact, f_glyph, f_summary)}

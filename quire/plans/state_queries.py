@@ -43,13 +43,6 @@ def agg_progress(spark, sf):
     return S.progress(u, ["doc_id"], "ord", "id", F.coalesce("done", F.lit(False)) | (F.col("kind") == "caption"))
 
 
-def agg_repeated_running(spark, sf):
-    """Keys of short units that stand in at least three documents; those units are running text."""
-    u = units(spark, sf).filter(F.length("source_text").between(5, 120)).withColumn("key", F.trim(F.regexp_replace(F.lower("source_text"), "[^a-z0-9]+", " ")))
-    keys = u.groupBy("key").agg(F.countDistinct("doc_id").alias("n")).filter("n >= 3").select("key")
-    return u.join(keys, "key", "left_semi").select("id")
-
-
 def agg_rule_status(spark, sf):
     """Report of each document: pass if no rule is broken, and the broken ones."""
     d = table(spark, sf, "documents")
@@ -240,7 +233,6 @@ SQL = {
     "agg_bbox_union": _B + "select page, kind, round(min(x0), 3) as x0, round(min(y0), 3) as y0, round(max(x1), 3) as x1, round(max(y1), 3) as y1 from boxes group by page, kind",
     "agg_mean_conf": "select user_id, round(coalesce(avg(case when event_type = 'view' then value end), 0.0), 4) as confidence from events group by user_id",
     "agg_progress": f"with {UNITS_SQL}, {DONE_SQL}, u as (select *, doc_id in (select doc_id from done) or kind = 'caption' as ok from units) select doc_id, count(*) as total, count(*) filter (ok) as completed, arg_min(case when not ok then id end, case when not ok then ord end) as next_id, count(*) filter (not ok) as remaining, bool_and(ok) as complete from u group by doc_id",
-    "agg_repeated_running": _U + ", k as (select *, trim(regexp_replace(lower(source_text), '[^a-z0-9]+', ' ', 'g')) as key from units where length(source_text) between 5 and 120) select id from k where key in (select key from k group by key having count(distinct doc_id) >= 3)",
     "agg_rule_status": "with r as (select doc_id, length(text) < 200 as a, contains(text, '|') as b, len(regexp_extract_all(text, '[#$%&*]')) > 5 as c from documents) select doc_id, case when a or b or c then 'fail' else 'pass' end as status, array_to_string(list_filter([case when a then 'short' end, case when b then 'table' end, case when c then 'symbols' end], lambda x: x is not null), ',') as errors from r",
     "agg_distinct_order": _U + ", f as (select doc_id, kind, min(ord) as o from units group by doc_id, kind) select doc_id, string_agg(kind, ',' order by o) as kinds from f group by doc_id",
     "agg_ratio": "select doc_id, round(len(regexp_extract_all(text, '[A-Z]')) / greatest(1, length(text)), 6) as ratio from documents",
@@ -272,4 +264,4 @@ select doc_id, row_number() over (partition by doc_id order by o) as ord, id, md
     "val_quick": "with h as (select page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') as h from pages) select page_id, trim(h) = '' as blank, cast(len(regexp_extract_all(h, '[#%$&*]')) as bigint) as marks, len(regexp_extract_all(h, '[a-z]+')) > 50 as searchable from h",
 }
 
-QUERIES = {f.__name__: f for f in (agg_counter, agg_median, agg_weighted_mode, agg_vote, agg_bbox_union, agg_mean_conf, agg_progress, agg_repeated_running, agg_rule_status, agg_distinct_order, agg_ratio, agg_defects, agg_fingerprint, state_merge, state_stage, state_reconcile, state_review_carry, state_receipt, state_pointer, state_replay, cache_compile, gate_ready, val_source, val_flow, val_strict, val_coverage, val_readiness, val_metadata, val_visual_review, val_reviewed_flow, val_boundary, val_quick)}
+QUERIES = {f.__name__: f for f in (agg_counter, agg_median, agg_weighted_mode, agg_vote, agg_bbox_union, agg_mean_conf, agg_progress, agg_rule_status, agg_distinct_order, agg_ratio, agg_defects, agg_fingerprint, state_merge, state_stage, state_reconcile, state_review_carry, state_receipt, state_pointer, state_replay, cache_compile, gate_ready, val_source, val_flow, val_strict, val_coverage, val_readiness, val_metadata, val_visual_review, val_reviewed_flow, val_boundary, val_quick)}
