@@ -1,4 +1,4 @@
-"""Text functions that need Python: Unicode normalisation, slugs, literal protection. Arrow batches, never rows."""
+"""Text functions that need Python: Unicode normalisation, slugs. Arrow batches, never rows."""
 
 from __future__ import annotations
 
@@ -7,51 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType, StructField, StructType
-
-#: Literals that stay as they are, in order of priority (fixed values).
-LITERALS = re.compile(
-    r"https?://[^\s)\]}>,;]+"
-    r"|(?:doi\s*:\s*)?10\.\d{4,9}/[^\s)\]}>,;]+"
-    r"|(?:arXiv\s*:?\s*)?\d{4}\.\d{4,5}(?:v\d+)?"
-    r"|\[[^\[\]\n]{1,180}\]"
-    r"|\((?=[^()\n]{0,180}(?:19|20)\d{2})[^()\n]{1,180}\)"
-    r"|\$[^$\n]+\$"
-    r"|(?<![\w.])[-+]?\d+(?:[.,]\d+)*(?:\s*(?:%|ms|s|min|h|Hz|"
-    r"kHz|MHz|GHz|B|KB|MB|GB|TB|m|cm|mm|km|kg|g|mg|USD|USDC|"
-    r"bps|bp|dB|°C|K))?(?![A-Za-z])"
-)
-_PROSE = re.compile(r"(?:[A-Za-z]{2,}\s+){5,}[A-Za-z]{2,}")
-
-
-def protect(text: str) -> tuple[str, dict[str, str]]:
-    """Replace literals by [[P0001]], ... in order; bracketed prose is searched inside instead."""
-    found: dict[str, str] = {}
-
-    def within(part: str) -> str:
-        out, at = [], 0
-        for m in LITERALS.finditer(part):
-            if m.start() < at:
-                continue
-            out.append(part[at : m.start()])
-            s = m.group()
-            if s[0] in "[(" and _PROSE.search(s):
-                out.append(s[0] + within(s[1:-1]) + s[-1])
-            else:
-                token = f"[[P{len(found) + 1:04d}]]"
-                found[token] = s
-                out.append(token)
-            at = m.end()
-        return "".join(out) + part[at:]
-
-    return within(text), found
-
-
-@F.pandas_udf(StructType([StructField("text", StringType()), StructField("originals", MapType(StringType(), StringType()))]))
-def protect_udf(texts: pd.Series) -> pd.DataFrame:
-    rows = [protect(t) if t is not None else (None, None) for t in texts]
-    return pd.DataFrame({"text": [r[0] for r in rows], "originals": [r[1] for r in rows]})
-
+from pyspark.sql.types import StringType
 
 @F.pandas_udf(StringType())
 def nfkc_casefold(texts: pd.Series) -> pd.Series:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Han code points (fixed values).
 HAN = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]"
-#: Visual kinds by their alias (fixed values).
-LABEL_KINDS = {"figure": "Figure", "fig.": "Figure", "fig": "Figure", "table": "Table", "algorithm": "Algorithm", "listing": "Listing", "图": "Figure", "表": "Table", "算法": "Algorithm"}
+#: Visual kinds by their name; other names are figures (fixed values).
+LABEL_KINDS = {"table": "table", "表": "table", "algorithm": "algorithm", "算法": "algorithm", "listing": "listing"}
 
 
 def words(c: Column) -> Column:
@@ -30,8 +30,9 @@ def clean_lines(c: Column) -> Column:
 
 
 def normal_body(c: Column) -> Column:
-    """Paragraph text in one line: hyphenated words rejoined, line ends between Han characters dropped, others blanks."""
+    """Paragraph text in one line: emphasis that opens a line begins a paragraph, hyphenated words rejoined, line ends between Han characters dropped, others blanks."""
     c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    c = F.regexp_replace(c, r"\s*\n+\s*(?=\[\[[BI][A-Za-z0-9_]*_OPEN\]\])", "[[PAR]]")
     c = F.regexp_replace(c, r"(?<=[A-Za-z])-\s*\n+\s*(?=[a-z])", "")
     c = F.regexp_replace(c, "(?<=" + HAN + ")\\s*\\n+\\s*(?=" + HAN + "|[\\d，。；：！？、）])", "")
     c = F.regexp_replace(c, "(?<=\\d)\\s*\\n+\\s*(?=" + HAN + ")", "")
@@ -40,8 +41,8 @@ def normal_body(c: Column) -> Column:
 
 def compare_key(c: Column) -> Column:
     """Text without soft hyphens, hyphenation and white space, in lower case."""
-    c = F.replace(c, F.lit("­"), F.lit(""))
-    c = F.regexp_replace(c, r"(?<=[A-Za-z])-\s*\n\s*(?=[a-z])", "")
+    c = F.replace(c, F.lit("\u00ad"), F.lit(""))
+    c = F.regexp_replace(c, r"(?U)(?<=[A-Za-z])-\s+(?=[a-z])", "")
     return F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
 
 
@@ -91,12 +92,13 @@ def year(c: Column) -> Column:
     return F.when(found != "", found)
 
 
-def label(c: Column) -> Column:
-    """Canonical label of a figure, table, algorithm or listing; null if there is none."""
+def label(c: Column) -> tuple[Column, Column]:
+    """(kind, label) of the first figure, table, algorithm or listing named: table or figure, and such as figure-A7.1; nulls if none is."""
     pattern = r"(?i)(\bfigure|\bfig\.?|\btable|\balgorithm|\blisting|图|表|算法)\s*([A-Z]?\d+(?:[.\-]\d+)*)"
-    kind, number = F.lower(F.regexp_extract(c, pattern, 1)), F.upper(F.regexp_extract(c, pattern, 2))
+    said, number = F.lower(F.regexp_extract(c, pattern, 1)), F.upper(F.regexp_extract(c, pattern, 2))
     names = F.create_map(*[x for k, v in LABEL_KINDS.items() for x in (F.lit(k), F.lit(v))])
-    return F.when(number != "", F.concat_ws(" ", F.element_at(names, kind), number))
+    name = F.coalesce(F.element_at(names, said), F.lit("figure"))
+    return F.when(number != "", F.when(name == "table", "table").otherwise("figure")), F.when(number != "", F.concat_ws("-", name, number))
 
 
 def tokens(c: Column) -> Column:
@@ -104,12 +106,21 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(\[\[[A-Za-z0-9_]+\]\])"), F.lit(1))
 
 
-def restored(c: Column, originals: Column) -> Column:
-    """Put originals (map token -> text) back; null unless every token stands exactly once."""
+def restored(c: Column, originals: Column, fragments: Column | None = None, styles: Column | None = None) -> Column:
+    """Put originals (map token -> text) back; null unless every token stands once.
+
+    fragments (tokens) must stand once and stay; each key of styles must open once and then close once.
+    """
     count = lambda k: (F.length(c) - F.length(F.replace(c, k, F.lit("")))) / F.length(k)
-    once = F.forall(F.map_keys(originals), lambda k: count(k) == 1)
+    ok = F.forall(F.map_keys(originals), lambda k: count(k) == 1)
     text = F.aggregate(F.map_entries(originals), c, lambda a, e: F.replace(a, e["key"], e["value"]))
-    return F.when(once & (F.size(tokens(text)) == 0), text)
+    ok = ok & (F.size(F.regexp_extract_all(text, F.lit(r"(\[\[P\d{4}\]\])"), F.lit(1))) == 0)
+    if fragments is not None:
+        ok = ok & F.forall(fragments, lambda k: count(k) == 1)
+    if styles is not None:
+        token = lambda k, end: F.concat(F.lit("[["), k, F.lit(f"_{end}]]"))
+        ok = ok & F.forall(styles, lambda k: (count(token(k, "OPEN")) == 1) & (count(token(k, "CLOSE")) == 1) & (F.instr(c, token(k, "OPEN")) < F.instr(c, token(k, "CLOSE"))))
+    return F.when(ok, text)
 
 
 def balanced(c: Column, opening: str, closing: str) -> Column:
@@ -143,9 +154,35 @@ def has_han(c: Column) -> Column:
 
 
 def invariant_present(value: Column, output: Column) -> Column:
-    """value stands in output, or two of three probes from its start, middle and end do."""
+    """value stands in output, or two of three probes from its start, middle and end do. Both are compare keys; see compare_key()."""
     n = F.length(value)
     size = F.least(F.lit(64), F.greatest(F.lit(32), F.floor(n / 4))).cast("int")
     probes = [F.substring(value, F.lit(1), size), F.substring(value, (F.floor((n - size) / 2) + 1).cast("int"), size), F.substring(value, (n - size + 1).cast("int"), size)]
     hits = sum((F.contains(output, p).cast("int") for p in probes), F.lit(0))
+    # probes of a value no longer than one are the value itself
     return F.contains(output, value) | ((n > size) & (hits >= 2))
+
+
+#: Sections of a summary and the names they may have; characters it may have (fixed values).
+SECTIONS = {
+    "文献信息": ("文献信息", "书目信息", "论文信息"), "一句话结论": ("一句话结论", "一句话总结"), "研究问题": ("研究问题", "研究目标"),
+    "方法与数据": ("方法与数据", "研究方法", "方法和数据"), "核心贡献": ("核心贡献", "主要贡献"), "主要结果": ("主要结果", "研究结果", "实验结果"),
+    "局限": ("局限", "局限性", "研究局限"), "复现材料": ("复现材料", "可复现性", "复现信息"), "关键词": ("关键词", "关键术语"),
+}
+SUMMARY_CHARS = (800, 1500)
+
+
+def summary_facts(markdown: Column) -> Column:
+    """Characters and Han characters of a Markdown summary without marks and white space, its missing sections, and the errors: length, sections, language."""
+    heads = F.transform(F.regexp_extract_all(markdown, F.lit(r"(?m)^\s*#{1,6}\s+(.+?)\s*$"), F.lit(1)), lambda h: F.lower(F.regexp_replace(h, r"(?U)[*_`：:]+|\s+", "")))
+    missing = F.filter(
+        F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, aliases)).alias("aliases")) for name, aliases in SECTIONS.items()]),
+        lambda s: ~F.exists(heads, lambda h: F.exists(s["aliases"], lambda a: F.contains(h, a))),
+    )
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(markdown, r"(?m)^\s*#{1,6}\s+", ""), r"[*_`>\[\]()\-]", ""), r"(?U)\s+", "")
+    chars, han = F.length(body), F.length(F.regexp_replace(body, "[^" + HAN[1:], ""))
+    low, high = SUMMARY_CHARS
+    errors = F.filter(
+        F.array(F.when(~chars.between(low, high), "length"), F.when(F.size(missing) > 0, "sections"), F.when(han < F.greatest(F.lit(100), F.floor(chars / 3)), "language")), lambda e: e.isNotNull()
+    )
+    return F.struct(chars.cast("long").alias("chars"), han.cast("long").alias("han"), F.array_join(F.transform(missing, lambda s: s["name"]), ",").alias("missing"), F.array_join(errors, ",").alias("errors"))

@@ -115,36 +115,51 @@ def nearest_exclusive(captions: DataFrame, visuals: DataFrame) -> DataFrame:
     return captions.select(*names).groupBy("page").cogroup(visuals.groupBy("v_page")).applyInPandas(fold, "page long, caption long, visual long")
 
 
-def align(text: str, runs: list[str]) -> list[tuple[int | None, str]]:
-    """Place of each run in a text, in order, and whether it is sure.
+def align(text: str, runs: list[str], lines: list[int | None] | None = None) -> list[tuple[int | None, int | None, str]]:
+    """Bounds of each run in a text, in order, and whether they are sure.
 
     The earliest places in order, going forward, are held against the latest, going backward: where they
-    agree the run is located, else ambiguous; a run that isn't found is unmatched. White space counts as one blank.
+    agree the run is located, else ambiguous; a run that isn't found is unmatched. White space counts as one blank, and a word
+    that a run parts by a hyphen at a line's end may stand rejoined in the text; lines are the lines of the runs. Bounds are those of the text itself.
     """
-    flat = re.sub(r"\s+", " ", text)
-    needles = [re.sub(r"\s+", " ", r).strip() for r in runs]
-    first: list[int | None] = []
+    bounds = [m.span() for m in re.finditer(r"\s+|\S", text)]
+    flat = "".join(" " if text[a].isspace() else text[a] for a, _ in bounds)
+    squeezed = lambda x: re.sub(r"\s+", " ", x).strip()
+    said = [k for k, r in enumerate(runs) if r.strip()]
+    forms: list[set[str]] = []
+    for k, r in enumerate(runs):
+        joined = re.sub(r"(?<=[A-Za-z])-\s*\n\s*(?=[a-z])", "", r)
+        after = next((n for n in said if n > k), None)
+        if after is not None and lines and lines[k] is not None and (lines[after] if lines[after] is not None else lines[k]) > lines[k]:
+            if re.search(r"[A-Za-z]-\s*$", joined) and re.match(r"\s*[a-z]", runs[after]):
+                joined = joined.rstrip()[:-1]
+        forms.append({squeezed(r), squeezed(joined)} - {""})
+    first: list[tuple[int, int] | None] = []
     at = 0
-    for n in needles:
-        place = flat.find(n, at) if n else -1
-        first.append(place if place >= 0 else None)
-        at = place + len(n) if place >= 0 else at
-    out: list[tuple[int | None, str]] = [(None, "unmatched")] * len(runs)
+    for needles in forms:
+        places = sorted((flat.find(n, at), -len(n)) for n in needles if flat.find(n, at) >= 0)
+        first.append((places[0][0], places[0][0] - places[0][1]) if places else None)
+        at = first[-1][1] if first[-1] else at
+    out: list[tuple[int | None, int | None, str]] = [(None, None, "unmatched")] * len(runs)
     end = len(flat)
     for k in range(len(runs) - 1, -1, -1):
-        if first[k] is not None:
-            last = flat.rfind(needles[k], 0, end)
-            out[k] = (first[k], "located" if last == first[k] else "ambiguous")
+        if first[k]:
+            a, b = first[k]
+            last = max(flat.rfind(n, 0, end) for n in forms[k])
+            out[k] = (bounds[a][0], bounds[b - 1][1], "located" if last == a else "ambiguous")
             end = last if last >= 0 else end
     return out
 
 
 def align_spans(units: DataFrame) -> DataFrame:
-    """align() of units (id, source_text, runs): id, run, place, status."""
+    """align() of units (id, source_text, runs: array of struct(text, line)): id, run, start, end, status."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(i, k, p, s) for i, t, r in zip(part["id"], part["source_text"], part["runs"]) for k, (p, s) in enumerate(align(t or "", list(r) if r is not None else []))]
-            yield pd.DataFrame(rows, columns=["id", "run", "place", "status"]).astype({"place": "Int64"})
+            rows = []
+            for i, t, rs in zip(part["id"], part["source_text"], part["runs"]):
+                rs = list(rs) if rs is not None else []
+                rows += [(i, k, *x) for k, x in enumerate(align(t or "", [r["text"] or "" for r in rs], [r["line"] for r in rs]))]
+            yield pd.DataFrame(rows, columns=["id", "run", "start", "end", "status"]).astype({"start": "Int64", "end": "Int64"})
 
-    return units.select("id", "source_text", "runs").mapInPandas(run, "id string, run long, place long, status string")
+    return units.select("id", "source_text", "runs").mapInPandas(run, "id string, run long, start long, end long, status string")

@@ -75,14 +75,6 @@ def pred_code_run(spark, sf):
     return units(spark, sf).select("id", ((marks >= 3) & (marks * 4 >= F.col("words"))).alias("code"))
 
 
-def f_norm_body(spark, sf):
-    """Paragraph text: line ends to blanks, hyphenated words rejoined, blanks squeezed."""
-    from quire.functions.text import normal_body
-
-    t = F.replace(F.replace(F.col("text"), F.lit("er "), F.lit("er-\n")), F.lit(". "), F.lit(".\r\n"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(normal_body(t)).alias("body"))
-
-
 def pred_formula_only(spark, sf):
     t = F.col("source_text")
     signs = F.regexp_count(t, F.lit(r"[=<>+*/^|$%&#-]"))
@@ -115,11 +107,6 @@ def f_clean_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.clean_lines(F.replace("text", F.lit("on "), F.lit("on-\n ")))).alias("clean"))
 
 
-def f_normalise(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.length(text.compare_key(F.col("text"))).cast("long").alias("key_chars"), F.md5(text.normal_space(F.col("text"))).alias("space"))
-
-
 def f_heading(spark, sf):
     return units(spark, sf).filter("kind = 'heading'").select("id", text.heading_level(section()).cast("long").alias("level"), F.md5(text.numbered_heading(section())).alias("heading"))
 
@@ -137,23 +124,6 @@ def f_doi_arxiv_year(spark, sf):
     return _cited(spark, sf).select("id", text.doi(r).alias("doi"), text.arxiv(r).alias("arxiv"), text.year(r).alias("year"))
 
 
-def f_label(spark, sf):
-    return _cited(spark, sf).select("id", text.label(F.col("ref")).alias("label"))
-
-
-def f_protect(spark, sf):
-    """Protected units and whether restoring gives the text back; rows show the number of tokens."""
-    u = _cited(spark, sf).withColumn("t", F.concat_ws(" ", "source_text", "ref", F.lit("[12, 13] (see 1999) $a$ 5 km")))
-    u = u.withColumn("p", arrow.protect_udf("t"))
-    return u.select("id", F.size("p.originals").cast("long").alias("tokens"), (text.restored(F.col("p.text"), F.col("p.originals")) == F.col("t")).alias("restored"))
-
-
-def f_restore(spark, sf):
-    """Tokens put back once each; a repeated or leftover token gives null."""
-    u = units(spark, sf).withColumn("t", F.concat(F.lit("[[P0001]] "), "source_text", F.when(F.col("ord") % 7 == 0, F.lit(" [[P0001]]")).when(F.col("ord") % 7 == 1, F.lit(" [[P0002]]")).otherwise("")))
-    return u.select("id", F.md5(text.restored(F.col("t"), F.create_map(F.lit("[[P0001]]"), F.concat(F.lit("v"), F.col("ord").cast("string"))))).alias("restored"))
-
-
 def f_token_seq(spark, sf):
     t = F.concat(F.lit("[[A1]] x "), F.when(F.col("ord") % 2 == 0, F.lit("[[B2_OPEN]] y [[B2_CLOSE]]")).otherwise("[[B2_CLOSE]] y [[B2_OPEN]]"))
     same = text.tokens(t) == F.array(*map(F.lit, ("[[A1]]", "[[B2_OPEN]]", "[[B2_CLOSE]]")))
@@ -164,30 +134,14 @@ def f_has_han(spark, sf):
     return _cited(spark, sf).select("id", text.has_han(F.col("ref")).alias("han"))
 
 
-def f_invariant_present(spark, sf):
-    """Whether each unit of over 60 characters stands in its document's text with one word changed."""
-    d = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(" the "), F.lit(" THE ")).alias("output"))
-    return units(spark, sf).filter("length(source_text) > 60").join(d, "doc_id").select("id", text.invariant_present(F.col("source_text"), F.col("output")).alias("present"))
-
-
 def f_canon_hash(spark, sf):
     return units(spark, sf).select("id", text.canonical_hash(id=F.col("id"), kind=F.col("kind"), page=F.col("page"), source_text=F.col("source_text")).alias("digest"))
 
 
-def f_unit_id(spark, sf):
-    """Content identity and how often it occurs: equal units of different documents share it."""
-    u = units(spark, sf).withColumn("identity", text.canonical_hash(kind=F.col("kind"), source_text=F.col("source_text"), flow_role=F.lit("paragraph"), list_level=F.lit(0)))
-    return u.groupBy("identity").agg(F.count("*").alias("n"))
-
-
 def f_slug(spark, sf):
     return table(spark, sf, "documents").select("doc_id", arrow.slug("text").alias("slug"))
 
 
-def f_casefold(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.length(arrow.nfkc_casefold("text")).cast("long").alias("chars"))
-
-
 def f_rect(spark, sf):
     from quire.operators.geometry import area
     from quire.operators.units import boxes
@@ -206,18 +160,6 @@ def f_redact(spark, sf):
     return table(spark, sf, "events").select("event_id", F.md5(text.redacted(F.col("props"), "click", "view")).alias("props"))
 
 
-def f_glyph(spark, sf):
-    """Counts of suspicious marks against what their source has."""
-    n = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c)))
-    return table(spark, sf, "documents").select("doc_id", sum((n(c) for c in "#*$%&"), F.lit(0)).cast("long").alias("marks"), (n("#") > n("$")).alias("more_hashes"))
-
-
-def f_summary(spark, sf):
-    """Length window, number of sections and share of capital letters of each text."""
-    t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", F.length(t).between(800, 1500).alias("length_ok"), (F.size(F.split(t, "\n")) >= 9).alias("sections_ok"), (F.regexp_count(t, F.lit("[A-Z]")) >= F.greatest(F.lit(10), F.length(t) / 30)).alias("share_ok"))
-
-
 _W = r"[^\x20\x09-\x0D]+"
 _U = f"with {UNITS_SQL} "
 _C = f"with {UNITS_SQL}, {_CITED} "
@@ -229,8 +171,6 @@ SQL = {
     "pred_kind": _U + r"""select id, case when regexp_matches(source_text, '(?i)^\s*(abstract|summary)\b') then 'abstract' when regexp_matches(source_text, '(?i)^\s*(figure|fig\.?|table)\s*\d+') then 'caption' when contains(source_text, '|') then 'table' when regexp_matches(source_text, '^\s*(\d+(\.\d+)*[.)]?\s+|[A-Z][.)]\s+)[^\n]{2,120}$') then 'heading' when words <= 4 and not regexp_matches(source_text, '[.!?]$') then 'footer' when length(source_text) > 600 then 'long-body' else 'body' end as kind from units""",
     "pred_math_run": _U + rf""", c as (select id, cast(len(regexp_extract_all(source_text, '{_SIGN}')) as bigint) as symbols, cast(len(regexp_extract_all(source_text, '[A-Za-z]{{4,}}')) as bigint) as prose from units) select *, symbols >= 2 and prose < 2 as math from c""",
     "pred_code_run": _U + ", c as (select id, words, len(regexp_extract_all(source_text, '[|{};=<>_]')) as m from units) select id, m >= 3 and m * 4 >= words as code from c",
-    "f_norm_body": r"""with a as (select doc_id, replace(replace(replace(text, 'er ', 'er-' || chr(10)), '. ', '.' || chr(13) || chr(10)), chr(13) || chr(10), chr(10)) as t from documents),
-b as (select doc_id, regexp_replace(t, '([A-Za-z])-\s*\n+\s*([a-z])', '\1\2', 'g') as t from a) select doc_id, md5(trim(regexp_replace(regexp_replace(t, '\s*\n+\s*', ' ', 'g'), '[ \t]+', ' ', 'g'))) as body from b""",
     "pred_formula_only": _U + rf""", c as (select id, length(source_text) as n, len(regexp_extract_all(source_text, '{_SIGN}')) as s, length(regexp_replace(source_text, '\s', '', 'g')) as v, len(regexp_extract_all(source_text, '[A-Za-z]{{3,}}')) as p from units) select id, n >= 8 and ((s / greatest(v, 1) >= 0.6 and p < 2) or (p = 0 and s >= 2 and n >= 12)) as formula from c""",
     "pred_formal_heading": _U + "select id, len(list_filter(string_split(source_text, ' '), lambda x: x != '' and not regexp_matches(x, '^([0-9]+|[A-Za-z]|[^A-Za-z0-9]+)$'))) = 0 as formal from units",
     "pred_balanced": "select event_id, length(replace(props, '{', '')) = length(replace(props, '}', '')) as balanced from events",
@@ -238,26 +178,17 @@ b as (select doc_id, regexp_replace(t, '([A-Za-z])-\s*\n+\s*([a-z])', '\1\2', 'g
     "f_words": f"select doc_id, cast(len(regexp_extract_all(text, '{_W}')) as bigint) as n_words from documents",
     "f_clean_lines": r"""with a as (select doc_id, regexp_replace(regexp_replace(replace(text, 'on ', 'on-' || chr(10) || ' '), '[ \t]*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') as t from documents),
 b as (select doc_id, regexp_replace(t, '([A-Za-z])-\n([a-z])', '\1\2', 'g') as t from a), c as (select doc_id, regexp_replace(t, '([^.!?:;])\n', '\1 ', 'g') as t from b) select doc_id, md5(regexp_replace(t, '[ \t]+', ' ', 'g')) as clean from c""",
-    "f_normalise": r"""select doc_id, length(regexp_replace(replace(text, chr(173), ''), '\s+', '', 'g')) as key_chars, md5(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g')) as space from documents""",
     "f_heading": _U + f", h as (select id, ord, {_SECTION} as s, source_text from units where kind = 'heading') select id, cast(case when ord % 2 = 0 then 2 else 1 end as bigint) as level, md5(cast((ord - 1) % 9 + 1 as varchar) || case when ord % 2 = 0 then '.2' else '' end || chr(12288) || regexp_replace(regexp_replace(source_text, '\\s+', ' ', 'g'), '^ | $', '', 'g')) as heading from h",
     "f_join_continuation": _U + r""", n as (select *, lead(source_text) over (partition by doc_id order by ord) as nx from units), p as (select id, rtrim(case when ord % 3 = 0 then source_text || '-' else source_text end, ' ') as a, ltrim(case when ord % 3 = 0 then lower(nx) else nx end, ' ') as b from n where nx is not null)
 select id, md5(case when a = '' then b when b = '' then a when right(a, 1) = '-' and regexp_matches(b, '^[a-z]') then left(a, length(a) - 1) || b else a || ' ' || b end) as joined from p""",
     "f_doi_arxiv_year": _C + "select id, case when ord % 5 = 0 then '10.1234/ab' || ord end as doi, case when ord % 5 = 1 then '2001.' || lpad(cast(ord % 100 as varchar), 5, '0') end as arxiv, case when ord % 5 = 2 then cast(1900 + ord % 150 as varchar) when ord % 5 in (0, 3) and length(cast(ord as varchar)) = 4 and substr(cast(ord as varchar), 1, 2) in ('18', '19', '20', '21') then null when ord % 5 = 1 then '2001' end as year from cited",
-    "f_label": _C + "select id, case ord % 5 when 3 then 'Figure ' || ord || '.2' when 4 then 'Table A7' end as label from cited",
-    "f_restore": _U + "select id, case when ord % 7 in (0, 1) then null else md5('v' || ord || ' ' || source_text) end as restored from units",
     "f_token_seq": _U + "select id, case when ord % 2 = 0 then '[[A1]][[B2_OPEN]][[B2_CLOSE]]' else '[[A1]][[B2_CLOSE]][[B2_OPEN]]' end as tokens, ord % 2 = 0 as in_order from units",
     "f_has_han": _C + "select id, regexp_matches(ref, '[一-鿿]') as han from cited",
-    "f_invariant_present": _U + """, d as (select doc_id, replace(text, ' the ', ' THE ') as o from documents), v as (select id, source_text as t, o, length(source_text) as n, least(64, greatest(32, length(source_text) // 4)) as z from units join d using (doc_id) where length(source_text) > 60)
-select id, contains(o, t) or (n > z and (cast(contains(o, substr(t, 1, z)) as int) + cast(contains(o, substr(t, (n - z) // 2 + 1, z)) as int) + cast(contains(o, substr(t, n - z + 1, z)) as int)) >= 2) as present from v""",
     "f_canon_hash": _U + r"""select id, sha256('{"id":"' || id || '","kind":"' || kind || '","page":' || page || ',"source_text":' || cast(to_json(source_text) as varchar) || '}') as digest from units""",
-    "f_unit_id": _U + r""", h as (select sha256('{"flow_role":"paragraph","kind":"' || kind || '","list_level":0,"source_text":' || cast(to_json(source_text) as varchar) || '}') as identity from units) select identity, count(*) as n from h group by identity""",
-    "f_slug": "with a as (select doc_id, regexp_replace(strip_accents(substr(text, 1, 100)), '[^\\x00-\\x7F]', '', 'g') as t from documents) select doc_id, coalesce(nullif(left(lower(trim(regexp_replace(t, '[^A-Za-z0-9]+', '-', 'g'), '-')), 80), ''), 'paper') as slug from a",
-    "f_casefold": "with a as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents) select doc_id, length(t) + len(regexp_extract_all(t, 'ß')) as chars from a",
+    "f_slug": "with a as (select doc_id, regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g') as t from documents) select doc_id, coalesce(nullif(left(lower(trim(regexp_replace(t, '[^A-Za-z0-9]+', '-', 'g'), '-')), 80), ''), 'paper') as slug from a",
     "f_rect": "with " + BOXES_SQL + " select page, n, round((x1 - x0) * (y1 - y0), 3) as area, round((x0 + x1) / 2, 3) as cx, round((y0 + y1) / 2, 3) as cy from boxes",
     "f_safe_path": "with p as (select page_id, case when page_id % 3 = 0 then '../' else '' end || regexp_replace(url, '^https?://', '') as p from pages) select page_id, not contains(p, ':') and not contains('/' || p || '/', '/../') and p != '' and left(p, 1) != '/' as safe from p",
     "f_redact": "select event_id, md5(replace(replace(props, 'click', '[redacted]'), 'view', '[redacted]')) as props from events",
-    "f_glyph": "select doc_id, cast(len(regexp_extract_all(text, '[#*$%&]')) as bigint) as marks, len(regexp_extract_all(text, '#')) > len(regexp_extract_all(text, '[$]')) as more_hashes from documents",
-    "f_summary": "select doc_id, length(text) between 800 and 1500 as length_ok, len(string_split(text, chr(10))) >= 9 as sections_ok, len(regexp_extract_all(text, '[A-Z]')) >= greatest(10, length(text) / 30) as share_ok from documents",
 }
 
-QUERIES = {f.__name__: f for f in (proj_template, proj_compact, filter_invariant, pred_kind, pred_math_run, pred_code_run, f_norm_body, pred_formula_only, pred_formal_heading, pred_balanced, pred_terminal, f_words, f_clean_lines, f_normalise, f_heading, f_join_continuation, f_doi_arxiv_year, f_label, f_protect, f_restore, f_token_seq, f_has_han, f_invariant_present, f_canon_hash, f_unit_id, f_slug, f_casefold, f_rect, f_safe_path, f_redact, f_glyph, f_summary)}
+QUERIES = {f.__name__: f for f in (proj_template, proj_compact, filter_invariant, pred_kind, pred_math_run, pred_code_run, pred_formula_only, pred_formal_heading, pred_balanced, pred_terminal, f_words, f_clean_lines, f_heading, f_join_continuation, f_doi_arxiv_year, f_token_seq, f_has_han, f_canon_hash, f_slug, f_rect, f_safe_path, f_redact)}

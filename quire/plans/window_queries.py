@@ -110,15 +110,6 @@ def join_nearest_exclusive(spark, sf):
     return nearest_exclusive(figure.withColumn("n", F.col("n").cast("long")), b.filter("kind != 'R'").withColumn("n", F.col("n").cast("long")))
 
 
-def join_span_align(spark, sf):
-    """Runs of three words of each unit, and a foreign one, located in the unit."""
-    from quire.operators.folds import align_spans
-
-    w = F.split("source_text", " ")
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / 3).cast("int")), lambda k: F.array_join(F.slice(w, k * 3 + 1, 3), " "))
-    return align_spans(units(spark, sf).select("id", "source_text", F.concat(runs, F.array(F.lit("§ none"))).alias("runs")))
-
-
 def sort_stable(spark, sf):
     """Rank by (start, -end) with an explicit tiebreak."""
     w = Window.partitionBy("page").orderBy("y0", F.desc("y1"), "n")
@@ -214,4 +205,4 @@ select page, n, cast(row_number() over (partition by page order by band, case wh
     "limit_chunk": """select doc_id, (row_number() over (partition by source order by doc_id) - 1) // 50 as batch from documents""",
 }
 
-QUERIES = {f.__name__: f for f in (win_runsum_budget, win_pack_all, win_ffill_section, win_renumber, win_pairwise, win_islands_cont, win_after_caption, win_interval_union, win_line_cluster, win_nonoverlap, win_coalesce_style, win_list_state, win_list_flow, join_nearest_exclusive, join_span_align, sort_stable, sort_reading, limit_next, topk_neighbours, topk_sample, limit_report, limit_chunk)}
+QUERIES = {f.__name__: f for f in (win_runsum_budget, win_pack_all, win_ffill_section, win_renumber, win_pairwise, win_islands_cont, win_after_caption, win_interval_union, win_line_cluster, win_nonoverlap, win_coalesce_style, win_list_state, win_list_flow, join_nearest_exclusive, sort_stable, sort_reading, limit_next, topk_neighbours, topk_sample, limit_report, limit_chunk)}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from quire.functions import arrow, text
+from quire.functions import protect, text
 from quire.operators import folds, joins, state, windows
 from quire.sources import files
 
@@ -51,7 +51,8 @@ def test_identifiers(spark):
     assert one(spark, text.arxiv(lit("arXiv: 2001.00012v3"))) == "2001.00012"
     assert one(spark, text.arxiv(lit("nothing"))) is None
     assert one(spark, text.year(lit("May 1999"))) == "1999"
-    assert one(spark, text.label(lit("see Fig. a2.1"))) == "Figure A2.1"
+    assert [one(spark, c) for c in text.label(lit("see Fig. a2.1"))] == ["figure", "figure-A2.1"]
+    assert [one(spark, c) for c in text.label(lit("算法 3"))] == ["figure", "algorithm-3"]
     assert one(spark, text.heading_level(lit("2.3.1 Methods"))) == 3
     assert one(spark, text.clean_lines(lit("An exam-\nple of\n\n text.\nNext"))) == "An example of text.\nNext"
     assert one(spark, text.balanced(lit("}{"), "{", "}")) is False
@@ -59,12 +60,13 @@ def test_identifiers(spark):
 
 def test_protect_round_trip():
     for s in ("see https://a.b/c, 10.1234/x.y and arXiv:2001.00012v2", "took 5 ms [1, 2] (Smith 1999) $x+1$", "a [longer bracket with many plain prose words inside of it 7] b", "no literal"):
-        out, found = arrow.protect(s)
+        out, found = protect.protect(s)
         for token, value in found.items():
             assert out.count(token) == 1
             out = out.replace(token, value)
         assert out == s
-    assert arrow.protect("5 meters")[0] == "[[P0001]] meters"
+    assert protect.protect("5 meters")[0] == "[[P0001]] meters"
+    assert protect.protect("(see 1999) [two words 5] (Smith 1999)")[0] == "(see [[P0001]]) [two words [[P0002]]] [[P0003]]"
 
 
 def test_restore_refuses_repeats(spark):
@@ -103,9 +105,22 @@ def test_list_flow(spark):
 
 
 def test_spans_are_located_ambiguous_or_unmatched():
-    assert folds.align("one two\n three one", ["one two", "three", "none"]) == [(0, "located"), (8, "located"), (None, "unmatched")]
-    assert folds.align("x and x", ["x"]) == [(0, "ambiguous")]
-    assert folds.align("x and x", ["x", "and", "x"]) == [(0, "located"), (2, "located"), (6, "located")]
+    assert folds.align("one two\n three one", ["one two", "three", "none"]) == [(0, 7, "located"), (9, 14, "located"), (None, None, "unmatched")]
+    assert folds.align("x and x", ["x"]) == [(0, 1, "ambiguous")]
+    assert folds.align("x and x", ["x", "and", "x"]) == [(0, 1, "located"), (2, 5, "located"), (6, 7, "located")]
+    assert folds.align("an example", ["an exam-\nple"]) == [(0, 10, "located")]
+    assert folds.align("an example", ["an exam-", "ple"], [0, 1]) == [(0, 7, "located"), (7, 10, "located")]
+    assert folds.align("an example", ["an exam-", "ple"], [0, 0]) == [(None, None, "unmatched"), (7, 10, "located")]
+
+
+def test_rich_protection():
+    def run(text, style="text", size=10.0, flags=0, line=0):
+        return {"text": text, "style": style, "size": size, "flags": flags, "font": "", "line": line}
+
+    got = protect.protect_rich("u-1", "Bold and it is 5 km [3]", [run("Bold", "bold"), run(" and "), run("it is", "italic"), run(" 5 km [3]")])
+    assert got["text"] == "[[Bu1_0001_OPEN]]Bold[[Bu1_0001_CLOSE]] and [[Iu1_0002_OPEN]]it is[[Iu1_0002_CLOSE]] [[P0001]] [[Fu1_0001]]"
+    assert got["literals"] == {"[[P0001]]": "5 km"} and got["fragments"] == {"[[Fu1_0001]]": "[3]"} and got["block"] == "normal"
+    assert protect.protect_rich("u", "", []) == {"text": "", "literals": {}, "fragments": {}, "kinds": {}, "styles": {}, "block": "normal"}
 
 
 def test_visuals_are_used_once(spark):
