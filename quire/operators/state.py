@@ -5,30 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut
 
-def merge(base: DataFrame, batch: DataFrame, key: str, value: str, replace: bool = False) -> DataFrame:
-    """Keyed upsert of batch values into base, with a verdict for each row of either.
+
+TOKEN = r"(\[\[[A-Za-z0-9_]+\]\])"
+REJECTED = ("unknown", "duplicate", "extra_fields", "tokens", "language", "empty", "frozen")
+
+
+def merge(base: DataFrame, batch: DataFrame, key: str, value: str, replace: bool = False, protected: str | None = None, language: Column | None = None) -> DataFrame:
+    """Keyed upsert of batch values into base, with a verdict for each row of either; other columns of base are kept.
 
     merged: an open row gets its value; replayed: the same value again; kept: no batch row; rejected rows leave the base
-    value: unknown (no such key), duplicate (the key comes twice), empty, or frozen (other text for a completed row without replace).
+    value: unknown (no such key), duplicate (the key comes twice), extra_fields (batch has an array `extra` that is not empty), tokens (not the
+    token sequence of the base column `protected`), language (`language`, a condition on the text `_words` without tokens, is
+    false), empty, or frozen (other text for a completed row without replace).
     """
-    b = batch.groupBy(key).agg(F.count("*").alias("_n"), F.max(value).alias("_v")).withColumnRenamed(key, "_k")
+    extra = F.max(F.size(F.coalesce("extra", F.array()))) if "extra" in batch.columns else F.lit(0)
+    b = batch.groupBy(key).agg(F.count("*").alias("_n"), F.max(value).alias("_v"), extra.alias("_extra")).withColumnRenamed(key, "_k")
     j = base.join(b, F.col(key) == F.col("_k"), "full_outer")
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(TOKEN), F.lit(1))
     blank = F.coalesce(F.trim("_v"), F.lit("")) == ""
+    wrong = F.lit(False) if protected is None else ~blank & (tokens(F.col("_v")) != tokens(F.col(protected)))
+    j = j.withColumn("_words", F.regexp_replace("_v", TOKEN, ""))
+    foreign = F.lit(False) if language is None else ~blank & ~F.coalesce(language, F.lit(False))
     verdict = (
-        F.when(F.col(key).isNull(), "unknown").when(F.col("_k").isNull(), "kept").when(F.col("_n") > 1, "duplicate").when(blank, "empty")
+        F.when(F.col(key).isNull(), "unknown").when(F.col("_k").isNull(), "kept").when(F.col("_n") > 1, "duplicate").when(F.col("_extra") > 0, "extra_fields")
+        .when(wrong, "tokens").when(foreign, "language").when(blank, "empty")
         .when(F.col(value) == F.col("_v"), "replayed").when((F.coalesce(F.col(value), F.lit("")) != "") & F.lit(not replace), "frozen").otherwise("merged")
     )
-    return j.select(F.coalesce(key, "_k").alias(key), F.when(verdict == "merged", F.col("_v")).otherwise(F.col(value)).alias(value), verdict.alias("verdict"))
+    others = [c for c in base.columns if c not in (key, value)]
+    return j.select(F.coalesce(key, "_k").alias(key), F.when(verdict == "merged", F.col("_v")).otherwise(F.col(value)).alias(value), *others, verdict.alias("verdict"))
+
 
+def all_or_nothing(merged: DataFrame, base: DataFrame, key: str, value: str, by: Column) -> DataFrame:
+    """merge() rows of the batches by, each applied whole or not at all: where a row of it is rejected, all keep the base value and the verdict refused."""
+    m = cut(merged.withColumn("_by", by))
+    bad = m.groupBy("_by").agg(F.bool_or(F.col("verdict").isin(*REJECTED)).alias("_bad"))
+    old = base.select(F.col(key).alias("_key"), F.col(value).alias("_old"))
+    m = m.join(bad, "_by").join(old, F.col(key) == F.col("_key"), "left")
+    undone = F.col("_bad") & F.col("verdict").isin("merged", "replayed")
+    return m.withColumn(value, F.when(undone, F.col("_old")).otherwise(F.col(value))).withColumn("verdict", F.when(undone, "refused").otherwise(F.col("verdict"))).drop("_by", "_bad", "_key", "_old")
 
-def all_or_nothing(merged: DataFrame) -> DataFrame:
-    """merge() rows, or an error if any batch row was rejected."""
-    bad = ("unknown", "duplicate", "empty", "frozen")
-    rejected = merged.filter(F.col("verdict").isin(*bad)).limit(10).collect()
-    if rejected:
-        raise ValueError(f"nothing is merged: {[tuple(r) for r in rejected]}")
-    return merged
+
+def reconcile(old: DataFrame, new: DataFrame, key: str, value: str, fields: list[str]) -> DataFrame:
+    """States of a checkpoint's rows after units were extracted anew: key, value, state.
+
+    kept: completed and unchanged; open: to be done, new or not completed before; dropped: open before and gone. A completed row that is gone, or of which one of fields
+    differs, must not be lost or changed: its state is refused:orphan or refused:<first field that differs>.
+    """
+    o = old.select(F.col(key).alias("_k"), F.col(value).alias("_v"), *[F.col(f).alias(f"_o_{f}") for f in fields])
+    j = new.join(o, F.col(key) == F.col("_k"), "full_outer")
+    done = F.coalesce(F.trim("_v"), F.lit("")) != ""
+    changed = F.coalesce(*[F.when(~F.col(f).eqNullSafe(F.col(f"_o_{f}")), F.lit(f)) for f in fields])
+    state = F.when(F.col(key).isNull() & done, "refused:orphan").when(F.col(key).isNull(), "dropped").when(done & changed.isNotNull(), F.concat(F.lit("refused:"), changed)).when(done, "kept").otherwise("open")
+    return j.select(F.coalesce(key, "_k").alias(key), F.coalesce("_v", F.lit("")).alias(value), state.alias("state"))
 
 
 def stage(source_changed: Column, prepared: Column, translated: Column, validated: Column, packaged: Column, delivered: Column) -> Column:
@@ -55,27 +85,43 @@ def carry_reviews(new: DataFrame, old: DataFrame, key: str, fingerprint: str) ->
 def replay(units: DataFrame, operations: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Apply ordered operations (doc_id, step, op, id, text) to the units of each document (doc_id, ord, id, source_text).
 
-    suppress drops a unit, replace gives it other text, insert puts a new unit behind one. One fold a
-    document; an operation on an unknown id leaves the document as it was, since a review is applied whole or not at all.
+    suppress drops a unit, replace gives it other text, insert puts a new unit (<id>-review) behind one; operations on units that were put in
+    count too. An operation on an id that isn't there leaves the document as it was, since a review is applied whole or not at all. One fold
+    a document over its operations alone, in time linear in its rows; texts of units that no operation names don't enter it.
     """
     import pandas as pd
 
     def fold(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = [(i, t) for i, t in left.sort_values("ord")[["id", "source_text"]].itertuples(index=False)]
-        before = list(rows)
-        for op, i, text in right.sort_values("step")[["op", "op_id", "op_text"]].itertuples(index=False):
-            at = next((k for k, r in enumerate(rows) if r[0] == i), None)
-            if at is None:
-                rows = before
+        # next unit of each: units and what is put in behind them are a chain
+        ids = left.sort_values("ord")["id"].tolist()
+        after = dict(zip([None, *ids], [*ids, None]))
+        before = {b: a for a, b in after.items() if b is not None}
+        text: dict = {}
+        for op, i, t in right.sort_values("step")[["op", "op_id", "op_text"]].itertuples(index=False):
+            if i not in before:
+                after, text = dict(zip([None, *ids], [*ids, None])), {}
                 break
             if op == "suppress":
-                del rows[at]
+                a, b = before.pop(i), after.pop(i)
+                after[a] = b
+                if b is not None:
+                    before[b] = a
             elif op == "replace":
-                rows[at] = (i, text)
+                text[i] = t
             elif op == "insert":
-                rows.insert(at + 1, (f"{i}-review", text))
-        return pd.DataFrame([(key[0], k + 1, i, t) for k, (i, t) in enumerate(rows)], columns=["doc_id", "ord", "id", "source_text"])
+                new, b = f"{i}-review", after[i]
+                after[i], after[new], before[new], text[new] = new, b, i, t
+                if b is not None:
+                    before[b] = new
+        out, at = [], after[None]
+        while at is not None:
+            out.append((key[0], len(out) + 1, at, text.get(at), at in text))
+            at = after[at]
+        return pd.DataFrame(out, columns=["doc_id", "ord", "id", "new_text", "rewritten"])
 
     operations = operations.select(F.col(doc).alias("op_doc"), "step", "op", F.col("id").alias("op_id"), F.col("text").alias("op_text"))
     units = units.select(F.col(doc).alias("doc_id"), "ord", "id", "source_text")
-    return units.groupBy("doc_id").cogroup(operations.groupBy("op_doc")).applyInPandas(fold, "doc_id long, ord long, id string, source_text string")
+    places = units.select("doc_id", "ord", "id").groupBy("doc_id").cogroup(operations.groupBy("op_doc"))
+    places = places.applyInPandas(fold, "doc_id long, ord long, id string, new_text string, rewritten boolean")
+    out = places.join(units.select(F.col("doc_id").alias("_d"), F.col("id").alias("_i"), "source_text"), (F.col("doc_id") == F.col("_d")) & (F.col("id") == F.col("_i")), "left")
+    return out.select("doc_id", "ord", "id", F.when(F.col("rewritten"), F.col("new_text")).otherwise(F.col("source_text")).alias("source_text"))

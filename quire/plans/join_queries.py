@@ -133,15 +133,6 @@ def join_glossary(spark, sf):
     return words.join(terms, "term").select("p_partkey", "term")
 
 
-def join_ownership(spark, sf):
-    """Units that belong to exactly one group, none, or several; groups are documents' ten-unit stretches, some doubled."""
-    u = units(spark, sf)
-    g = u.select("id", F.concat_ws("-", "doc_id", F.floor(F.col("ord") / 10)).alias("grp")).filter("length(grp) % 3 != 0")
-    g = g.union(u.filter("ord % 23 = 0").select("id", F.concat(F.lit("x"), F.col("doc_id"))))
-    n = g.groupBy("id").agg(F.countDistinct("grp").alias("n"))
-    return u.join(n, "id", "left").select("id", F.when(F.col("n").isNull(), "unowned").when(F.col("n") > 1, "shared").otherwise("owned").alias("state"))
-
-
 def join_consumption(spark, sf):
     """Line items by (order, flag) against (order, status): rows that one side has more often."""
     li = table(spark, sf, "lineitem")
@@ -227,8 +218,6 @@ select page, max(y1) - min(y0) - sum(greatest(0.0, y1 - greatest(y0, coalesce(se
     "join_pair_baseline": _PAIR + "select page, a_n, b_n from o where a_n < b_n and abs(ay1 - by1) <= 5.0",
     "join_glossary": """with t as (select lower(n_name) as term from nation union select lower(r_name) from region union select lower(string_split(p_type, ' ')[1]) from part),
 w as (select distinct p_partkey, unnest(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z0-9]+')) as term from part) select p_partkey, term from w where term in (select term from t)""",
-    "join_ownership": f"""with {UNITS_SQL}, g as (select id, doc_id || '-' || (ord // 10) as grp from units where length(doc_id || '-' || (ord // 10)) % 3 != 0 union all select id, 'x' || doc_id from units where ord % 23 = 0),
-n as (select id, count(distinct grp) as n from g group by id) select u.id, case when n is null then 'unowned' when n > 1 then 'shared' else 'owned' end as state from units u left join n on u.id = n.id""",
     "join_consumption": """with a as (select l_orderkey, l_returnflag as f from lineitem), b as (select l_orderkey, case when l_linestatus = 'O' then 'N' else 'R' end as f from lineitem)
 select l_orderkey, f, 'left' as side from (select * from a except all select * from b) union all select l_orderkey, f, 'right' from (select * from b except all select * from a)""",
     "join_placement": """with r as (select *, row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc, l_suppkey desc) as k from lineitem) select l_partkey, l_suppkey, l_orderkey from r where k = 1""",
@@ -244,4 +233,4 @@ i as (select *, sum(case when kind = 'body' and k = 'body' and not regexp_matche
     "union_dedupe": f"with {_ITEMS} select item_id from items where doi is not null or year < '2010'",
 }
 
-QUERIES = {f.__name__: f for f in (join_id_strict, join_anti_both, join_semi, join_snapshot_diff, join_review_override, join_asof_anchor, join_asof_exclusive, join_cascade_key, join_nearest_visual, join_rect_overlap, join_point_in_rect, join_envelope, join_coverage, join_pair_baseline, join_glossary, join_ownership, join_consumption, join_placement, join_child_role, join_hierarchy, join_chain, set_difference, set_equality, multiset_equality, set_overlap, union_dedupe)}
+QUERIES = {f.__name__: f for f in (join_id_strict, join_anti_both, join_semi, join_snapshot_diff, join_review_override, join_asof_anchor, join_asof_exclusive, join_cascade_key, join_nearest_visual, join_rect_overlap, join_point_in_rect, join_envelope, join_coverage, join_pair_baseline, join_glossary, join_consumption, join_placement, join_child_role, join_hierarchy, join_chain, set_difference, set_equality, multiset_equality, set_overlap, union_dedupe)}

@@ -61,32 +61,12 @@ def agg_ratio(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(F.regexp_count(t, F.lit("[A-Z]")) / F.greatest(F.lit(1), F.length(t)), 6).alias("ratio"))
 
 
-def agg_defects(spark, sf):
-    """Stable ids of defects and how often they come back; a category of several needs more evidence."""
-    e = table(spark, sf, "events").filter("value > 40")
-    d = e.withColumn("defect_id", F.substring(F.sha2(F.concat_ws("|", "event_type", "user_id"), 256), 1, 16))
-    g = d.groupBy("defect_id", "event_type").agg(F.count("*").alias("rounds"))
-    return g.withColumn("repeated", F.col("rounds") > 1)
-
-
 def agg_fingerprint(spark, sf):
     """Hash of the ordered hashes of a document's units."""
     h = units(spark, sf).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.sha2("source_text", 256).alias("h")))), lambda x: x["h"]).alias("h"))
     return h.select("doc_id", F.sha2(F.array_join("h", ","), 256).alias("fingerprint"))
 
 
-def _batch(spark, sf):
-    """New texts for units: some replay, some are empty, unknown or come twice."""
-    u = units(spark, sf).filter("ord % 4 < 2")
-    new = F.when(F.col("ord") % 12 == 4, "").when(F.col("ord") % 12 == 5, F.concat(F.lit("t:"), "id")).otherwise(F.concat(F.lit("n:"), "id"))
-    b = u.select(F.when(F.col("ord") % 20 == 9, F.concat("id", F.lit("?"))).otherwise(F.col("id")).alias("id"), new.alias("translated_text"))
-    return b.union(u.filter("ord % 16 = 8").select("id", F.lit("again")))
-
-
-def state_merge(spark, sf):
-    base = units(spark, sf).select("id", F.when(F.col("ord") % 3 == 2, F.concat(F.lit("t:"), "id")).otherwise("").alias("translated_text"))
-    return S.merge(base, _batch(spark, sf), "id", "translated_text")
-
 
 def state_stage(spark, sf):
     """Stages of documents from evidence in the other tables."""
@@ -97,14 +77,6 @@ def state_stage(spark, sf):
     return d.join(l, "doc_id", "left").select("doc_id", S.stage(k % 13 == 0, F.col("n_chars") > 300, q == 1, t == 0, (q == 1) & (k % 5 == 0), k % 10 == 0).alias("stage"))
 
 
-def state_reconcile(spark, sf):
-    """Completed texts after the units were extracted anew: kept, open, or orphaned."""
-    old = units(spark, sf).filter("ord % 3 = 0").select(F.col("id").alias("o"))
-    new = units(spark, sf).filter("ord % 7 != 0").select("id")
-    j = new.join(old, F.col("id") == F.col("o"), "full_outer")
-    return j.select(F.coalesce("id", "o").alias("id"), F.when(F.col("o").isNull(), "open").when(F.col("id").isNull(), "orphaned").otherwise("kept").alias("state"))
-
-
 def state_review_carry(spark, sf):
     p = table(spark, sf, "part")
     new = p.select(F.col("p_partkey").alias("k"), F.md5("p_name").alias("f"))
@@ -155,24 +127,6 @@ def val_source(spark, sf):
     )
 
 
-def val_flow(spark, sf):
-    """First broken rule of each conversation turn: its role, its place and its text."""
-    c = table(spark, sf, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    error = (
-        F.when((F.col("role") == "system") & (F.col("turn") > 0), "system_later").when(F.lag("role").over(w) == F.col("role"), "role_repeats")
-        .when(F.col("turn") != F.row_number().over(w) - 1, "turn_gap").when(F.length("text") < 20, "short")
-    )
-    return c.select("conv_id", "turn", error.alias("error"))
-
-
-def val_strict(spark, sf):
-    """Broken rules of a checkpoint: missing, unchanged, and texts without their number."""
-    u = units(spark, sf).withColumn("t", F.when(F.col("ord") % 9 == 0, F.col("source_text")).when(F.col("ord") % 9 == 1, F.lit(None)).otherwise(F.concat(F.lit("t "), (F.col("ord") % 2).cast("string"))))
-    code = F.when(F.col("t").isNull(), "missing").when((F.col("t") == F.col("source_text")) & (F.length("source_text") > 40), "unchanged").when(F.col("t") == "t 1", "odd")
-    return u.select("id", code.alias("code")).filter("code is not null")
-
-
 def val_coverage(spark, sf):
     """Line numbers that an order lacks between 1 and its number of lines."""
     l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("have"), F.count("*").cast("int").alias("n"))
@@ -180,13 +134,6 @@ def val_coverage(spark, sf):
     return l.select("l_orderkey", F.explode(lacks).alias("lacks"))
 
 
-def val_readiness(spark, sf):
-    """Whether each order's customer is covered exactly once, by nation and segment."""
-    c = table(spark, sf, "customer").groupBy(F.col("c_custkey").alias("k")).agg(F.count("*").alias("n"))
-    o = table(spark, sf, "orders")
-    return o.join(c, F.col("o_custkey") == F.col("k"), "left").select("o_orderkey", (F.coalesce("n", F.lit(0)) == 1).alias("covered"))
-
-
 def val_metadata(spark, sf):
     """First fault of a part's metadata."""
     fault = F.when(F.trim("p_name") == "", "title").when(~F.col("p_brand").rlike("^Brand#[0-9]+$"), "brand").when(F.col("p_size") < 5, "size").when(F.col("p_retailprice") > 1500, "price").otherwise("ok")
@@ -236,15 +183,8 @@ SQL = {
     "agg_rule_status": "with r as (select doc_id, length(text) < 200 as a, contains(text, '|') as b, len(regexp_extract_all(text, '[#$%&*]')) > 5 as c from documents) select doc_id, case when a or b or c then 'fail' else 'pass' end as status, array_to_string(list_filter([case when a then 'short' end, case when b then 'table' end, case when c then 'symbols' end], lambda x: x is not null), ',') as errors from r",
     "agg_distinct_order": _U + ", f as (select doc_id, kind, min(ord) as o from units group by doc_id, kind) select doc_id, string_agg(kind, ',' order by o) as kinds from f group by doc_id",
     "agg_ratio": "select doc_id, round(len(regexp_extract_all(text, '[A-Z]')) / greatest(1, length(text)), 6) as ratio from documents",
-    "agg_defects": "select substr(sha256(event_type || '|' || user_id), 1, 16) as defect_id, event_type, count(*) as rounds, count(*) > 1 as repeated from events where value > 40 group by event_type, user_id",
     "agg_fingerprint": _U + "select doc_id, sha256(string_agg(sha256(source_text), ',' order by ord)) as fingerprint from units group by doc_id",
-    "state_merge": _U + """, base as (select id, case when ord % 3 = 2 then 't:' || id else '' end as v from units), s as (select * from units where ord % 4 < 2),
-batch as (select case when ord % 20 = 9 then id || '?' else id end as id, case when ord % 12 = 4 then '' when ord % 12 = 5 then 't:' || id else 'n:' || id end as t from s union all select id, 'again' from s where ord % 16 = 8),
-b as (select id as k, count(*) as n, max(t) as t from batch group by id),
-j as (select coalesce(id, k) as id, v, t, case when id is null then 'unknown' when k is null then 'kept' when n > 1 then 'duplicate' when trim(coalesce(t, '')) = '' then 'empty' when v = t then 'replayed' when v != '' then 'frozen' else 'merged' end as verdict from base full join b on id = k)
-select id, case when verdict = 'merged' then t else v end as translated_text, verdict from j""",
     "state_stage": "with l as (select doc_id, max(quality) as q, max(toxic) as t from labels group by doc_id), d as (select d.doc_id, n_chars > 300 as p, coalesce(q, 0) = 1 as q, coalesce(t, 0) = 0 as v from documents d left join l using (doc_id)) select doc_id, case when doc_id % 13 = 0 then 'queued' when q and doc_id % 5 = 0 and doc_id % 10 = 0 then 'delivered' when q and doc_id % 5 = 0 then 'packaged' when p and q and v then 'strict_validated' when p and q then 'translated' when p then 'prepared' else 'queued' end as stage from d",
-    "state_reconcile": _U + "select id, case when ord % 3 != 0 then 'open' when ord % 7 = 0 then 'orphaned' else 'kept' end as state from units where ord % 3 = 0 or ord % 7 != 0",
     "state_review_carry": "select p_partkey as k, case when p_partkey % 7 = 0 then 'unresolved' when p_partkey % 2 = 0 then case p_size % 3 when 0 then 'manually_reviewed' when 1 then 'auto_validated' else 'unresolved' end when p_size % 3 = 1 then 'auto_validated' else 'unresolved' end as status from part",
     "state_receipt": "with r as (select l_orderkey, count(*) as n, count(*) filter (l_linestatus = 'F') as f, count(*) filter (l_returnflag = 'A') as a from lineitem group by l_orderkey) select l_orderkey, case when f = n and a = 0 then 'verified' when f = n then 'uploaded' when f > 0 then 'uploading' else 'pending' end as status from r",
     "state_pointer": "with r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k, max(event_id) over (partition by user_id) as last_event from events) select user_id, event_type as stage, last_event from r where k = 1",
@@ -253,10 +193,7 @@ select doc_id, row_number() over (partition by doc_id order by o) as ord, id, md
     "cache_compile": "select p_partkey, min(p_partkey) over (partition by p_type || '|' || p_brand) as built_by from part",
     "gate_ready": "select l_orderkey, bool_and(l_quantity > 3 and l_discount < 0.09) as ready, bool_or(l_tax > 0.07) as warned from lineitem group by l_orderkey",
     "val_source": _U + ", n as (select *, lead(kind) over (partition by doc_id, page order by ord) as nk from units) select id, page, 'caption_run' as code from n where kind = 'caption' and nk = 'caption' union all select id, page, 'heading_long' from n where kind = 'heading' and length(source_text) > 120 union all select id, page, 'empty' from n where words = 0 union all select id, page, 'table_before_body' from n where kind = 'table' and nk = 'body'",
-    "val_flow": "with w as (select *, lag(role) over (partition by conv_id order by turn) as p, row_number() over (partition by conv_id order by turn) - 1 as k from conversations) select conv_id, turn, case when role = 'system' and turn > 0 then 'system_later' when p = role then 'role_repeats' when turn != k then 'turn_gap' when length(text) < 20 then 'short' end as error from w",
-    "val_strict": _U + ", t as (select id, ord, source_text, case when ord % 9 = 0 then source_text when ord % 9 = 1 then null else 't ' || (ord % 2) end as t from units), c as (select id, case when t is null then 'missing' when t = source_text and length(source_text) > 40 then 'unchanged' when t = 't 1' then 'odd' end as code from t) select * from c where code is not null",
     "val_coverage": "with n as (select l_orderkey, cast(count(*) as integer) as n from lineitem group by l_orderkey), s as (select l_orderkey, cast(unnest(range(1, n + 1)) as integer) as lacks from n) select * from s where not exists (select 1 from lineitem l where l.l_orderkey = s.l_orderkey and l.l_linenumber = s.lacks)",
-    "val_readiness": "select o_orderkey, coalesce(n, 0) = 1 as covered from orders left join (select c_custkey, count(*) as n from customer group by c_custkey) on o_custkey = c_custkey",
     "val_metadata": "select p_partkey, case when trim(p_name) = '' then 'title' when not regexp_matches(p_brand, '^Brand#[0-9]+$') then 'brand' when p_size < 5 then 'size' when p_retailprice > 1500 then 'price' else 'ok' end as fault from part",
     "val_visual_review": "with r as (select l_orderkey, count(*) as n, count(distinct l_linenumber) as p, max(l_linenumber) as m, count(*) filter (l_returnflag = 'R') as f from lineitem group by l_orderkey) select l_orderkey, case when p != n or m != n then 'pages' when f > 0 then 'findings' else 'pass' end as status from r",
     "val_reviewed_flow": "with l as (select l_orderkey, count(*) as n from lineitem where l_linenumber = 1 group by l_orderkey), o as (select o_orderkey, coalesce(n, 0) as n from orders left join l on o_orderkey = l_orderkey) select o_orderkey, case when n = 0 then 'unplaced' else 'repeated' end as code from o where n != 1",
@@ -264,4 +201,4 @@ select doc_id, row_number() over (partition by doc_id order by o) as ord, id, md
     "val_quick": "with h as (select page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') as h from pages) select page_id, trim(h) = '' as blank, cast(len(regexp_extract_all(h, '[#%$&*]')) as bigint) as marks, len(regexp_extract_all(h, '[a-z]+')) > 50 as searchable from h",
 }
 
-QUERIES = {f.__name__: f for f in (agg_counter, agg_median, agg_weighted_mode, agg_vote, agg_bbox_union, agg_mean_conf, agg_progress, agg_rule_status, agg_distinct_order, agg_ratio, agg_defects, agg_fingerprint, state_merge, state_stage, state_reconcile, state_review_carry, state_receipt, state_pointer, state_replay, cache_compile, gate_ready, val_source, val_flow, val_strict, val_coverage, val_readiness, val_metadata, val_visual_review, val_reviewed_flow, val_boundary, val_quick)}
+QUERIES = {f.__name__: f for f in (agg_counter, agg_median, agg_weighted_mode, agg_vote, agg_bbox_union, agg_mean_conf, agg_progress, agg_rule_status, agg_distinct_order, agg_ratio, agg_fingerprint, state_stage, state_review_carry, state_receipt, state_pointer, state_replay, cache_compile, gate_ready, val_source, val_coverage, val_metadata, val_visual_review, val_reviewed_flow, val_boundary, val_quick)}

@@ -31,13 +31,21 @@ def test_merge_verdicts_and_idempotent_replay(spark):
     batch = spark.createDataFrame([("a", "new"), ("b", "other"), ("c", "same"), ("x", "?")], "id string, t string")
     merged = state.merge(base, batch, "id", "t")
     assert {r.id: (r.t, r.verdict) for r in merged.collect()} == {"a": ("new", "merged"), "b": ("old", "frozen"), "c": ("same", "replayed"), "d": ("", "kept"), "x": (None, "unknown")}
-    with pytest.raises(ValueError):
-        state.all_or_nothing(merged)
-    once = state.all_or_nothing(state.merge(base, batch.filter("id = 'a'"), "id", "t"))
+    whole = state.all_or_nothing(merged, base, "id", "t", F.lit(1))
+    assert {r.id: (r.t, r.verdict) for r in whole.collect()} == {"a": ("", "refused"), "b": ("old", "frozen"), "c": ("same", "refused"), "d": ("", "kept"), "x": (None, "unknown")}
+    good = state.merge(base, batch.filter("id = 'a'"), "id", "t")
+    once = state.all_or_nothing(good, base, "id", "t", F.lit(1))
     again = state.merge(once.select("id", "t"), batch.filter("id = 'a'"), "id", "t")
     assert sorted((r.id, r.t) for r in once.collect()) == sorted((r.id, r.t) for r in again.collect())
 
 
+def test_merge_guards(spark):
+    base = spark.createDataFrame([("a", "", "[[P1]] x [[P2]]"), ("b", "", "y"), ("c", "", "[[P1]]")], "id string, t string, p string")
+    batch = spark.createDataFrame([("a", "[[P2]] [[P1]]", []), ("b", "new", ["note"]), ("c", "z [[P1]]", [])], "id string, t string, extra array<string>")
+    got = state.merge(base, batch, "id", "t", protected="p", language=F.col("_words").contains("z"))
+    assert {r.id: r.verdict for r in got.collect()} == {"a": "tokens", "b": "extra_fields", "c": "merged"}
+
+
 def test_strong_key_blocks_the_title(spark):
     schema = "item_id long, doi string, arxiv string, title string, year string"
     e = spark.createDataFrame([(1, "10.1/a", None, "t", "2001"), (2, None, None, "t", "2001"), (3, None, "2001.00001", "t", "2001")], schema)
@@ -91,6 +99,9 @@ def test_review_is_applied_whole_or_not_at_all(spark):
     ops = spark.createDataFrame([(1, 1, "replace", "11", "r"), (1, 2, "suppress", "12", None), (2, 1, "suppress", "21", None), (2, 2, "replace", "zz", "r")], "doc_id long, step long, op string, id string, text string")
     got = {(r.doc_id, r.id): r.source_text for r in state.replay(u, ops).collect()}
     assert got == {(1, "11"): "r", (2, "21"): "t", (2, "22"): "t"}
+    ops = spark.createDataFrame([(1, 1, "insert", "11", "i"), (1, 2, "insert", "11-review", "j"), (1, 3, "suppress", "11", None), (1, 4, "replace", "11-review", "k")], "doc_id long, step long, op string, id string, text string")
+    got = [(r.ord, r.id, r.source_text) for r in state.replay(u.filter("doc_id = 1"), ops).orderBy("ord").collect()]
+    assert got == [(1, "11-review", "k"), (2, "11-review-review", "j"), (3, "12", "t")]
 
 
 def test_list_flow(spark):
