@@ -39,7 +39,36 @@ def list_levels(pages: DataFrame) -> DataFrame:
 
 #: Limits of list flow in font sizes (fixed values): same level, deeper, gap within a list, content column, gap to a continuation.
 SAME_LEVEL, DEEPER, LIST_GAP, CONTENT_COLUMN, CONTINUATION_GAP = 0.6, 0.9, 3.0, 0.45, 1.6
-_MARKED = re.compile(r"^\s*([•·▪●◦‣⁃–—\-]|\d+[.)]|\([0-9A-Za-z]+\)|[A-Za-z][.)])\s+(?=[A-Za-z㐀-鿿])")
+#: A list mark at the begin of a line with what follows, and further ones inside of it (fixed values).
+_MARKED = re.compile(r"^\s*([•·▪●◦‣⁃–—\-]|\d+[.)]|\([0-9A-Za-z]+\)|[A-Za-z][.)])(?=\s|$)\s*(.*)$")
+_INNER_MARK = re.compile(r"\s([•▪●◦‣⁃]|\d+[.)])\s+(?=[A-Za-z\u3400-\u9fff])")
+_CONTENT = re.compile(r"[A-Za-z\u3400-\u9fff]")
+
+
+def _in_brackets(text: str) -> bool:
+    """A round or square bracket is open at the end of a text."""
+    open_ = []
+    for c in text:
+        if c in "([":
+            open_.append(c)
+        elif open_ and c in ")]" and open_[-1] == {")": "(", "]": "["}[c]:
+            open_.pop()
+    return bool(open_)
+
+
+def list_marks(text: str) -> list[tuple[int, str]]:
+    """(line, mark) of the list items that begin in a text: marks before letters, at the begin of lines or within, outside of brackets."""
+    lines, out, before = text.splitlines(), [], ""
+    for k, line in enumerate(lines):
+        m = _MARKED.match(line)
+        if m:
+            content = m[2].strip() or (lines[k + 1].strip() if k + 1 < len(lines) else "")
+            if _CONTENT.match(content):
+                if not _in_brackets(before + line[: m.start(1)]):
+                    out.append((k, m[1]))
+                out += [(k, x[1]) for x in _INNER_MARK.finditer(m[2]) if not _in_brackets(before + line[: m.start(2) + x.start(1)])]
+        before += line + "\n"
+    return out
 
 
 class _ListState:
@@ -48,7 +77,8 @@ class _ListState:
     def __init__(self, list_id: str, page: int):
         self.list_id, self.page = list_id, page
         self.indents: list[float] = []
-        self.bottom = self.content = self.level = 0.0
+        self.bottom = self.content = self.marker = 0.0
+        self.level = 0
 
     def place(self, x: float, size: float) -> int | None:
         """Level of an item at x, or None if it fits no level."""
@@ -63,34 +93,46 @@ class _ListState:
 
 
 def list_flow(units: DataFrame) -> DataFrame:
-    """Role, list and level of the units of a document (doc_id, id, ord, page, kind, source_text, x0, y0, y1, size).
+    """Role, list and level of the units of a document (doc_id, id, ord, page, kind, source_text, suppressed, x0, y0, y1, size).
 
-    A body unit with a marker is an item of the open list if it is near and its indent is known or deeper,
-    else of a new list; a body unit in the content column right below an item goes on with it; anything else closes the list.
+    A body unit with a mark is an item of the open list if it is near and its indent is known or deeper,
+    else of a new list; a body unit in the content column right below an item goes on with it; anything else closes the list. review says what a
+    reader must decide: several marks in one unit or one after its first line (marks), or a unit in the content column of a list of the page before (page).
     """
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         out, state = [], None
         for u in part.sort_values("ord").itertuples():
-            marked = _MARKED.match(u.source_text or "") if u.kind == "body" else None
-            near = state is not None and state.page == u.page and u.y0 >= state.bottom
-            if marked:
-                level = state.place(u.x0, u.size) if near and u.y0 - state.bottom <= LIST_GAP * u.size else None
-                if level is None:
-                    state, level = _ListState(f"list-{u.id}", u.page), 0
+            role, list_id, level, mark, review = "paragraph", None, 0, "", None
+            marks = list_marks(u.source_text or "") if u.kind == "body" and not u.suppressed else []
+            if u.kind != "body" or u.suppressed:
+                state = None
+            elif len(marks) > 1 or (marks and marks[0][0] > 0):
+                state, review = None, "marks"
+            elif marks:
+                mark = marks[0][1]
+                near = state is not None and state.page == u.page and 0 <= u.y0 - state.bottom <= LIST_GAP * u.size
+                found = state.place(u.x0, u.size) if near else None
+                if found is None:
+                    state, found = _ListState(f"list-{u.id}", u.page), 0
                     state.indents.append(u.x0)
-                state.bottom, state.level = u.y1, level
-                state.content = u.x0 + (len(marked.group(1)) * 0.5 + 0.3) * u.size
-                out.append((u.doc_id, u.id, "list_item", state.list_id, level, marked.group(1)))
-            elif near and u.kind == "body" and abs(u.x0 - state.content) <= CONTENT_COLUMN * u.size and u.y0 - state.bottom <= CONTINUATION_GAP * u.size:
-                state.bottom = u.y1
-                out.append((u.doc_id, u.id, "list_continuation", state.list_id, state.level, None))
+                role, list_id, level = "list_item", state.list_id, found
+                state.bottom, state.level, state.marker = u.y1, found, u.x0
+                state.content = u.x0 + (len(mark) * 0.5 + 0.3) * u.size
+            elif state is not None and abs(u.x0 - state.content) <= CONTENT_COLUMN * u.size:
+                if state.page != u.page:
+                    state, review = None, "page"
+                elif state.content > state.marker + 0.3 * u.size and 0 <= u.y0 - state.bottom <= CONTINUATION_GAP * u.size:
+                    state.bottom = u.y1
+                    role, list_id, level = "list_continuation", state.list_id, state.level
+                else:
+                    state = None
             else:
                 state = None
-                out.append((u.doc_id, u.id, "paragraph", None, None, None))
-        return pd.DataFrame(out, columns=["doc_id", "id", "flow_role", "list_id", "list_level", "source_marker"]).astype({"list_level": "Int64"})
+            out.append((u.doc_id, u.id, role, list_id, level, mark, review))
+        return pd.DataFrame(out, columns=["doc_id", "id", "flow_role", "list_id", "list_level", "source_marker", "review"])
 
-    return units.groupBy("doc_id").applyInPandas(fold, "doc_id long, id string, flow_role string, list_id string, list_level long, source_marker string")
+    return units.groupBy("doc_id").applyInPandas(fold, "doc_id long, id string, flow_role string, list_id string, list_level long, source_marker string, review string")
 
 
 def nearest_exclusive(captions: DataFrame, visuals: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,6 +33,84 @@ def page_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return prefixed(left, "a_").join(prefixed(right, "b_"), "page")
 
 
+#: Height of the bands by which boxes of a page meet.
+BAND = 64.0
+
+
+def overlapping_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of boxes of one page whose vertical extents touch, as a_* and b_*: they meet in the first band that both reach."""
+
+    def banded(df, p):
+        return prefixed(df, p).withColumn("band", F.explode(F.sequence(*[F.floor(F.col(f"{p}{y}") / BAND) for y in ("y0", "y1")])))
+
+    both = banded(left, "a_").join(banded(right, "b_"), ["page", "band"])
+    return both.filter(F.col("band") == F.greatest(F.floor(F.col("a_y0") / BAND), F.floor(F.col("b_y0") / BAND))).filter("a_y0 <= b_y1 and b_y0 <= a_y1").drop("band")
+
+
+def covered_area(targets: DataFrame, regions: DataFrame) -> DataFrame:
+    """For each box of targets (page, n, x0 .. y1) its area and how much of it the regions of its page cover, none counted twice.
+
+    The regions' parts inside the box are cut into slabs at all their left and right edges, and in each slab the union of their vertical intervals is summed.
+    """
+    p = overlapping_pairs(targets, regions)
+    key = ["page", "a_n"]
+    cut = p.select(*key, *[F.greatest(f"a_{c}", f"b_{c}").alias(c) for c in ("x0", "y0")], *[F.least(f"a_{c}", f"b_{c}").alias(c) for c in ("x1", "y1")]).filter("x0 < x1 and y0 < y1")
+    edges = cut.select(*key, F.explode(F.array("x0", "x1")).alias("left")).distinct()
+    slabs = edges.withColumn("right", F.lead("left").over(Window.partitionBy(*key).orderBy("left"))).filter("right is not null")
+    rows = slabs.join(cut, key).filter("x0 <= left and x1 >= right")
+    seen = F.max("y1").over(Window.partitionBy(*key, "left").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0.0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce(seen, F.col("y0"))))
+    got = rows.withColumn("fresh", (F.col("right") - F.col("left")) * fresh).groupBy(*key).agg(F.sum("fresh").alias("covered"))
+    return targets.select("page", F.col("n").alias("a_n"), area().alias("area")).join(got, key, "left").select("page", F.col("a_n").alias("n"), "area", F.coalesce("covered", F.lit(0.0)).alias("covered"))
+
+
+#: Baselines of one line differ by a share of the size, at least so many points; those of formulas beside it by another (fixed values).
+SAME_LINE, FORMULA_LINE = (1.0, 0.18), (2.0, 0.55)
+
+
+def merged_lines(lines: DataFrame) -> DataFrame:
+    """Visual lines of a page: line (the smallest n in it) of each of lines (page, n, kind, x0, x1, baseline, size).
+
+    Body lines are one where their baselines differ by at most the tolerance of the first of them by n, and so on from line to line. A line of another kind joins the body
+    line that it overlaps in x with the nearest baseline within its own tolerance, the first of equals. One fold a page over lines sorted by baseline, which looks no further than the largest tolerance.
+    """
+    import pandas as pd
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(part[["baseline", "n", "kind", "x0", "x1", "size"]].itertuples(index=False, name=None))
+        body = [r for r in rows if r[2] == "body"]
+        root = {r[1]: r[1] for r in rows}
+
+        def find(v):
+            while root[v] != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        def join(a, b):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+
+        tolerance = lambda r, rule: max(rule[0], rule[1] * r[5])
+        widest = max((tolerance(r, SAME_LINE) for r in body), default=0.0)
+        for i, a in enumerate(body):
+            for b in body[i + 1 :]:
+                if b[0] - a[0] > widest:
+                    break
+                if b[0] - a[0] <= tolerance(min(a, b, key=lambda r: r[1]), SAME_LINE):
+                    join(a[1], b[1])
+        places = [r[0] for r in body]
+        for r in rows:
+            if r[2] != "body":
+                t = tolerance(r, FORMULA_LINE)
+                near = [b for b in body[bisect_left(places, r[0] - t) : bisect_right(places, r[0] + t)] if min(r[4], b[4]) > max(r[3], b[3])]
+                if near:
+                    join(r[1], min(near, key=lambda b: (abs(b[0] - r[0]), b[1]))[1])
+        return pd.DataFrame([(part["page"].iloc[0], r[1], find(r[1])) for r in rows], columns=["page", "n", "line"])
+
+    return lines.groupBy("page").applyInPandas(fold, "page long, n int, line int")
+
+
 def reading_order(df: DataFrame, by: list[str], tie: str) -> DataFrame:
     """Wide boxes split a page into bands; inside a band the left lane comes before the right one."""
     w = Window.partitionBy(*by)

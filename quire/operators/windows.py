@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,22 +47,39 @@ def budget_prefix(df: DataFrame, by: list[str], order: str, words: str, done: st
     return open_rows.filter(keep).drop("_first", "_stop")
 
 
-def pack_all(df: DataFrame, by: list[str], order: str, words: str, budget: int) -> DataFrame:
-    """Packet number of every row when the budget rule is applied again and again.
+def fold_sorted(df: DataFrame, by: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], object], name: str, kind: str) -> DataFrame:
+    """df with a column that a fold over the ordered rows of each key gives, row by row.
 
-    A fold over the ordered words of one document; a document's units fit in a row as its text does.
+    step(state, values of order) changes the state, which start() makes for each key, and returns the row's value. Rows are dealt out by key, sorted and streamed, so a key of any
+    number of rows needs the memory of its state alone.
     """
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(words).cast("long").alias("w")))).alias("u"))
-    zero = F.struct(F.lit(0).cast("int").alias("packet"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:int,packet:int>>").alias("out"))
+    n = len(by)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by, *order).schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = object(), None
+        for batch in batches:
+            found = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                if row[:n] != key:
+                    key, state = row[:n], start()
+                found.append(step(state, row[n:]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, {"int": pa.int32(), "boolean": pa.bool_()}[kind])], [*batch.schema.names, name])
 
-    def step(acc, x):
-        new = (acc["packet"] == 0) | (acc["used"] + x["w"] > budget)
-        packet = F.when(new, acc["packet"] + 1).otherwise(acc["packet"]).cast("int")
-        used = F.when(new, x["w"]).otherwise(acc["used"] + x["w"])
-        return F.struct(packet.alias("packet"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("int").alias("o"), packet.alias("packet")))).alias("out"))
+    rows = df.select(*by, *order).repartition(*by).sortWithinPartitions(*by, *order)
+    return rows.mapInArrow(run, f"{schema}, {name} {kind}")
 
-    folded = rows.select(*by, F.aggregate("u", zero, step, lambda a: a["out"]).alias("p"))
-    return folded.select(*by, F.explode("p").alias("p")).select(*by, F.col("p.o").alias(order), F.col("p.packet").alias("packet"))
+
+def pack_all(df: DataFrame, by: list[str], order: str, words: str, budget: int) -> DataFrame:
+    """Packet number of every row when the budget rule is applied again and again: by..., order, packet."""
+
+    def step(state, row):
+        if not state[0] or state[1] + row[1] > budget:
+            state[0], state[1] = state[0] + 1, 0
+        state[1] += row[1]
+        return state[0]
+
+    return fold_sorted(df, by, [order, words], lambda: [0, 0], step, "packet", "int").drop(words)
 
 
 def interval_union(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
@@ -78,10 +98,13 @@ def clusters(df: DataFrame, by: list[str], value: str, tolerance: float) -> Data
 
 def nonoverlapping(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     """Of intervals by (start, -end), those that begin at or after the end of the last one kept."""
-    rows = df.groupBy(*by).agg(F.collect_list(F.struct(F.col(start).alias("s"), (-F.col(end)).alias("e"))).alias("v"))
-    kept = F.aggregate(
-        F.array_sort("v"),
-        F.array().cast("array<struct<s:double,e:double>>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x["s"] >= -F.element_at(acc, -1)["e"]), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return rows.select(*by, F.explode(kept).alias("k")).select(*by, F.col("k.s").alias(start), (-F.col("k.e")).alias(end))
+
+    def step(state, row):
+        keep = not state or row[0] >= state[0]
+        if keep:
+            state[:] = [-row[1]]
+        return keep
+
+    rows = df.select(*by, F.col(start).alias("_s"), (-F.col(end)).alias("_e"))
+    kept = fold_sorted(rows, by, ["_s", "_e"], list, step, "_keep", "boolean").filter("_keep")
+    return kept.select(*by, F.col("_s").alias(start), (-F.col("_e")).alias(end))

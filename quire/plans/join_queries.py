@@ -40,44 +40,14 @@ def join_snapshot_diff(spark, sf):
     return J.snapshot_diff(old, _checkpoint(spark, sf).withColumn("contract", F.sha2("source_text", 256)), "id", "contract", "done")
 
 
-def join_review_override(spark, sf):
-    """A review of a document overrides its extracted language and state."""
-    d, l = table(spark, sf, "documents"), table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return d.join(l, "doc_id", "left").select("doc_id", F.coalesce(F.when(F.col("quality") == 1, "manually_reviewed"), F.when(F.col("quality") == 0, "rejected"), F.lit("auto_validated")).alias("review_status"))
-
-
 def join_asof_anchor(spark, sf):
     """For each event of value over 50 the last earlier event of the user, by time and id."""
     e = table(spark, sf, "events").select("user_id", "event_id", "value", F.struct("ts", "event_id").alias("at"))
     return J.asof_before(e.filter("value > 50"), e, ["user_id"], "at", "at", "event_id").select("event_id", "user_id", F.col("marker").alias("anchor_id"))
 
 
-def join_asof_exclusive(spark, sf):
-    """Events over 50 in order take the last free event of the user up to 50 before them; each is used once."""
-    e = table(spark, sf, "events").select("user_id", "event_id", "value", F.struct("ts", "event_id").alias("at"))
-    return J.exclusive_asof(e.filter("value > 50").withColumnRenamed("event_id", "note_id"), e.filter("value <= 50").withColumnRenamed("event_id", "marker_id"), ["user_id"])
 
 
-def _items(spark, sf):
-    """Bibliographic items made of parts: some have a doi, some an arxiv id, all a title and year."""
-    k = F.col("p_partkey")
-    return table(spark, sf, "part").select(
-        k.alias("item_id"),
-        F.when(k % 3 == 0, F.concat(F.lit("10.1000/"), (k % 200).cast("string"))).alias("doi"),
-        F.when(k % 5 == 0, F.concat(F.lit("2001."), F.lpad((k % 150).cast("string"), 5, "0"))).alias("arxiv"),
-        F.lower("p_name").alias("title"),
-        (F.lit(1990) + F.col("p_size")).cast("string").alias("year"),
-    )
-
-
-_ITEMS = """items as (select p_partkey as item_id, case when p_partkey % 3 = 0 then '10.1000/' || (p_partkey % 200) end as doi,
-  case when p_partkey % 5 = 0 then '2001.' || lpad(cast(p_partkey % 150 as varchar), 5, '0') end as arxiv, lower(p_name) as title, cast(1990 + p_size as varchar) as year from part)"""
-
-
-def join_cascade_key(spark, sf):
-    i = _items(spark, sf)
-    return J.cascade(i.filter("item_id % 2 = 0"), i.filter("item_id % 2 = 1"))
-
 
 def join_nearest_visual(spark, sf):
     """For each box of flag R the box of its page with the smallest vertical gap; ties to the smallest number."""
@@ -87,52 +57,6 @@ def join_nearest_visual(spark, sf):
     return p.groupBy("page", F.col("a_n").alias("caption"), F.col("a_y0").alias("y0")).agg(F.min_by("b_n", F.struct(F.round(gap, 3), "b_n")).alias("visual"), F.round(F.min(gap), 3).alias("gap"))
 
 
-def join_rect_overlap(spark, sf):
-    b = boxes(spark, sf)
-    share = G.overlap_area("a_", "b_") / G.area("a_")
-    p = G.page_pairs(b, b).filter("a_n != b_n").filter(share >= 0.35)
-    return p.select("page", "a_n", "b_n", F.round(share, 4).alias("share"))
-
-
-def join_point_in_rect(spark, sf):
-    b = boxes(spark, sf)
-    x, y = (F.col("a_x0") + F.col("a_x1")) / 2, (F.col("a_y0") + F.col("a_y1")) / 2
-    p = G.page_pairs(b, b).filter("a_n != b_n").filter(x.between(F.col("b_x0"), F.col("b_x1")) & y.between(F.col("b_y0"), F.col("b_y1")))
-    return p.groupBy("page", "a_n").agg(F.count("*").alias("n"))
-
-
-def join_envelope(spark, sf):
-    """Clips (flag A) that cut more than half a square point of a box they don't own."""
-    b = boxes(spark, sf)
-    p = G.page_pairs(b.filter("kind = 'A'"), b.filter("kind != 'A'")).filter(G.overlap_area("a_", "b_") > 0.5)
-    return p.groupBy("page", "a_n").agg(F.count("*").alias("foreign"))
-
-
-def join_coverage(spark, sf):
-    """Pages whose vertical extent the boxes cover without a gap of over half a point."""
-    from quire.operators.windows import interval_union
-
-    b = boxes(spark, sf)
-    extent = b.groupBy("page").agg(F.min("y0").alias("lo"), F.max("y1").alias("hi"))
-    c = interval_union(b, ["page"], "y0", "y1").join(extent, "page")
-    return c.select("page", (F.col("hi") - F.col("lo") - F.col("covered") <= 0.5).alias("covered"))
-
-
-def join_pair_baseline(spark, sf):
-    """Boxes of a page whose bottoms differ by at most five points."""
-    b = boxes(spark, sf)
-    p = G.page_pairs(b, b).filter("a_n < b_n").filter(F.abs(F.col("a_y1") - F.col("b_y1")) <= 5.0)
-    return p.select("page", "a_n", "b_n")
-
-
-def join_glossary(spark, sf):
-    """Region and nation names as terms: those that stand as words of a part's, customer's or nation's text; by words, not by a cross join."""
-    terms = table(spark, sf, "nation").select(F.lower("n_name").alias("term")).union(table(spark, sf, "region").select(F.lower("r_name")))
-    terms = terms.union(table(spark, sf, "part").select(F.lower(F.element_at(F.split("p_type", " "), 1))).distinct()).distinct()
-    words = table(spark, sf, "part").select("p_partkey", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_type", "p_name")), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("term"))
-    return words.join(terms, "term").select("p_partkey", "term")
-
-
 def join_consumption(spark, sf):
     """Line items by (order, flag) against (order, status): rows that one side has more often."""
     li = table(spark, sf, "lineitem")
@@ -149,17 +73,6 @@ def join_child_role(spark, sf):
     return J.role_inventory(table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), table(spark, sf, "orders"), "o_orderkey", "l_returnflag", ["A", "N", "R"])
 
 
-def join_hierarchy(spark, sf):
-    """Path from region to nation by a recursive query."""
-    for n in ("nation", "region"):
-        table(spark, sf, n).createOrReplaceTempView(f"h_{n}")
-    return spark.sql("""with recursive nodes as (select 'r' || r_regionkey as id, cast(null as string) as parent, r_name as name from h_region
-        union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name from h_nation),
-      paths(id, path, depth) as (select id, name, 0 from nodes where parent is null
-        union all select n.id, p.path || ' / ' || n.name, p.depth + 1 from nodes n join paths p on n.parent = p.id)
-      select id, path, depth from paths""")
-
-
 def join_chain(spark, sf):
     """Paragraph root of every unit: runs of body units without terminal punctuation share their first unit."""
     from quire.operators.windows import islands, ordered
@@ -170,6 +83,22 @@ def join_chain(spark, sf):
     return u.select("id", F.first("id").over(Window.partitionBy("doc_id", "island").orderBy("ord")).alias("root"))
 
 
+def _items(spark, sf):
+    """Bibliographic items made of parts: some have a doi, some an arxiv id, all a title and year."""
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(
+        k.alias("item_id"),
+        F.when(k % 3 == 0, F.concat(F.lit("10.1000/"), (k % 200).cast("string"))).alias("doi"),
+        F.when(k % 5 == 0, F.concat(F.lit("2001."), F.lpad((k % 150).cast("string"), 5, "0"))).alias("arxiv"),
+        F.lower("p_name").alias("title"),
+        (F.lit(1990) + F.col("p_size")).cast("string").alias("year"),
+    )
+
+
+_ITEMS = """items as (select p_partkey as item_id, case when p_partkey % 3 = 0 then '10.1000/' || (p_partkey % 200) end as doi,
+  case when p_partkey % 5 = 0 then '2001.' || lpad(cast(p_partkey % 150 as varchar), 5, '0') end as arxiv, lower(p_name) as title, cast(1990 + p_size as varchar) as year from part)"""
+
+
 def set_difference(spark, sf):
     return J.anti_both(table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), "k")
 
@@ -204,26 +133,13 @@ SQL = {
     "join_anti_both": _UC + """select id, 'missing' as side from units where id not in (select id from cp) union all select id, 'extra' from cp where id not in (select id from units)""",
     "join_semi": f"with {UNITS_SQL}, {DONE_SQL} select id, words from units where doc_id in (select doc_id from done)",
     "join_snapshot_diff": f"""with {UNITS_SQL}, {DONE_SQL}, {_CHECKPOINT} select coalesce(u.id, c.id) as id, case when u.id is null then 'new' when c.id is null then 'removed' when u.source_text != c.source_text and u.doc_id in (select doc_id from done) then 'reopened' when u.source_text != c.source_text then 'changed' else 'preserved' end as label from units u full join cp c on u.id = c.id""",
-    "join_review_override": """select d.doc_id, case q when 1 then 'manually_reviewed' when 0 then 'rejected' else 'auto_validated' end as review_status from documents d left join (select doc_id, max(quality) as q from labels group by doc_id) l on d.doc_id = l.doc_id""",
     "join_asof_anchor": """with l as (select *, lag(event_id) over (partition by user_id order by ts, event_id) as anchor_id from events) select event_id, user_id, anchor_id from l where value > 50""",
-    "join_cascade_key": f"""with {_ITEMS}, e as (select * from items where item_id % 2 = 0), c as (select * from items where item_id % 2 = 1)
-select e.item_id as expected_id, c.item_id as candidate_id, case when e.doi is not null then 'doi' when e.arxiv is not null then 'arxiv' else 'title+year' end as reason
-from e join c on case when e.doi is not null then e.doi = c.doi when e.arxiv is not null then e.arxiv = c.arxiv else e.title = c.title and e.year = c.year end""",
     "join_nearest_visual": _PAIR + """, g as (select *, greatest(0.0, by0 - ay1, ay0 - by1) as gap from o where ak = 'R' and bk != 'R') select page, a_n as caption, ay0 as y0, arg_min(b_n, round(gap, 3) * 1000000 + b_n) as visual, round(min(gap), 3) as gap from g group by page, a_n, ay0""",
-    "join_rect_overlap": _PAIR + "select page, a_n, b_n, round(ov / ((ax1 - ax0) * (ay1 - ay0)), 4) as share from o where a_n != b_n and ov / ((ax1 - ax0) * (ay1 - ay0)) >= 0.35",
-    "join_point_in_rect": _PAIR + "select page, a_n, count(*) as n from o where a_n != b_n and (ax0 + ax1) / 2 between bx0 and bx1 and (ay0 + ay1) / 2 between by0 and by1 group by page, a_n",
-    "join_envelope": _PAIR + "select page, a_n, count(*) as \"foreign\" from o where ak = 'A' and bk != 'A' and ov > 0.5 group by page, a_n",
-    "join_coverage": f"""with {BOXES_SQL}, m as (select *, max(y1) over (partition by page order by y0, y1 rows between unbounded preceding and 1 preceding) as seen from boxes)
-select page, max(y1) - min(y0) - sum(greatest(0.0, y1 - greatest(y0, coalesce(seen, y0)))) <= 0.5 as covered from m group by page""",
-    "join_pair_baseline": _PAIR + "select page, a_n, b_n from o where a_n < b_n and abs(ay1 - by1) <= 5.0",
-    "join_glossary": """with t as (select lower(n_name) as term from nation union select lower(r_name) from region union select lower(string_split(p_type, ' ')[1]) from part),
-w as (select distinct p_partkey, unnest(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z0-9]+')) as term from part) select p_partkey, term from w where term in (select term from t)""",
     "join_consumption": """with a as (select l_orderkey, l_returnflag as f from lineitem), b as (select l_orderkey, case when l_linestatus = 'O' then 'N' else 'R' end as f from lineitem)
 select l_orderkey, f, 'left' as side from (select * from a except all select * from b) union all select l_orderkey, f, 'right' from (select * from b except all select * from a)""",
     "join_placement": """with r as (select *, row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc, l_suppkey desc) as k from lineitem) select l_partkey, l_suppkey, l_orderkey from r where k = 1""",
     "join_child_role": """with c as (select l_orderkey, count(*) filter (l_returnflag = 'A') as a, count(*) filter (l_returnflag = 'N') as n, count(*) filter (l_returnflag = 'R') as r from lineitem group by l_orderkey)
 select o_orderkey, coalesce(a, 0) as "n_A", coalesce(n, 0) as "n_N", coalesce(r, 0) as "n_R", coalesce(a = 1 and n = 1 and r = 1, false) as complete from orders left join c on o_orderkey = l_orderkey""",
-    "join_hierarchy": """select 'r' || r_regionkey as id, r_name as path, 0 as depth from region union all select 'n' || n_nationkey, r_name || ' / ' || n_name, 1 from nation join region on n_regionkey = r_regionkey""",
     "join_chain": f"""with {UNITS_SQL}, l as (select *, lag(source_text) over w as p, lag(kind) over w as k from units window w as (partition by doc_id order by ord)),
 i as (select *, sum(case when kind = 'body' and k = 'body' and not regexp_matches(p, '[.!?]$') then 0 else 1 end) over (partition by doc_id order by ord) as isl from l) select id, first_value(id) over (partition by doc_id, isl order by ord) as root from i""",
     "set_difference": """select c_custkey as k, 'missing' as side from customer where c_custkey not in (select o_custkey from orders) union all select distinct o_custkey, 'extra' from orders where o_custkey not in (select c_custkey from customer)""",
@@ -233,4 +149,4 @@ i as (select *, sum(case when kind = 'body' and k = 'body' and not regexp_matche
     "union_dedupe": f"with {_ITEMS} select item_id from items where doi is not null or year < '2010'",
 }
 
-QUERIES = {f.__name__: f for f in (join_id_strict, join_anti_both, join_semi, join_snapshot_diff, join_review_override, join_asof_anchor, join_asof_exclusive, join_cascade_key, join_nearest_visual, join_rect_overlap, join_point_in_rect, join_envelope, join_coverage, join_pair_baseline, join_glossary, join_consumption, join_placement, join_child_role, join_hierarchy, join_chain, set_difference, set_equality, multiset_equality, set_overlap, union_dedupe)}
+QUERIES = {f.__name__: f for f in (join_id_strict, join_anti_both, join_semi, join_snapshot_diff, join_asof_anchor, join_nearest_visual, join_consumption, join_placement, join_child_role, join_chain, set_difference, set_equality, multiset_equality, set_overlap, union_dedupe)}

@@ -90,17 +90,6 @@ def win_list_state(spark, sf):
     return list_levels(table(spark, sf, "pages"))
 
 
-def win_list_flow(spark, sf):
-    """List roles of units that are given markers, indents and places on their page."""
-    from quire.operators.folds import list_flow
-
-    u = units(spark, sf)
-    mark = F.when(F.col("ord") % 4 < 2, F.concat(F.lit("- "), "source_text")).otherwise(F.col("source_text"))
-    x = F.when(F.col("ord") % 4 == 0, 10.0).when(F.col("ord") % 4 == 1, 22.0).when(F.col("ord") % 4 == 2, 30.0).otherwise(0.0)
-    y = ((F.col("ord") - 1) % 40 * 12).cast("double")
-    return list_flow(u.select("doc_id", "id", "ord", "page", "kind", mark.alias("source_text"), x.alias("x0"), y.alias("y0"), (y + 10).alias("y1"), F.lit(10.0).alias("size")))
-
-
 def join_nearest_exclusive(spark, sf):
     """Boxes of flag R in order take the nearest free box of their page."""
     from quire.operators.folds import nearest_exclusive
@@ -205,4 +194,4 @@ select page, n, cast(row_number() over (partition by page order by band, case wh
     "limit_chunk": """select doc_id, (row_number() over (partition by source order by doc_id) - 1) // 50 as batch from documents""",
 }
 
-QUERIES = {f.__name__: f for f in (win_runsum_budget, win_pack_all, win_ffill_section, win_renumber, win_pairwise, win_islands_cont, win_after_caption, win_interval_union, win_line_cluster, win_nonoverlap, win_coalesce_style, win_list_state, win_list_flow, join_nearest_exclusive, sort_stable, sort_reading, limit_next, topk_neighbours, topk_sample, limit_report, limit_chunk)}
+QUERIES = {f.__name__: f for f in (win_runsum_budget, win_pack_all, win_ffill_section, win_renumber, win_pairwise, win_islands_cont, win_after_caption, win_interval_union, win_line_cluster, win_nonoverlap, win_coalesce_style, win_list_state, join_nearest_exclusive, sort_stable, sort_reading, limit_next, topk_neighbours, topk_sample, limit_report, limit_chunk)}

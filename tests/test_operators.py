@@ -48,9 +48,11 @@ def test_merge_guards(spark):
 
 def test_strong_key_blocks_the_title(spark):
     schema = "item_id long, doi string, arxiv string, title string, year string"
-    e = spark.createDataFrame([(1, "10.1/a", None, "t", "2001"), (2, None, None, "t", "2001"), (3, None, "2001.00001", "t", "2001")], schema)
-    c = spark.createDataFrame([(7, "10.1/b", None, "t", "2001"), (8, "10.1/a", None, "u", "1999")], schema)
-    assert {tuple(r) for r in joins.cascade(e, c).collect()} == {(1, 8, "doi"), (2, 7, "title+year")}
+    e = spark.createDataFrame(
+        [(1, "10.1/a", None, "t", "2001", None), (2, None, None, "t", "2001", None), (3, None, "2001.00001", "t", "2001", "k9"), (4, None, "2001.00001", "t", "2001", "K7"), (5, None, None, "t", None, "K9")], schema + ", parent_key string"
+    )
+    c = spark.createDataFrame([(7, "10.1/b", None, "t", "2001", "K7", None), (8, "10.1/a", None, "u", "1999", "K8", None), (9, None, None, "t", None, "K9", "book"), (10, None, None, "t", None, "K9", "note")], schema + ", key string, kind string")
+    assert {tuple(r) for r in joins.cascade(e, c).collect()} == {(1, 8, "doi"), (2, 7, "title+year"), (3, 9, "source-parent-key"), (4, 7, "source-parent-key")}
 
 
 def test_identifiers(spark):
@@ -106,12 +108,16 @@ def test_review_is_applied_whole_or_not_at_all(spark):
 
 def test_list_flow(spark):
     rows = [("p", "Intro text", 10.0), ("a", "- first", 10.0), ("b", "goes on", 18.0), ("c", "- nested", 25.0), ("d", "- second", 10.0), ("e", "After", 10.0), ("f", "(12)", 10.0)]
-    data = [(1, i, k, 1, "body", t, x, 12.0 * k, 12.0 * k + 10, 10.0) for k, (i, t, x) in enumerate(rows)]
-    df = spark.createDataFrame(data, "doc_id long, id string, ord int, page int, kind string, source_text string, x0 double, y0 double, y1 double, size double")
-    got = {r.id: (r.flow_role, r.list_id, r.list_level) for r in folds.list_flow(df).collect()}
+    rows += [("g", "- one 2. two", 10.0), ("h", "text\n- late", 10.0), ("i", "(see\n- no item)", 10.0), ("j", "- last", 10.0)]
+    data = [(1, i, k, 1, "body", t, False, x, 12.0 * k, 12.0 * k + 10, 10.0) for k, (i, t, x) in enumerate(rows)]
+    data.append((1, "k", 90, 2, "body", "over the page", False, 18.0, 0.0, 10.0, 10.0))
+    df = spark.createDataFrame(data, "doc_id long, id string, ord int, page int, kind string, source_text string, suppressed boolean, x0 double, y0 double, y1 double, size double")
+    flow = folds.list_flow(df).collect()
+    assert {r.id: r.review for r in flow if r.review} == {"g": "marks", "h": "marks", "k": "page"}
+    got = {r.id: (r.flow_role, r.list_id, r.list_level) for r in flow if r.id <= "f"}
     assert got == {
-        "p": ("paragraph", None, None), "a": ("list_item", "list-a", 0), "b": ("list_continuation", "list-a", 0), "c": ("list_item", "list-a", 1),
-        "d": ("list_item", "list-a", 0), "e": ("paragraph", None, None), "f": ("paragraph", None, None),
+        "p": ("paragraph", None, 0), "a": ("list_item", "list-a", 0), "b": ("list_continuation", "list-a", 0), "c": ("list_item", "list-a", 1),
+        "d": ("list_item", "list-a", 0), "e": ("paragraph", None, 0), "f": ("paragraph", None, 0),
     }
 
 
