@@ -6,8 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def list_levels(pages: DataFrame) -> DataFrame:
@@ -135,26 +138,61 @@ def list_flow(units: DataFrame) -> DataFrame:
     return units.groupBy("doc_id").applyInPandas(fold, "doc_id long, id string, flow_role string, list_id string, list_level long, source_marker string, review string")
 
 
+def by_group(df: DataFrame, by: str, order: list[str], work, schema: str) -> DataFrame:
+    """Rows that work(key, rows) returns for the ordered rows (tuples of by, order and the other columns) of each key.
+
+    Rows are dealt out by key, sorted and streamed; the rows of one key are held at a time.
+    """
+    columns = [by, *order, *[c for c in df.columns if c != by and c not in order]]
+    kinds = StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*found), kinds)], kinds.names)
+
+        held, found = [], []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][0] != row[0]:
+                    found += work(held[0][0], held)
+                    held = []
+                held.append(row)
+            if len(found) > 4096:
+                yield out(found)
+                found = []
+        if held:
+            found += work(held[0][0], held)
+        if found:
+            yield out(found)
+
+    return df.select(*columns).repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
+
+
 def nearest_exclusive(captions: DataFrame, visuals: DataFrame) -> DataFrame:
     """Captions of a page in order take the nearest free visual: first those that overlap in x, then the smallest vertical gap.
 
-    Both: page, n, kind, x0, y0, x1, y1; a caption of kind figure takes any kind, others their own. Returns page, caption, visual (null if none is left).
+    Both: page, n, kind, x0, y0, x1, y1; a caption of kind figure takes any kind, others their own. Where captions have a column reviewed
+    (n of a visual), that visual is theirs before any is dealt out. Returns page, caption, visual (null if none is left).
     """
-
-    def fold(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = list(right.rename(columns=lambda c: c.removeprefix("v_")).sort_values("n").itertuples())
+    names = ("n", "kind", "x0", "y0", "x1", "y1")
+    reviewed = F.col("reviewed").cast("int") if "reviewed" in captions.columns else F.lit(None).cast("int")
+    rows = captions.select("page", F.lit(0).alias("side"), *names, reviewed.alias("reviewed")).unionByName(visuals.select("page", F.lit(1).alias("side"), *names, F.lit(None).cast("int").alias("reviewed")))
+
+    def work(page, rows):
+        free = {v[2]: v for v in rows if v[1] == 1}
+        mine = {c[2]: c[8] for c in rows if c[1] == 0 and c[8] in free}
+        for v in mine.values():
+            free.pop(v, None)
         out = []
-        for c in left.sort_values("n").itertuples():
-            fits = [v for v in free if c.kind in ("figure", v.kind)]
-            best = min(fits, key=lambda v: (not (v.x0 < c.x1 and v.x1 > c.x0), min(abs(v.y1 - c.y0), abs(v.y0 - c.y1)), v.n), default=None)
+        for _, _, n, kind, x0, y0, x1, y1, _ in (c for c in rows if c[1] == 0):
+            fits = [v for v in free.values() if kind in ("figure", v[3])] if n not in mine else []
+            best = min(fits, key=lambda v: (not (v[4] < x1 and v[6] > x0), min(abs(v[7] - y0), abs(v[5] - y1)), v[2]), default=None)
             if best is not None:
-                free.remove(best)
-            out.append((key[0], c.n, None if best is None else best.n))
-        return pd.DataFrame(out, columns=["page", "caption", "visual"]).astype({"visual": "Int64"})
+                del free[best[2]]
+            out.append((page, n, mine.get(n) if best is None else best[2]))
+        return out
 
-    names = ("page", "n", "kind", "x0", "y0", "x1", "y1")
-    visuals = visuals.select(*[F.col(c).alias(f"v_{c}") for c in names])  # both sides may come from one table
-    return captions.select(*names).groupBy("page").cogroup(visuals.groupBy("v_page")).applyInPandas(fold, "page long, caption long, visual long")
+    return by_group(rows, "page", ["side", "n"], work, "page long, caption long, visual long")
 
 
 def align(text: str, runs: list[str], lines: list[int | None] | None = None) -> list[tuple[int | None, int | None, str]]:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.operators.folds import by_group
+
 #: Share of the page's width from which a box is full width.
 WIDE = 0.6
 
@@ -74,10 +76,9 @@ def merged_lines(lines: DataFrame) -> DataFrame:
     Body lines are one where their baselines differ by at most the tolerance of the first of them by n, and so on from line to line. A line of another kind joins the body
     line that it overlaps in x with the nearest baseline within its own tolerance, the first of equals. One fold a page over lines sorted by baseline, which looks no further than the largest tolerance.
     """
-    import pandas as pd
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(part[["baseline", "n", "kind", "x0", "x1", "size"]].itertuples(index=False, name=None))
+    def fold(page, rows):
+        rows = [(b, n, kind, x0, x1, size) for _, b, n, kind, x0, x1, size in rows]
         body = [r for r in rows if r[2] == "body"]
         root = {r[1]: r[1] for r in rows}
 
@@ -106,9 +107,9 @@ def merged_lines(lines: DataFrame) -> DataFrame:
                 near = [b for b in body[bisect_left(places, r[0] - t) : bisect_right(places, r[0] + t)] if min(r[4], b[4]) > max(r[3], b[3])]
                 if near:
                     join(r[1], min(near, key=lambda b: (abs(b[0] - r[0]), b[1]))[1])
-        return pd.DataFrame([(part["page"].iloc[0], r[1], find(r[1])) for r in rows], columns=["page", "n", "line"])
+        return [(page, r[1], find(r[1])) for r in rows]
 
-    return lines.groupBy("page").applyInPandas(fold, "page long, n int, line int")
+    return by_group(lines.select("page", "baseline", "n", "kind", "x0", "x1", "size"), "page", ["baseline", "n"], fold, "page long, n int, line int")
 
 
 def reading_order(df: DataFrame, by: list[str], tie: str) -> DataFrame:

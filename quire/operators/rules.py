@@ -80,7 +80,7 @@ def defects(findings: DataFrame) -> DataFrame:
     text = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
     stable = F.sha2(F.when(F.col("source_unit").isNull(), text(paged)).otherwise(text(known)), 256)
     f = f.withColumn("defect_id", F.coalesce("defect_id", F.concat(F.lit("defect-"), F.substring(stable, 1, 16))))
-    last = F.max_by(F.struct("category", "source_unit", "symptom"), F.struct("review", "page", "symptom"))
+    last = F.max_by(F.struct("category", "source_unit", "symptom"), F.struct("review", "page", "symptom", "category"))
     d = f.groupBy("defect_id").agg(last.alias("d"), F.count_distinct("review").alias("reviews")).select("defect_id", "d.*", "reviews")
     return d.join(d.groupBy(F.col("category").alias("_c")).agg(F.count("*").alias("in_category")), F.col("category") == F.col("_c")).drop("_c")
 

@@ -140,7 +140,7 @@ verdicts as (select coalesce(base.id, one.id) as id, ord, old, v,
 _FINDINGS = """f as (select l_linenumber % 3 as review, l_orderkey % 40 as page, coalesce(case when l_suppkey % 3 > 0 then 'c' || (l_orderkey % 25) end, 'layout') as category, case when l_orderkey % 3 > 0 then 'u' || (l_orderkey % 97) end as unit,
   's' || (l_partkey % 5) as symptom, case when l_partkey % 29 = 1 then 'defect-own-' || (l_orderkey % 50) end as own from lineitem where l_orderkey % 4 = 0),
 g as (select *, coalesce(own, 'defect-' || left(sha256('{"category":"' || category || '",' || case when unit is null then '"initial_page":' || page || ',"source_unit":null' else '"source_unit":"' || unit || '"' end || ',"symptom":"' || symptom || '"}'), 16)) as defect_id from f),
-k as (select *, row_number() over (partition by defect_id order by review desc, page desc, symptom desc) as place from g),
+k as (select *, row_number() over (partition by defect_id order by review desc, page desc, symptom desc, category desc) as place from g),
 d0 as (select defect_id, max(case when place = 1 then category end) as category, cast(count(distinct review) as bigint) as reviews from k group by defect_id),
 d as (select *, cast(count(*) over (partition by category) as bigint) as in_category from d0)"""
 SQL = {
