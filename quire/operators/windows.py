@@ -25,6 +25,22 @@ def renumber(df: DataFrame, by: list[str], page: str, order: str) -> DataFrame:
     return df.withColumn("new_order", F.row_number().over(ordered(*by, order=order))).withColumn("page_order", F.row_number().over(ordered(*by, page, order=order)))
 
 
+def ranked(df: DataFrame, by: list[str], stretch: str, order: str, name: str) -> DataFrame:
+    """Row number in each key by order, where stretch rises with order: rows are numbered inside their stretch, and small counts of stretches say what comes before.
+
+    No task holds more than one stretch of a key. Null keys are a key.
+    """
+    keys = [*by, stretch]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(counts, same).withColumn(name, F.col("_place") + F.col("_before")).drop("_place", "_before", *[f"_k{i}" for i in range(len(keys))])
+
+
 def islands(df: DataFrame, by: list[str], order: str, continues: Column) -> DataFrame:
     """Number the runs of rows that continue the row before. continues may use lag over the same order."""
     w = ordered(*by, order=order)

@@ -69,6 +69,27 @@ def sink_atomic(spark, sf):
     return spark.read.parquet(path)
 
 
+def sink_exclusive(spark, sf):
+    """A path that exists is refused and stays as it is."""
+    from pyspark.errors import AnalysisException
+
+    path = work_path(spark, "exclusive")
+    files.write_jsonl(table(spark, sf, "nation").orderBy("n_nationkey"), path)
+    try:
+        files.write_jsonl(table(spark, sf, "nation").filter("n_nationkey < 3"), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return files.read_jsonl(spark, path, "n_nationkey int, n_name string, n_regionkey int").withColumn("refused", F.lit(refused))
+
+
+def udtf_units(spark, sf):
+    """Units of texts by a table function, called for each document."""
+    from quire.functions.tables import units_from_text
+
+    return units_from_text(table(spark, sf, "documents")).select("doc_id", "ord", "kind", "words", F.md5("source_text").alias("text_md5"))
+
+
 def sink_markdown(spark, sf):
     m = files.markdown(units(spark, sf), "doc_id", "ord", "kind", "source_text")
     return m.select("doc_id", F.length("markdown").cast("long").alias("chars"), F.md5("markdown").alias("md5"))
@@ -83,7 +104,9 @@ SQL = {
     "scan_zip": "select 'a' || (item_id % 4) || '.zip' as archive, 't/' || item_id || '.txt' as member, cast(octet_length(encode(text)) as bigint) as size, sha256(text) as sha256, true as safe from benchmark",
     "sink_jsonl": "select conv_id, turn, role, text from conversations",
     "sink_atomic": "select * from nation",
+    "sink_exclusive": "select n_nationkey, n_name, n_regionkey, true as refused from nation",
+    "udtf_units": _U + "select doc_id, ord, kind, words, md5(source_text) as text_md5 from units",
     "sink_markdown": _U + ", b as (select doc_id, ord, case kind when 'heading' then '# ' || source_text when 'table' then '```' || chr(10) || source_text || chr(10) || '```' else source_text end as b from units where trim(source_text) != ''), m as (select doc_id, string_agg(b, chr(10) || chr(10) order by ord) as m from b group by doc_id) select doc_id, length(m) as chars, md5(m) as md5 from m",
 }
 
-QUERIES = {f.__name__: f for f in (scan_jsonl_strict, scan_jsonl_lax, scan_json_doc, scan_binary_hash, scan_zip, sink_jsonl, sink_atomic, sink_markdown)}
+QUERIES = {f.__name__: f for f in (scan_jsonl_strict, scan_jsonl_lax, scan_json_doc, scan_binary_hash, scan_zip, sink_jsonl, sink_atomic, sink_exclusive, udtf_units, sink_markdown)}

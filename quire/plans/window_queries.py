@@ -132,8 +132,8 @@ def limit_report(spark, sf):
 
 def limit_chunk(spark, sf):
     """Batches of 50 documents in a source."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select("doc_id", (F.floor((F.row_number().over(w) - 1) / 50)).cast("long").alias("batch"))
+    d = table(spark, sf, "documents").withColumn("stretch", F.floor(F.col("doc_id") / 4096))
+    return W.ranked(d, ["source"], "stretch", "doc_id", "place").select("doc_id", F.floor((F.col("place") - 1) / 50).cast("long").alias("batch"))
 
 
 _RUN = f"""with {UNITS_SQL}, {DONE_SQL},

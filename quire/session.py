@@ -33,10 +33,12 @@ def local_session(name: str = "quire", cores: int | str = "*", **conf) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset and all is one process."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
+        if not base and context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(base or FALLBACK_DIR)
     return base or context.getCheckpointDir()
 

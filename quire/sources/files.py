@@ -30,15 +30,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 def read_jsonl_strict(spark: SparkSession, path: str, schema: StructType | str, key: str = "id") -> DataFrame:
     """Lines of the schema with a key that is not empty and never repeats; anything else aborts the job that reads it."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    checked = df.withColumn("_n", F.count("*").over(_by(key)))
-    bad = F.col(key).isNull() | (F.col(key) == "") | (F.col("_n") > 1)
-    return checked.withColumn(key, F.when(bad, F.raise_error(F.concat(F.lit(f"{key} is missing or repeats: "), F.coalesce(F.col(key), F.lit("null"))))).otherwise(F.col(key))).drop("_n")
-
-
-def _by(key: str):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(key)
+    # keys alone are counted, and one row says whether any is bad: rows don't move
+    counted = df.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    bad = counted.filter("_k is null or _k = '' or _n > 1").agg(F.count("*").alias("_bad"), F.min("_k").alias("_first"))
+    failed = F.raise_error(F.concat(F.lit(f"{key} is missing or repeats: "), F.coalesce(F.col("_first"), F.lit("null"))))
+    return df.crossJoin(F.broadcast(bad)).withColumn(key, F.when(F.col("_bad") > 0, failed).otherwise(F.col(key))).drop("_bad", "_first")
 
 
 def read_json_document(spark: SparkSession, path: str, schema: StructType | str, version: int | None = None) -> DataFrame:
@@ -112,16 +108,24 @@ def markdown(units: DataFrame, doc: str, order: str, kind: str, text: str) -> Da
 
 
 def write_atomic(df: DataFrame, path: str) -> str:
-    """Write beside the path and rename, so that a failure leaves what was there; works on any Hadoop file system."""
+    """Write beside the path and rename, so that a failure leaves what was there; works on any Hadoop file system.
+
+    Between the two renames the path is missing and the former files are at <path>.old; a failed second rename puts them back, and the next call does
+    so after a crash there. Each rename's result is checked: file systems report failure by it.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    part, old = f"{path}.part", f"{path}.old"
-    df.write.mode("overwrite").parquet(part)
-    p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(p(old), True)
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(old))
-    fs.rename(p(part), p(path))
-    fs.delete(p(old), True)
+    here, part, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.part", f"{path}.old"))
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(here) and not fs.rename(old, here):
+        raise OSError(f"the former files of {path} are at {path}.old")
+    df.write.mode("overwrite").parquet(f"{path}.part")
+    fs.delete(old, True)
+    if fs.exists(here) and not fs.rename(here, old):
+        raise OSError(f"{path} can't be moved; it is as it was")
+    if not fs.rename(part, here):
+        if fs.exists(old) and not fs.rename(old, here):
+            raise OSError(f"the former files of {path} are at {path}.old")
+        raise OSError(f"{path}.part can't be moved; {path} is as it was")
+    fs.delete(old, True)
     return path
