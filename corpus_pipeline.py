@@ -17,29 +17,44 @@ LEAST_SCORE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted by boilerplate lines."""
+    """Documents that pass the base rules and aren't depleted by boilerplate lines, without these lines.
+
+    Null, empty and blank texts fail; a null source is a host of its own; rows that repeat an id or a text are judged each for itself, and copies of one text count once for its lines.
+    """
     return quality.passing(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; those without letters and doubtful ones go."""
+    """Documents in a language that the labelled ones teach; those without letters and doubtful ones go.
+
+    Null and empty texts go; null labels aren't learned from, and where no row has a label no document stays, since no language is known. Ties go to the first language by name; repeated rows fare alike.
+    """
     model = langid.learn(docs, langid.vocabulary(public_tokenizer("piece_bpe_32k.model")))
     found = langid.tagged(docs, model)
     return found.filter((found["lang_pred"] != langid.UNKNOWN) & (found["score"] >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies."""
+    """One document of each group of near-copies: that of the smallest doc_id.
+
+    Null and empty texts are near to nothing and stay; of rows that repeat id and text one stays; rows without an id are known by their text and go before those with one.
+    """
     return minhash.deduplicated(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources take them."""
+    """Documents as often as the target weights of their sources take them.
+
+    Null texts have no words and add nothing; a null source is the last one; rows that repeat id and text are drawn alike.
+    """
     return mixing.mixed(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
+    """Pieces of documents in sequences of 4096 tokens.
+
+    Null and empty texts are the end id alone; rows that repeat an id are documents of their own.
+    """
     return packing.pack(docs, public_tokenizer("word_bpe_49k.json"), end_id=2)
 
 
@@ -56,7 +71,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir; an empty table gives no rows in any stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = work_path(spark, f"pipeline-{name}")
