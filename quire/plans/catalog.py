@@ -7,7 +7,7 @@ import importlib
 
 from quire.session import ship
 
-_PARTS = ("source_queries", "window_queries", "join_queries", "function_queries", "state_queries", "paper_queries", "text_queries", "rule_queries", "match_queries")
+_PARTS = ("source_queries", "window_queries", "join_queries", "function_queries", "state_queries", "paper_queries", "text_queries", "rule_queries", "match_queries", "evidence_queries")
 
 
 def _parts():

@@ -37,13 +37,6 @@ def proj_template(spark, sf):
     return units(spark, sf).filter("translatable").select("id", "page", "kind", "source_text", F.lit("").alias("translated_text"))
 
 
-def proj_compact(spark, sf):
-    """Event properties as a map without its bulky key; a later value of the same user overrides."""
-    e = table(spark, sf, "events")
-    last = e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("review"))
-    return e.join(last, "user_id").select("event_id", F.coalesce(F.when(F.col("value") < 10, F.col("review")), F.col("event_type")).alias("status"))
-
-
 def filter_invariant(spark, sf):
     u = units(spark, sf)
     span = u.filter("translatable").groupBy("doc_id").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
@@ -166,7 +159,6 @@ _C = f"with {UNITS_SQL}, {_CITED} "
 _SIGN = "[=<>+*/^|$%&#-]"
 SQL = {
     "proj_template": _U + "select id, page, kind, source_text, '' as translated_text from units where translatable",
-    "proj_compact": "with l as (select user_id, event_type as review from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1) select event_id, case when value < 10 then review else event_type end as status from events join l using (user_id)",
     "filter_invariant": _U + ", s as (select doc_id, min(ord) as lo, max(ord) as hi from units where translatable group by doc_id) select id from units join s using (doc_id) where not translatable and ord between lo and hi",
     "pred_kind": _U + r"""select id, case when regexp_matches(source_text, '(?i)^\s*(abstract|summary)\b') then 'abstract' when regexp_matches(source_text, '(?i)^\s*(figure|fig\.?|table)\s*\d+') then 'caption' when contains(source_text, '|') then 'table' when regexp_matches(source_text, '^\s*(\d+(\.\d+)*[.)]?\s+|[A-Z][.)]\s+)[^\n]{2,120}$') then 'heading' when words <= 4 and not regexp_matches(source_text, '[.!?]$') then 'footer' when length(source_text) > 600 then 'long-body' else 'body' end as kind from units""",
     "pred_math_run": _U + rf""", c as (select id, cast(len(regexp_extract_all(source_text, '{_SIGN}')) as bigint) as symbols, cast(len(regexp_extract_all(source_text, '[A-Za-z]{{4,}}')) as bigint) as prose from units) select *, symbols >= 2 and prose < 2 as math from c""",
@@ -191,4 +183,4 @@ select id, md5(case when a = '' then b when b = '' then a when right(a, 1) = '-'
     "f_redact": "select event_id, md5(replace(replace(props, 'click', '[redacted]'), 'view', '[redacted]')) as props from events",
 }
 
-QUERIES = {f.__name__: f for f in (proj_template, proj_compact, filter_invariant, pred_kind, pred_math_run, pred_code_run, pred_formula_only, pred_formal_heading, pred_balanced, pred_terminal, f_words, f_clean_lines, f_heading, f_join_continuation, f_doi_arxiv_year, f_token_seq, f_has_han, f_canon_hash, f_slug, f_rect, f_safe_path, f_redact)}
+QUERIES = {f.__name__: f for f in (proj_template, filter_invariant, pred_kind, pred_math_run, pred_code_run, pred_formula_only, pred_formal_heading, pred_balanced, pred_terminal, f_words, f_clean_lines, f_heading, f_join_continuation, f_doi_arxiv_year, f_token_seq, f_has_han, f_canon_hash, f_slug, f_rect, f_safe_path, f_redact)}

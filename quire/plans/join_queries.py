@@ -46,9 +46,6 @@ def join_asof_anchor(spark, sf):
     return J.asof_before(e.filter("value > 50"), e, ["user_id"], "at", "at", "event_id").select("event_id", "user_id", F.col("marker").alias("anchor_id"))
 
 
-
-
-
 def join_nearest_visual(spark, sf):
     """For each box of flag R the box of its page with the smallest vertical gap; ties to the smallest number."""
     b = boxes(spark, sf)
@@ -63,12 +60,6 @@ def join_consumption(spark, sf):
     return J.multiset_difference(li.select("l_orderkey", F.col("l_returnflag").alias("f")), li.select("l_orderkey", F.when(F.col("l_linestatus") == "O", "N").otherwise("R").alias("f")))
 
 
-def join_placement(spark, sf):
-    """Each part's last placement: the line item with the largest order and line number."""
-    li = table(spark, sf, "lineitem")
-    return li.groupBy("l_partkey").agg(F.max_by("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_suppkey")).alias("l_suppkey"), F.max("l_orderkey").alias("l_orderkey"))
-
-
 def join_child_role(spark, sf):
     return J.role_inventory(table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), table(spark, sf, "orders"), "o_orderkey", "l_returnflag", ["A", "N", "R"])
 
@@ -137,7 +128,6 @@ SQL = {
     "join_nearest_visual": _PAIR + """, g as (select *, greatest(0.0, by0 - ay1, ay0 - by1) as gap from o where ak = 'R' and bk != 'R') select page, a_n as caption, ay0 as y0, arg_min(b_n, round(gap, 3) * 1000000 + b_n) as visual, round(min(gap), 3) as gap from g group by page, a_n, ay0""",
     "join_consumption": """with a as (select l_orderkey, l_returnflag as f from lineitem), b as (select l_orderkey, case when l_linestatus = 'O' then 'N' else 'R' end as f from lineitem)
 select l_orderkey, f, 'left' as side from (select * from a except all select * from b) union all select l_orderkey, f, 'right' from (select * from b except all select * from a)""",
-    "join_placement": """with r as (select *, row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc, l_suppkey desc) as k from lineitem) select l_partkey, l_suppkey, l_orderkey from r where k = 1""",
     "join_child_role": """with c as (select l_orderkey, count(*) filter (l_returnflag = 'A') as a, count(*) filter (l_returnflag = 'N') as n, count(*) filter (l_returnflag = 'R') as r from lineitem group by l_orderkey)
 select o_orderkey, coalesce(a, 0) as "n_A", coalesce(n, 0) as "n_N", coalesce(r, 0) as "n_R", coalesce(a = 1 and n = 1 and r = 1, false) as complete from orders left join c on o_orderkey = l_orderkey""",
     "join_chain": f"""with {UNITS_SQL}, l as (select *, lag(source_text) over w as p, lag(kind) over w as k from units window w as (partition by doc_id order by ord)),
@@ -149,4 +139,4 @@ i as (select *, sum(case when kind = 'body' and k = 'body' and not regexp_matche
     "union_dedupe": f"with {_ITEMS} select item_id from items where doi is not null or year < '2010'",
 }
 
-QUERIES = {f.__name__: f for f in (join_id_strict, join_anti_both, join_semi, join_snapshot_diff, join_asof_anchor, join_nearest_visual, join_consumption, join_placement, join_child_role, join_chain, set_difference, set_equality, multiset_equality, set_overlap, union_dedupe)}
+QUERIES = {f.__name__: f for f in (join_id_strict, join_anti_both, join_semi, join_snapshot_diff, join_asof_anchor, join_nearest_visual, join_consumption, join_child_role, join_chain, set_difference, set_equality, multiset_equality, set_overlap, union_dedupe)}

@@ -67,7 +67,6 @@ def agg_fingerprint(spark, sf):
     return h.select("doc_id", F.sha2(F.array_join("h", ","), 256).alias("fingerprint"))
 
 
-
 def state_stage(spark, sf):
     """Stages of documents from evidence in the other tables."""
     d = table(spark, sf, "documents")
@@ -85,17 +84,6 @@ def state_review_carry(spark, sf):
     return S.carry_reviews(new, old, "k", "f")
 
 
-def state_receipt(spark, sf):
-    """Delivery status of each order from the status of its lines."""
-    r = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_linestatus") == "F").alias("f"), F.count_if(F.col("l_returnflag") == "A").alias("a"))
-    return r.select("l_orderkey", F.when((F.col("f") == F.col("n")) & (F.col("a") == 0), "verified").when(F.col("f") == F.col("n"), "uploaded").when(F.col("f") > 0, "uploading").otherwise("pending").alias("status"))
-
-
-def state_pointer(spark, sf):
-    """The latest event of each user as its recovery pointer."""
-    return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("stage"), F.max("event_id").alias("last_event"))
-
-
 def state_replay(spark, sf):
     """Units after a review that drops, rewrites and inserts some."""
     u = units(spark, sf).filter("kind != 'table'").select("doc_id", F.col("ord").cast("long").alias("ord"), "id", "source_text")
@@ -104,18 +92,6 @@ def state_replay(spark, sf):
     return S.replay(u, ops).select("doc_id", "ord", "id", F.md5("source_text").alias("text_md5"))
 
 
-def cache_compile(spark, sf):
-    """Parts whose build key is that of another part, and the first with it: its result is used again."""
-    p = table(spark, sf, "part").withColumn("key", F.sha2(F.concat_ws("|", "p_type", "p_brand"), 256))
-    first = p.groupBy("key").agg(F.min("p_partkey").alias("built_by"))  # summed in parts, where a window would gather a key
-    return p.select("p_partkey", "key").join(first, "key").select("p_partkey", "built_by")
-
-
-def gate_ready(spark, sf):
-    """Orders whose lines all pass their gates."""
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.bool_and((F.col("l_quantity") > 3) & (F.col("l_discount") < 0.09)).alias("ready"), F.bool_or(F.col("l_tax") > 0.07).alias("warned"))
-
-
 def val_source(spark, sf):
     """Issues of units as rows: one rule a branch, in one union."""
     from quire.operators.windows import ordered
@@ -135,27 +111,12 @@ def val_coverage(spark, sf):
     return l.select("l_orderkey", F.explode(lacks).alias("lacks"))
 
 
-def val_metadata(spark, sf):
-    """First fault of a part's metadata."""
-    fault = F.when(F.trim("p_name") == "", "title").when(~F.col("p_brand").rlike("^Brand#[0-9]+$"), "brand").when(F.col("p_size") < 5, "size").when(F.col("p_retailprice") > 1500, "price").otherwise("ok")
-    return table(spark, sf, "part").select("p_partkey", fault.alias("fault"))
-
-
 def val_quick(spark, sf):
     """Blank texts, marks beyond an allowance and searchable words of pages."""
     h = F.regexp_replace("html", "<[^>]*>", " ")
     return table(spark, sf, "pages").select("page_id", (F.trim(h) == "").alias("blank"), F.regexp_count(h, F.lit("[#%$&*]")).cast("long").alias("marks"), (F.regexp_count(h, F.lit("[a-z]+")) > 50).alias("searchable"))
 
 
-def val_visual_review(spark, sf):
-    """Reports of orders: every page (line) reviewed exactly once, none with findings, and the count as stated."""
-    l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("n"), F.countDistinct("l_linenumber").alias("pages"), F.max("l_linenumber").cast("long").alias("last"), F.count_if(F.col("l_returnflag") == "R").alias("findings")
-    )
-    error = F.when((F.col("pages") != F.col("n")) | (F.col("last") != F.col("n")), "pages").when(F.col("findings") > 0, "findings").otherwise("pass")
-    return l.select("l_orderkey", error.alias("status"))
-
-
 def val_reviewed_flow(spark, sf):
     """Orders whose first line is placed other than exactly once."""
     l = table(spark, sf, "lineitem").filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.count("*").alias("n"))
@@ -187,19 +148,13 @@ SQL = {
     "agg_fingerprint": _U + "select doc_id, sha256(string_agg(sha256(source_text), ',' order by ord)) as fingerprint from units group by doc_id",
     "state_stage": "with l as (select doc_id, max(quality) as q, max(toxic) as t from labels group by doc_id), d as (select d.doc_id, n_chars > 300 as p, coalesce(q, 0) = 1 as q, coalesce(t, 0) = 0 as v from documents d left join l using (doc_id)) select doc_id, case when doc_id % 13 = 0 then 'queued' when q and doc_id % 5 = 0 and doc_id % 10 = 0 then 'delivered' when q and doc_id % 5 = 0 then 'packaged' when p and q and v then 'strict_validated' when p and q then 'translated' when p then 'prepared' else 'queued' end as stage from d",
     "state_review_carry": "select p_partkey as k, case when p_partkey % 7 = 0 then 'unresolved' when p_partkey % 2 = 0 then case p_size % 3 when 0 then 'manually_reviewed' when 1 then 'auto_validated' else 'unresolved' end when p_size % 3 = 1 then 'auto_validated' else 'unresolved' end as status from part",
-    "state_receipt": "with r as (select l_orderkey, count(*) as n, count(*) filter (l_linestatus = 'F') as f, count(*) filter (l_returnflag = 'A') as a from lineitem group by l_orderkey) select l_orderkey, case when f = n and a = 0 then 'verified' when f = n then 'uploaded' when f > 0 then 'uploading' else 'pending' end as status from r",
-    "state_pointer": "with r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k, max(event_id) over (partition by user_id) as last_event from events) select user_id, event_type as stage, last_event from r where k = 1",
     "state_replay": _U + """, u as (select * from units where kind != 'table'), r as (select doc_id, ord * 2 as o, id, case when ord % 5 = 2 then 'reviewed ' || id else source_text end as t from u where ord % 5 != 1 union all select doc_id, ord * 2 + 1, id || '-review', 'reviewed ' || id from u where ord % 5 = 3)
 select doc_id, row_number() over (partition by doc_id order by o) as ord, id, md5(t) as text_md5 from r""",
-    "cache_compile": "select p_partkey, min(p_partkey) over (partition by p_type || '|' || p_brand) as built_by from part",
-    "gate_ready": "select l_orderkey, bool_and(l_quantity > 3 and l_discount < 0.09) as ready, bool_or(l_tax > 0.07) as warned from lineitem group by l_orderkey",
     "val_source": _U + ", n as (select *, lead(kind) over (partition by doc_id, page order by ord) as nk from units) select id, page, 'caption_run' as code from n where kind = 'caption' and nk = 'caption' union all select id, page, 'heading_long' from n where kind = 'heading' and length(source_text) > 120 union all select id, page, 'empty' from n where words = 0 union all select id, page, 'table_before_body' from n where kind = 'table' and nk = 'body'",
     "val_coverage": "with n as (select l_orderkey, cast(count(*) as integer) as n from lineitem group by l_orderkey), s as (select l_orderkey, cast(unnest(range(1, n + 1)) as integer) as lacks from n) select * from s where not exists (select 1 from lineitem l where l.l_orderkey = s.l_orderkey and l.l_linenumber = s.lacks)",
-    "val_metadata": "select p_partkey, case when trim(p_name) = '' then 'title' when not regexp_matches(p_brand, '^Brand#[0-9]+$') then 'brand' when p_size < 5 then 'size' when p_retailprice > 1500 then 'price' else 'ok' end as fault from part",
-    "val_visual_review": "with r as (select l_orderkey, count(*) as n, count(distinct l_linenumber) as p, max(l_linenumber) as m, count(*) filter (l_returnflag = 'R') as f from lineitem group by l_orderkey) select l_orderkey, case when p != n or m != n then 'pages' when f > 0 then 'findings' else 'pass' end as status from r",
     "val_reviewed_flow": "with l as (select l_orderkey, count(*) as n from lineitem where l_linenumber = 1 group by l_orderkey), o as (select o_orderkey, coalesce(n, 0) as n from orders left join l on o_orderkey = l_orderkey) select o_orderkey, case when n = 0 then 'unplaced' else 'repeated' end as code from o where n != 1",
     "val_boundary": _B + ", c as (select page, n, case when x1 > 140 then 'beyond_right' when y1 > 700 then 'beyond_bottom' when x1 - x0 > 4 * (y1 - y0) then 'aspect' end as code from boxes) select * from c where code is not null",
     "val_quick": "with h as (select page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') as h from pages) select page_id, trim(h) = '' as blank, cast(len(regexp_extract_all(h, '[#%$&*]')) as bigint) as marks, len(regexp_extract_all(h, '[a-z]+')) > 50 as searchable from h",
 }
 
-QUERIES = {f.__name__: f for f in (agg_counter, agg_median, agg_weighted_mode, agg_vote, agg_bbox_union, agg_mean_conf, agg_progress, agg_rule_status, agg_distinct_order, agg_ratio, agg_fingerprint, state_stage, state_review_carry, state_receipt, state_pointer, state_replay, cache_compile, gate_ready, val_source, val_coverage, val_metadata, val_visual_review, val_reviewed_flow, val_boundary, val_quick)}
+QUERIES = {f.__name__: f for f in (agg_counter, agg_median, agg_weighted_mode, agg_vote, agg_bbox_union, agg_mean_conf, agg_progress, agg_rule_status, agg_distinct_order, agg_ratio, agg_fingerprint, state_stage, state_review_carry, state_replay, val_source, val_coverage, val_reviewed_flow, val_boundary, val_quick)}

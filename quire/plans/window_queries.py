@@ -75,14 +75,6 @@ def win_nonoverlap(spark, sf):
     return W.nonoverlapping(boxes(spark, sf), ["page"], "y0", "y1").select("page", F.round("y0", 3).alias("y0"), F.round("y1", 3).alias("y1"))
 
 
-def win_coalesce_style(spark, sf):
-    """Neighbouring line items of one flag are one run."""
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", F.struct("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey").alias("at"))
-    w = W.ordered("l_orderkey", order="at")
-    r = W.islands(li, ["l_orderkey"], "at", F.lag("l_returnflag").over(w) == F.col("l_returnflag"))
-    return r.groupBy("l_orderkey", "island", "l_returnflag").agg(F.min("l_linenumber").alias("first_line"), F.max("l_linenumber").alias("last_line"), F.sum("l_quantity").alias("quantity")).drop("island")
-
-
 def win_list_state(spark, sf):
     """Nesting level of list items by a stack of indents, reset by other lines; html lists of the pages."""
     from quire.operators.folds import list_levels
@@ -90,7 +82,6 @@ def win_list_state(spark, sf):
     return list_levels(table(spark, sf, "pages"))
 
 
-
 def sort_stable(spark, sf):
     """Rank by (start, -end) with an explicit tiebreak."""
     w = Window.partitionBy("page").orderBy("y0", F.desc("y1"), "n")
@@ -171,9 +162,6 @@ select page, y0, cast(sum(case when gap <= 25.0 then 0 else 1 end) over (partiti
 r as (select page, k, y0, y1, true as kept, y1 as edge from b where k = 1
   union all select b.page, b.k, b.y0, b.y1, b.y0 >= r.edge, case when b.y0 >= r.edge then b.y1 else r.edge end from r join b on b.page = r.page and b.k = r.k + 1)
 select page, round(y0, 3) as y0, round(y1, 3) as y1 from r where kept""",
-    "win_coalesce_style": """with f as (select *, case when lag(l_returnflag) over (partition by l_orderkey order by l_linenumber, l_extendedprice, l_partkey, l_suppkey) = l_returnflag then 0 else 1 end as n from lineitem),
-i as (select *, sum(n) over (partition by l_orderkey order by l_linenumber, l_extendedprice, l_partkey, l_suppkey) as island from f)
-select l_orderkey, l_returnflag, min(l_linenumber) as first_line, max(l_linenumber) as last_line, sum(l_quantity) as quantity from i group by l_orderkey, island, l_returnflag""",
     "sort_stable": f"""with {BOXES_SQL} select page, n, cast(row_number() over (partition by page order by y0, y1 desc, n) as integer) as place from boxes""",
     "sort_reading": f"""with {BOXES_SQL}, e as (select *, min(x0) over (partition by page) as l, max(x1) over (partition by page) as r from boxes),
 w as (select *, x1 - x0 >= 0.6 * (r - l) as wide, case when (x0 + x1) / 2 < (l + r) / 2 then 0 else 1 end as lane from e),
@@ -186,4 +174,4 @@ select page, n, cast(row_number() over (partition by page order by band, case wh
     "limit_chunk": """select doc_id, (row_number() over (partition by source order by doc_id) - 1) // 50 as batch from documents""",
 }
 
-QUERIES = {f.__name__: f for f in (win_runsum_budget, win_pack_all, win_ffill_section, win_renumber, win_pairwise, win_islands_cont, win_after_caption, win_interval_union, win_line_cluster, win_nonoverlap, win_coalesce_style, win_list_state, sort_stable, sort_reading, limit_next, topk_neighbours, topk_sample, limit_report, limit_chunk)}
+QUERIES = {f.__name__: f for f in (win_runsum_budget, win_pack_all, win_ffill_section, win_renumber, win_pairwise, win_islands_cont, win_after_caption, win_interval_union, win_line_cluster, win_nonoverlap, win_list_state, sort_stable, sort_reading, limit_next, topk_neighbours, topk_sample, limit_report, limit_chunk)}
