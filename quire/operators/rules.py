@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Words of prose, signs of mathematics, equation numbers, letters of scripts; headings stand out from this share of the body's size on (fixed values).
+PROSE_WORD, MATH_SIGN = re.compile(r"[A-Za-z]{3,}"), re.compile(r"[=<>≤≥≈≠∑∏∫√∞±×÷∂∇∈∉→←↔⊥∗◦+*/^|]")
+EQUATION_NUMBER, SCRIPT = re.compile(r"\(\d+(?:\.\d+)*[a-z]?\)\s*$", re.I), re.compile(r"[\wΑ-ω\U0001d400-\U0001d7ff]+")
+STRONG_SIGN = re.compile(r"[=<>≤≥≈≠∑∏∫√∞±×÷∂∇∈∉→←↔⊥∗◦\U0001d400-\U0001d7ff]")
+HEADING_SIZE, BASE_SIZE, CAPTION_TAIL = 1.12, 1.12, 180
 FLOW_ROLES = ("paragraph", "list_item", "list_continuation")
 #: Bodies of fewer characters may stay without Han text or unchanged (fixed value).
 LONG_BODY = 60
@@ -131,3 +139,81 @@ def ownership_errors(units: DataFrame, reviews: DataFrame) -> DataFrame:
     twice = owned.filter("n > 1").select(F.col("_id").alias("owner"), F.lit("overlap").alias("code"))
     bare = units.filter("kind = 'equation' and not suppressed").join(owned, F.col("id") == F.col("_id"), "left_anti").select(F.col("id").alias("owner"), F.lit("unowned").alias("code"))
     return groups.unionByName(twice).unionByName(bare)
+
+
+def _unit_issues(u, body_size: float) -> list[tuple[str, str]]:
+    """(code, detail) of one active, translatable body or heading unit; see source_issues()."""
+    from quire.functions.protect import SCRIPT_SIZE, _is_code
+    from quire.operators.folds import align, list_marks
+
+    text, runs = u.source_text or "", list(u.runs) if u.runs is not None else []
+    runs = [r if isinstance(r, dict) else r.asDict() for r in runs]
+    marks = list_marks(text)
+    mixed = len(marks) > 1 or bool(marks and marks[0][0] > 0)
+    if u.kind == "heading":
+        strong = any(r["style"] == "bold" or (r["flags"] or 0) & 16 for r in runs) or (body_size > 0 and (u.size or 0) >= body_size * HEADING_SIZE)
+        return [("heading_list_ambiguous", "")] if marks and (mixed or not strong) else []
+    out = []
+    if u.flow_error is not None or mixed or u.flow_review is not None or (marks and u.flow_role != "list_item"):
+        out.append(("flow_ambiguous", u.flow_error or u.flow_review or ""))
+    fragments = [f if isinstance(f, dict) else f.asDict() for f in (u.fragments if u.fragments is not None else [])]
+    largest = max((r["size"] or 0.0 for r in runs), default=0.0)
+    for k, (r, (a, b, status)) in enumerate(zip(runs, align(text, [r["text"] or "" for r in runs], [r["line"] for r in runs]))):
+        said = (r["text"] or "").strip()
+        if not said:
+            continue
+        if status != "located":
+            out.append((f"{status}_source_span", str(k)))
+        if a is None:
+            continue
+        over = [f for f in fragments if f["start"] <= a and b <= f["end"]]
+        if not over and not _is_code(r) and ((r["style"] == "math" and re.search(r"[\wΑ-ω]", said)) or STRONG_SIGN.search(said)):
+            out.append(("uncovered_math_span", str(k)))
+        script = SCRIPT.fullmatch(said) and ((r["flags"] or 0) & 1 or (largest > 0 and 0 < (r["size"] or 0) <= largest * SCRIPT_SIZE))
+        if script and not any(f["kind"] in ("citation", "code", "footnote-marker", "list-marker") for f in over):
+            if not any(f["kind"] == "math" and (f["size"] or 0) > (r["size"] or 0) * BASE_SIZE for f in over):
+                out.append(("orphan_script", str(k)))
+    lines = text.splitlines()
+    for k, line in enumerate(lines):
+        if EQUATION_NUMBER.search(line):
+            whole = f"{lines[k - 1]} {line}" if k and EQUATION_NUMBER.fullmatch(line.strip()) else line
+            bare = EQUATION_NUMBER.sub("", whole.strip()).strip()
+            if len(PROSE_WORD.findall(bare)) <= 2 and MATH_SIGN.search(bare):
+                out.append(("numbered_display_in_body", str(k)))
+    squeezed, dense = re.sub(r"\s+", " ", text).strip(), re.sub(r"\s+", "", text)
+    if len(squeezed) >= 8:
+        prose = len(PROSE_WORD.findall(squeezed))
+        visible = [(len(re.sub(r"\s+", "", r["text"] or "")), r["style"] == "math") for r in runs]
+        share = sum(n for n, math in visible if math) / max(1, sum(n for n, _ in visible))
+        if (share >= 0.6 and prose < 2) or (prose == 0 and len(MATH_SIGN.findall(dense)) >= 2 and len(dense) >= 12):
+            out.append(("formula_only", ""))
+    return out
+
+
+def source_issues(units: DataFrame, visuals: DataFrame) -> DataFrame:
+    """Issues (doc_id, id, code, detail) of extracted units that a reader must decide.
+
+    units: doc_id, id, page, page_order, kind, source_text, translatable, suppressed, size, x0, y0, x1, y1, runs (array of struct text, style, size, flags, font, line), fragments (array of struct start, end,
+    kind, size: of its largest run), flow_role, flow_error, flow_review; visuals: doc_id, page, visual, caption_id, source_ids, x0, y0, x1, y1. Rules of a unit's own text and runs: headings that look like
+    list items, flow, runs that can't be placed, formulas outside of fragments, scripts without a base, numbered displays and formulas as body text. Rules of neighbours: headings and
+    equations whose centre lies in a visual that isn't theirs, short lower-case text after a caption.
+    """
+    active = units.filter(~F.col("suppressed"))
+    sizes = active.filter((F.col("kind") == "body") & (F.col("size") > 0)).groupBy(F.col("doc_id").alias("_d")).agg(F.median("size").alias("body_size"))
+    own = active.filter(F.col("kind").isin("body", "heading") & F.col("translatable")).join(sizes, F.col("doc_id") == F.col("_d"), "left")
+
+    def run(parts):
+        for part in parts:
+            rows = [(u.doc_id, u.id, c, d) for u in part.itertuples() for c, d in _unit_issues(u, 0.0 if pd.isna(u.body_size) else u.body_size)]
+            yield pd.DataFrame(rows, columns=["doc_id", "id", "code", "detail"])
+
+    columns = ["doc_id", "id", "kind", "source_text", "size", "runs", "fragments", "flow_role", "flow_error", "flow_review", "body_size"]
+    found = own.select(columns).mapInPandas(run, "doc_id long, id string, code string, detail string")
+    v = visuals.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), "visual", "caption_id", "source_ids", *[F.col(c).alias(f"v_{c}") for c in ("x0", "y0", "x1", "y1")])
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    inside = active.filter(F.col("kind").isin("heading", "equation")).join(v, (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")))
+    inside = inside.filter(x.between(F.col("v_x0"), F.col("v_x1")) & y.between(F.col("v_y0"), F.col("v_y1")) & ~F.col("id").eqNullSafe(F.col("caption_id")) & ~F.array_contains("source_ids", F.col("id")))
+    before = F.lag("kind").over(Window.partitionBy("doc_id", "page").orderBy("page_order"))
+    text = F.trim("source_text")
+    tail = units.withColumn("_before", before).filter((F.col("_before") == "caption") & (F.col("kind") == "body") & ~F.col("suppressed") & (F.length(text) <= CAPTION_TAIL) & text.rlike("^[a-z(]"))
+    return found.unionByName(inside.select("doc_id", "id", F.lit("label_in_visual").alias("code"), F.col("visual").alias("detail"))).unionByName(tail.select("doc_id", "id", F.lit("caption_tail").alias("code"), F.lit("").alias("detail")))

@@ -127,6 +127,42 @@ def join_ownership(spark, sf):
     return R.ownership_errors(u, reviews)
 
 
+#: Units with an issue by turn: kind, text, runs (text, style, size, flags), fragments (start, end, kind, size), and the issues.
+_ISSUES = (
+    ("heading", "1) Aims of it", [("1) Aims of it", "text", 10, 0)], [], [("heading_list_ambiguous", "")]),
+    ("heading", "1) Aims of it", [("1) Aims of it", "bold", 10, 0)], [], []),
+    ("body", "plain words here", [("plain words", "text", 10, 0), ("absent", "text", 10, 0)], [], [("unmatched_source_span", "1")]),
+    ("body", "word and word", [("word", "text", 10, 0)], [], [("ambiguous_source_span", "0")]),
+    ("body", "as beta grows", [("as", "text", 10, 0), ("beta", "math", 10, 0), ("grows", "text", 10, 0)], [], [("uncovered_math_span", "1")]),
+    ("body", "as beta grows", [("as", "text", 10, 0), ("beta", "math", 10, 0), ("grows", "text", 10, 0)], [(3, 7, "math", 10.0)], []),
+    ("body", "norm k of them", [("norm ", "text", 10, 0), ("k", "text", 7, 0), (" of them", "text", 10, 0)], [], [("orphan_script", "1")]),
+    ("body", "norm k of them", [("norm ", "text", 10, 0), ("k", "text", 7, 0), (" of them", "text", 10, 0)], [(5, 6, "footnote-marker", 7.0)], []),
+    ("body", "so that\na + b = c\n(2.1)", [], [], [("numbered_display_in_body", "2")]),
+    ("body", "a = b + c / d * e + f + g", [], [], [("formula_only", "")]),
+    ("body", "- one item", [], [], [("flow_ambiguous", "")]),
+    ("body", "see 1) this 2) that", [], [], []),
+    ("body", "- one 2. two", [], [], [("flow_ambiguous", "")]),
+)
+
+
+def val_source(spark, sf):
+    """Issues of units that are given notation by turn, and of their neighbours."""
+    u, n = paper(spark, sf), (F.col("ord") % len(_ISSUES)).cast("int") + 1
+    pick = lambda k, f=F.lit: F.element_at(F.array(*[f(x[k]) for x in _ISSUES]), n)
+    run_type, part_type = "array<struct<text:string,style:string,size:double,flags:int,font:string,line:int>>", "array<struct<start:int,end:int,kind:string,size:double>>"
+    runs = lambda rs: F.array(*[F.struct(F.lit(t), F.lit(s), F.lit(float(z)), F.lit(f), F.lit(""), F.lit(0)) for t, s, z, f in rs]).cast(run_type)
+    parts = lambda fs: F.array(*[F.struct(*map(F.lit, f)) for f in fs]).cast(part_type)
+    made = u.filter("kind not in ('footnote', 'header', 'equation')").select(
+        "doc_id", "id", "page", F.col("ord").alias("page_order"), pick(0).alias("kind"), pick(1).alias("source_text"), (F.col("ord") % 5 > 0).alias("translatable"), "suppressed", "size", "x0", "y0", "x1", "y1", pick(2, runs).alias("runs"),
+        pick(3, parts).alias("fragments"), F.lit("paragraph").alias("flow_role"), F.lit(None).cast("string").alias("flow_error"), F.lit(None).cast("string").alias("flow_review"),
+    )
+    other = u.filter("kind in ('footnote', 'header', 'equation')")
+    kind = F.when(F.col("kind") == "header", "caption").when(F.col("kind") == "footnote", "body").otherwise(F.col("kind"))
+    rest = other.select(*[F.col(c) if c in other.columns and c not in ("kind", "source_text") else F.lit(None).alias(c) for c in made.columns if c not in ("kind", "source_text", "page_order", "translatable", "runs", "fragments")], F.col("ord").alias("page_order"), kind.alias("kind"), F.lit("lower case").alias("source_text"), F.lit(False).alias("translatable"), F.lit(None).cast(run_type).alias("runs"), F.lit(None).cast(part_type).alias("fragments"))
+    v = u.filter("ord % 10 = 1").select("doc_id", "page", F.concat(F.lit("v-"), "id").alias("visual"), F.lit(None).cast("string").alias("caption_id"), F.array(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-u5"))).alias("source_ids"), "x0", "y0", "x1", (F.col("y0") + 100.0).alias("y1"))
+    return R.source_issues(made.unionByName(rest), v).select("id", "code", "detail")
+
+
 _M = UNITS_SQL + """, base as (select doc_id, ord, id, '[[P0001]] ' || id || ' [[F1_0001]]' as protected, case when ord % 3 = 2 then '[[P0001]]旧[[F1_0001]]' || id else '' end as old from units),
 b1 as (select * from units where ord % 4 < 2 and doc_id % 5 <> 4),
 batch as (select case when ord % 20 = 9 then id || '?' else id end as id, case ord % 28 when 4 then ' ' when 5 then '[[P0001]]旧[[F1_0001]]' || id when 8 then '[[F1_0001]]新[[P0001]]' || id when 12 then '[[P0001]]new[[F1_0001]]' || id else '[[P0001]]新[[F1_0001]]' || id end as v, ord % 24 = 16 as extra from b1
@@ -184,4 +220,13 @@ select owner, code from g where code is not null union all select id, 'overlap'
 union all select id, 'unowned' from u where kind = 'equation' and not suppressed and id not in (select id from o)""",
 }
 
-QUERIES = {f.__name__: f for f in (state_merge, state_merge_whole, state_reconcile, val_flow, val_strict, val_counters, agg_defects, val_readiness, join_ownership)}
+_S = lambda x: "'" + x.replace("'", "''") + "'"
+SQL["val_source"] = f"""with {PAPER_SQL}, e(k, code, detail) as (values {', '.join(f"({k}, '{c}', '{d}')" for k, x in enumerate(_ISSUES) for c, d in x[4])}),
+t(k, kind, text) as (values {', '.join(f"({k}, '{x[0]}', {_S(x[1])})" for k, x in enumerate(_ISSUES))}),
+u as (select p.*, p.kind in ('footnote', 'header', 'equation') as other, case p.kind when 'header' then 'caption' when 'footnote' then 'body' when 'equation' then 'equation' else t.kind end as k2, case when p.kind in ('footnote', 'header', 'equation') then 'lower case' else t.text end as t2 from paper p join t on t.k = p.ord % {len(_ISSUES)}),
+w as (select *, lag(k2) over (partition by doc_id, page order by ord) as before from u)
+select id, code, detail from u join e on e.k = u.ord % {len(_ISSUES)} where not other and not suppressed and ord % 5 > 0
+union all select u.id, 'label_in_visual', 'v-' || v.id from u join paper v using (doc_id, page) where v.ord % 10 = 1 and not u.suppressed and u.k2 in ('heading', 'equation') and u.ord <> 5 and (u.x0 + u.x1) / 2 between v.x0 and v.x1 and (u.y0 + u.y1) / 2 between v.y0 and v.y0 + 100
+union all select id, 'caption_tail', '' from w where before = 'caption' and k2 = 'body' and not suppressed and regexp_matches(t2, '^[a-z(]')"""
+
+QUERIES = {f.__name__: f for f in (val_source, state_merge, state_merge_whole, state_reconcile, val_flow, val_strict, val_counters, agg_defects, val_readiness, join_ownership)}

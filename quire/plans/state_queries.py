@@ -92,17 +92,6 @@ def state_replay(spark, sf):
     return S.replay(u, ops).select("doc_id", "ord", "id", F.md5("source_text").alias("text_md5"))
 
 
-def val_source(spark, sf):
-    """Issues of units as rows: one rule a branch, in one union."""
-    from quire.operators.windows import ordered
-
-    u = units(spark, sf).withColumn("next_kind", F.lead("kind").over(ordered("doc_id", "page")))
-    rule = lambda cond, code: u.filter(cond).select("id", "page", F.lit(code).alias("code"))
-    return (
-        rule("kind = 'caption' and next_kind = 'caption'", "caption_run").unionByName(rule("kind = 'heading' and length(source_text) > 120", "heading_long"))
-        .unionByName(rule("words = 0", "empty")).unionByName(rule("kind = 'table' and next_kind = 'body'", "table_before_body"))
-    )
-
 
 def val_coverage(spark, sf):
     """Line numbers that an order lacks between 1 and its number of lines."""
@@ -150,11 +139,10 @@ SQL = {
     "state_review_carry": "select p_partkey as k, case when p_partkey % 7 = 0 then 'unresolved' when p_partkey % 2 = 0 then case p_size % 3 when 0 then 'manually_reviewed' when 1 then 'auto_validated' else 'unresolved' end when p_size % 3 = 1 then 'auto_validated' else 'unresolved' end as status from part",
     "state_replay": _U + """, u as (select * from units where kind != 'table'), r as (select doc_id, ord * 2 as o, id, case when ord % 5 = 2 then 'reviewed ' || id else source_text end as t from u where ord % 5 != 1 union all select doc_id, ord * 2 + 1, id || '-review', 'reviewed ' || id from u where ord % 5 = 3)
 select doc_id, row_number() over (partition by doc_id order by o) as ord, id, md5(t) as text_md5 from r""",
-    "val_source": _U + ", n as (select *, lead(kind) over (partition by doc_id, page order by ord) as nk from units) select id, page, 'caption_run' as code from n where kind = 'caption' and nk = 'caption' union all select id, page, 'heading_long' from n where kind = 'heading' and length(source_text) > 120 union all select id, page, 'empty' from n where words = 0 union all select id, page, 'table_before_body' from n where kind = 'table' and nk = 'body'",
     "val_coverage": "with n as (select l_orderkey, cast(count(*) as integer) as n from lineitem group by l_orderkey), s as (select l_orderkey, cast(unnest(range(1, n + 1)) as integer) as lacks from n) select * from s where not exists (select 1 from lineitem l where l.l_orderkey = s.l_orderkey and l.l_linenumber = s.lacks)",
     "val_reviewed_flow": "with l as (select l_orderkey, count(*) as n from lineitem where l_linenumber = 1 group by l_orderkey), o as (select o_orderkey, coalesce(n, 0) as n from orders left join l on o_orderkey = l_orderkey) select o_orderkey, case when n = 0 then 'unplaced' else 'repeated' end as code from o where n != 1",
     "val_boundary": _B + ", c as (select page, n, case when x1 > 140 then 'beyond_right' when y1 > 700 then 'beyond_bottom' when x1 - x0 > 4 * (y1 - y0) then 'aspect' end as code from boxes) select * from c where code is not null",
     "val_quick": "with h as (select page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') as h from pages) select page_id, trim(h) = '' as blank, cast(len(regexp_extract_all(h, '[#%$&*]')) as bigint) as marks, len(regexp_extract_all(h, '[a-z]+')) > 50 as searchable from h",
 }
 
-QUERIES = {f.__name__: f for f in (agg_counter, agg_median, agg_weighted_mode, agg_vote, agg_bbox_union, agg_mean_conf, agg_progress, agg_rule_status, agg_distinct_order, agg_ratio, agg_fingerprint, state_stage, state_review_carry, state_replay, val_source, val_coverage, val_reviewed_flow, val_boundary, val_quick)}
+QUERIES = {f.__name__: f for f in (agg_counter, agg_median, agg_weighted_mode, agg_vote, agg_bbox_union, agg_mean_conf, agg_progress, agg_rule_status, agg_distinct_order, agg_ratio, agg_fingerprint, state_stage, state_review_carry, state_replay, val_coverage, val_reviewed_flow, val_boundary, val_quick)}
