@@ -32,7 +32,7 @@ def val_metadata(spark, sf):
 
 def val_visual_review(spark, sf):
     """Violations of reviews: an order is a review, its lines are the pages."""
-    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem").filter("l_orderkey % 3 = 0")
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     k = F.col("o_orderkey")
     n = l.groupBy("l_orderkey").agg(F.max("l_linenumber").cast("int").alias("page_count"))
     out = n.select(F.col("l_orderkey").alias("review"), F.lit("s").alias("source_sha"), F.lit("o").alias("output_sha"), "page_count")
@@ -119,7 +119,7 @@ def win_coalesce_style(spark, sf):
 SQL = {
     "val_metadata": """select p_partkey, case when p_partkey % 13 = 0 then 'title' when p_partkey % 17 = 0 then 'type' when p_partkey % 11 in (1, 4) then 'creators' when p_partkey % 11 = 2 then 'creator_type' when p_partkey % 11 = 3 then 'creator_name'
   when p_partkey % 3 > 0 and p_partkey % 5 > 0 and p_partkey % 2 = 1 then 'year' when p_partkey % 7 = 0 then 'parent_key' end as fault from part""",
-    "val_visual_review": """with l as (select * from lineitem where l_orderkey % 3 = 0), n as (select l_orderkey as k, max(l_linenumber) as n, count(*) as c, count(distinct l_linenumber) as d, min(l_linenumber) as lo from l join orders on o_orderkey = l_orderkey group by 1)
+    "val_visual_review": """with l as (select * from lineitem), n as (select l_orderkey as k, max(l_linenumber) as n, count(*) as c, count(distinct l_linenumber) as d, min(l_linenumber) as lo from l join orders on o_orderkey = l_orderkey group by 1)
 select k as review, cast(null as integer) as page, unnest(list_filter([case when k % 7 = 0 then 'status' end, case when k % 11 = 0 then 'source_sha' end, case when k % 13 = 0 then 'output_sha' end, case when k % 17 = 0 then 'reviewer' end, case when k % 17 > 0 and k % 5 = 0 and k % 2 = 1 then 'fallback' end,
   case when k % 19 = 0 then 'contact_sheet' end, case when k % 23 = 0 then 'open_issues' end, case when k % 29 = 0 then 'page_count' end, case when c <> n or d <> n or lo <> 1 then 'coverage' end], lambda x: x is not null)) as code from n
 union all select l_orderkey, cast(l_linenumber as integer), 'evidence' from l where l_suppkey % 9 = 0 or l_partkey % 31 = 0 or l_partkey % 7 = 0 or l_partkey % 5 = 0""",

@@ -88,7 +88,7 @@ def val_counters(spark, sf):
 
 def _findings(spark, sf):
     """Findings of three reviews: of orders by their lines."""
-    l = table(spark, sf, "lineitem").filter("l_orderkey % 4 = 0")
+    l = table(spark, sf, "lineitem")
     return l.select(
         (F.col("l_linenumber") % 3).cast("int").alias("review"), (F.col("l_orderkey") % 40).cast("int").alias("page"), F.when(F.col("l_suppkey") % 3 > 0, F.concat(F.lit("c"), (F.col("l_orderkey") % 25).cast("string"))).alias("category"),
         F.when(F.col("l_orderkey") % 3 > 0, F.concat(F.lit("u"), (F.col("l_orderkey") % 97).cast("string"))).alias("source_unit"), F.concat(F.lit("s"), (F.col("l_partkey") % 5).cast("string")).alias("symptom"),
@@ -174,7 +174,7 @@ verdicts as (select coalesce(base.id, one.id) as id, ord, old, v,
     when trim(v) <> '' and not regexp_matches(regexp_replace(v, '\\[\\[[A-Za-z0-9_]+\\]\\]', '', 'g'), '[㐀-䶿一-鿿]') then 'language' when trim(v) = '' then 'empty' when v = old then 'replayed' when old <> '' then 'frozen' else 'merged' end as verdict
   from base full join one on base.id = one.id)"""
 _FINDINGS = """f as (select l_linenumber % 3 as review, l_orderkey % 40 as page, coalesce(case when l_suppkey % 3 > 0 then 'c' || (l_orderkey % 25) end, 'layout') as category, case when l_orderkey % 3 > 0 then 'u' || (l_orderkey % 97) end as unit,
-  's' || (l_partkey % 5) as symptom, case when l_partkey % 29 = 1 then 'defect-own-' || (l_orderkey % 50) end as own from lineitem where l_orderkey % 4 = 0),
+  's' || (l_partkey % 5) as symptom, case when l_partkey % 29 = 1 then 'defect-own-' || (l_orderkey % 50) end as own from lineitem),
 g as (select *, coalesce(own, 'defect-' || left(sha256('{"category":"' || category || '",' || case when unit is null then '"initial_page":' || page || ',"source_unit":null' else '"source_unit":"' || unit || '"' end || ',"symptom":"' || symptom || '"}'), 16)) as defect_id from f),
 k as (select *, row_number() over (partition by defect_id order by review desc, page desc, symptom desc, category desc) as place from g),
 d0 as (select defect_id, max(case when place = 1 then category end) as category, cast(count(distinct review) as bigint) as reviews from k group by defect_id),
