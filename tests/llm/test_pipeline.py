@@ -84,3 +84,20 @@ def test_defects_go(spark, sf_dir):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2]
     kept = corpus_pipeline.near_dedup(spark, docs.filter("doc_id != 3"), sf_dir)
     assert [r.doc_id for r in kept.filter("text is not null").collect()] == [1]
+
+
+def test_lines_above_the_limit_leave_the_texts(spark, sf_dir):
+    def word(i, k):  # no digits: they fold to 0
+        return "".join("abcdefghij"[int(d)] for d in f"{i:02d}{k:02d}")
+
+    nav = "home and about and contact us"
+    own = {i: "\n".join(" ".join(f"own{word(i, 9 * j + k)}" for k in range(9)) for j in range(8)) for i in range(60)}
+    rows = [(i, f"{nav}\n{text}\n{nav.upper()}", "en", "s", 7) for i, text in own.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.quality_rules(spark, docs, sf_dir)
+    assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {i: (text, len(text)) for i, text in own.items()}
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
