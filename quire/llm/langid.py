@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -209,7 +210,7 @@ def distinct_words(part: pa.Array):
     return w.bytes, w.starts[first], lengths[first], which, w.owner(), w.rows
 
 
-def _by_length(lengths: np.ndarray, limit: int = 60_000):
+def _by_length(lengths: np.ndarray, limit: int = 8_000):
     """Indices of words of like length, at most `limit` a step and fewer of long ones."""
     order = np.argsort(lengths, kind="stable")
     at = 0
@@ -251,20 +252,24 @@ class Model:
         return out, np.bincount(own, minlength=rows)
 
 
-def fit(counts: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int = 4, least: float = 0.05) -> Model:
-    """Piece probabilities by expectation maximisation. counts: language -> word -> times."""
-    languages = sorted(counts)
+def fit(counts: pa.Table | dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int = 4, least: float = 0.05) -> Model:
+    """Piece probabilities by expectation maximisation. counts: a table of lang, word (binary), n, or language -> word -> times."""
+    if isinstance(counts, dict):
+        rows = [(lang, w, n) for lang in counts for w, n in counts[lang].items()]
+        counts = pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], [], []), (pa.string(), pa.binary(), pa.int64()))], ["lang", "word", "n"])
+    languages = sorted(pc.unique(counts["lang"]).to_pylist())
     lattice = Lattice(pieces)
     p = np.full((len(pieces), len(languages)), 1.0 / len(pieces))
     for k, lang in enumerate(languages):
-        words = [w for w in counts[lang] if 0 < len(w) <= LONGEST_LEARNED]
-        times = np.array([counts[lang][w] for w in words], float)
-        lengths = np.array([len(w) for w in words], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        data = np.frombuffer(b"".join(words), np.uint8)
+        rows = counts.filter(pc.equal(counts["lang"], lang)).sort_by("word").combine_chunks()  # the same model whatever the order of the rows
+        words = rows["word"].combine_chunks().cast(pa.large_binary())
+        bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data, times, lengths = np.frombuffer(words.buffers()[2] or b"", np.uint8), rows["n"].to_numpy().astype(float), np.diff(bounds)
+        some = np.flatnonzero((lengths > 0) & (lengths <= LONGEST_LEARNED))
+        starts, times, lengths = bounds[:-1][some], times[some], lengths[some]
         for _ in range(rounds):
             uses = np.full(len(pieces), least)
-            for at in _by_length(lengths, 20_000):
+            for at in _by_length(lengths):
                 uses += lattice.expected(data, starts[at], lengths[at], times[at], p[:, k])
             p[:, k] = uses / uses.sum()
     return Model(languages, pieces, p)
@@ -290,10 +295,7 @@ def learn(docs: DataFrame, pieces: list[bytes], lang: str = "lang", per_language
     rows = sample(docs, lang, per_language)
     word = F.explode(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
     counted = rows.select("lang", word.alias("word")).filter(F.octet_length("word") <= LONGEST_LEARNED).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    counts: dict[str, dict[bytes, int]] = {}
-    for r in counted.collect():  # the words of the sample
-        counts.setdefault(r["lang"], {})[r["word"].encode()] = r["n"]
-    return fit({k: dict(sorted(v.items())) for k, v in counts.items()}, pieces)
+    return fit(counted.select("lang", F.col("word").cast("binary").alias("word"), "n").toArrow(), pieces)  # the words of the sample
 
 
 def tagged(docs: DataFrame, model: Model) -> DataFrame:
