@@ -9,7 +9,10 @@ from quire.operators import state as S
 from quire.operators.paper import PAPER_SQL, paper
 from quire.operators.units import UNITS_SQL, table, units
 
-_HAN = F.col("_words").rlike("[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]")
+
+
+def _has_han():
+    return F.col("_words").rlike("[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]")
 
 
 def _base(spark, sf):
@@ -33,13 +36,13 @@ def _batch(spark, sf):
 
 def state_merge(spark, sf):
     """Verdicts of a batch against a checkpoint."""
-    return S.merge(_base(spark, sf), _batch(spark, sf), "id", "translated_text", protected="protected_text", language=_HAN).select("id", "ord", "translated_text", "verdict")
+    return S.merge(_base(spark, sf), _batch(spark, sf), "id", "translated_text", protected="protected_text", language=_has_han()).select("id", "ord", "translated_text", "verdict")
 
 
 def state_merge_whole(spark, sf):
     """The same, where the rows of one document are a batch that is applied whole or not at all."""
     base = _base(spark, sf)
-    m = S.merge(base, _batch(spark, sf), "id", "translated_text", protected="protected_text", language=_HAN)
+    m = S.merge(base, _batch(spark, sf), "id", "translated_text", protected="protected_text", language=_has_han())
     return S.all_or_nothing(m, base, "id", "translated_text", F.regexp_extract("id", r"^d(\d+)-", 1)).select("id", "translated_text", "verdict")
 
 
@@ -77,7 +80,7 @@ def val_strict(spark, sf):
         .when(n == 4, "[[P0001]][[B1_OPEN]]汉[[B1_CLOSE]]").when(n == 5, "[[P0001]][[B1_OPEN]]latin[[B1_CLOSE]]").otherwise("[[P0001]][[F1_0001]][[B1_OPEN]]汉[[B1_CLOSE]]")
     )
     cp = u.filter("ord % 11 != 7").select("id", t.alias("translated_text")).union(u.filter("ord % 17 = 5").select(F.concat("id", F.lit("-x")), F.lit("t")))
-    return R.checkpoint_errors(toks, cp, _HAN)
+    return R.checkpoint_errors(toks, cp, _has_han())
 
 
 def val_counters(spark, sf):
