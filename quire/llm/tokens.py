@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Entries of each of the two generations of a cache; bounds the memory of a worker.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 220_000
 
 #: Characters on which regex engines disagree whether they are white space.
 _ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
