@@ -20,6 +20,8 @@ from quire.session import cut
 
 #: Weights of the sources in code-point order, repeated.
 WEIGHTS = (3, 1, 2)
+#: Sources are sent to all executors only if their names and sizes take at most so many bytes.
+BROADCAST_BYTES = 8 << 20
 
 
 def words(text: Column) -> Column:
@@ -65,6 +67,9 @@ def mix(docs: DataFrame, percent: int = 150, most: int = 2, weights: tuple[int,
     # summed in each task before it is dealt out; one row a source
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = cut(targets(sizes, percent, most, weights)).withColumnRenamed("source", "mix_name")
+    held = plan.agg(F.sum(F.coalesce(F.octet_length("mix_name"), F.lit(0)) + 32)).first()[0] or 0
+    if held <= BROADCAST_BYTES:  # so few sources that rows stay where they are; beyond, rows are dealt out by source
+        plan = F.broadcast(plan)
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("mix_name")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     text_key = F.coalesce(F.md5(F.col("text").cast("string")), F.lit(""))
