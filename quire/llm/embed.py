@@ -94,7 +94,9 @@ def _block(table: pa.Table, cosine: float, tables: int, signs: int, planes: dict
         a, b = np.nonzero(linked)
         a = a + lo
         if len(a) and at and codes is None:
-            codes = _codes(x, planes.setdefault(width, hyperplanes(width, tables, signs, seed)), tables, signs)
+            if width not in planes:
+                planes[width] = hyperplanes(width, tables, signs, seed)
+            codes = _codes(x, planes[width], tables, signs)
         for t in range(at):
             if not len(a):
                 break
