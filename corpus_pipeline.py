@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import langid, minhash, mixing, packing, quality
 from quire.llm.tokens import public_tokenizer
-from quire.session import work_path
+from quire.session import passing_shuffles, work_path
 
 #: Documents whose predicted language gets a smaller share than this are rejected.
 LEAST_SCORE = 0.5
@@ -75,6 +75,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = work_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        kept = stage(spark, docs, sf_dir)
+        with passing_shuffles(spark):
+            kept.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -1,5 +1,7 @@
 """Each stage of the pipeline against brute force, on its own input."""
 
+import os
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -98,6 +100,35 @@ def test_lines_above_the_limit_leave_the_texts(spark, sf_dir):
     assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {i: (text, len(text)) for i, text in own.items()}
 
 
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {os.path.join(at, x) for top in folders for at, _, names in os.walk(str(top)) for x in names if x.startswith("shuffle_")}
+
+
+def left_after(spark, before):
+    """Shuffle files that stay; they go in the background."""
+    for _ in range(20):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    return left
+
+
+def test_near_dedup_leaves_no_shuffle_files(spark, stages, sf_dir):
+    before = shuffle_files(spark)
+    kept = corpus_pipeline.near_dedup(spark, stages[2], sf_dir)
+    assert not left_after(spark, before)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, stages[3].collect()))
+
+
+def test_run_leaves_no_shuffle_files(spark, stages, sf_dir):
+    before = shuffle_files(spark)
+    ids = Counter(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).filter("start = 0").collect())
+    assert ids == Counter(r.doc_id for r in stages[5].filter("start = 0").collect())
+    left = left_after(spark, before)
+    assert sum(os.path.getsize(x) for x in left if x.endswith(".data")) < 1000  # a sum that the driver asks for
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
