@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm.files import make_dir, opened
+from quire.llm.text import frugal
 from quire.llm.tokens import encoder
 from quire.session import cut, ship, work_path
 
@@ -168,19 +169,19 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
         enc = encoder(tokenizer)
         end = struct.pack("<I", end_id)
         for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for d, ids in zip(batch.column(0).to_pylist(), enc.many(batch.column(1))):
                 if writer is None:
                     system, place = opened(path)
                     stream = system.open_output_stream(place)
                     writer = Writer(stream, width(max(enc.vocab_size, end_id + 1)))
-                writer.add(d, enc.ids(text.as_py()) + end)
+                writer.add(d, ids + end)
         if writer is not None:
             writer.close()
             stream.close()
             yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "path": path, "documents": len(writer.docs), "tokens": writer.tokens}])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = cut(rows.mapInArrow(run, "shard long, path string, documents long, tokens long"))
+    manifest = cut(rows.mapInArrow(frugal(run), "shard long, path string, documents long, tokens long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -206,4 +207,4 @@ def read_digests(manifest: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = max(1, manifest.count())  # so many tasks: the rows are small, the files are not
-    return manifest.select("path", "first").repartition(files, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "first").repartition(files, "path").mapInArrow(frugal(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
