@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.text import frugal
 from quire.llm.tokens import encoder
 from quire.session import cut, ship
 
@@ -206,8 +207,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, kee
             enc = encoder(tokenizer)
             for batch in batches:
                 packer = packer or Packer(capacity, _fits(sentence_ends(tokenizer), end_id), keep_ids)
-                for d, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = enc.ids(text.as_py()) + end
+                for d, ids in zip(batch.column(0).to_pylist(), enc.many(batch.column(1))):
+                    ids += end
                     yield from packer.add(d, len(ids) // 4, 0, ids)
             if packer:
                 yield from packer.remainder()
@@ -215,7 +216,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, kee
         yield from _batches((shard if r[8] else shard + r[0], *r[1:]) for r in rows())
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    pieces = cut(source.mapInArrow(run, _PIECE))
+    pieces = cut(source.mapInArrow(frugal(run), _PIECE))
     tails = pieces.filter("tail").withColumn("together", F.shiftright("sequence_id", 32) / TAILS_TOGETHER)
 
     def join_tails(key, table):

@@ -2,10 +2,11 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from quire.llm.packing import best_cuts, pack
-from quire.llm.tokens import public_tokenizer
+from quire.llm.tokens import Encoder, public_tokenizer
 
 
 def test_cuts_cost_least():
@@ -69,3 +70,13 @@ def test_edges(spark):
     assert pack(df.limit(0), public_tokenizer("word_bpe_49k.json"), 2).count() == 0
     again = spark.createDataFrame([(7, "same"), (7, "same"), (None, "x")], "doc_id long, text string")
     assert sorted(r.doc_id or 0 for r in pack(again, public_tokenizer("word_bpe_49k.json"), 2).collect()) == [0, 7, 7]
+
+
+def test_a_word_is_tokenized_once_for_all_texts():
+    enc, seen = Encoder(public_tokenizer("word_bpe_49k.json")), []
+    for cache in (enc.words, enc.rest.pre):
+        cache.tokenize = lambda letters, f=cache.tokenize: seen.append(letters) or f(letters)
+    texts = [f"{a}nother wÖrd{a} wÖrd{mark}" for a in "abc" for mark in ("", ",", ".", "$$$", "!?")]
+    assert list(enc.many(pa.array(texts))) == [enc.whole(t) for t in texts]
+    words = [x for x in seen if x[0].isalpha()]
+    assert len(words) == len(set(words)) == 7
