@@ -11,6 +11,7 @@ so a monotone queue of f(i) + i gives each minimum in constant time.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections import deque
@@ -21,9 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import frugal
+from quire.llm.text import frugal, hand_back
 from quire.llm.tokens import encoder
-from quire.session import cut, ship
+from quire.session import cut, ship, small_batches
 
 #: Cost, in tokens of padding, of a cut at a sentence end and of a cut inside a sentence.
 SENTENCE_CUT, INNER_CUT = 8, 64
@@ -72,7 +73,7 @@ def best_cuts(places: list[int], penalties: list[int], capacity: int, closed: bo
 def allowed_cuts(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray) -> tuple[list[int], list[int]]:
     """Places where the stream may be cut and their penalties; doc_ends ascending, up to len(ids)."""
     n = len(ids)
-    penalty = np.full(n + 1, -1, np.int64)
+    penalty = np.full(n + 1, -1, np.int16)
     penalty[np.flatnonzero(sentence_end[ids]) + 1] = SENTENCE_CUT
     penalty[doc_ends] = 0
     penalty[0] = penalty[n] = 0
@@ -156,6 +157,7 @@ def _powers(begin: int, end: int, capacity: int) -> list[int]:
     return out
 
 
+@functools.cache
 def sentence_ends(tokenizer: str) -> np.ndarray:
     """For each id whether it ends a sentence: a token of punctuation that ends in . ! or ?"""
     with open(tokenizer, encoding="utf-8") as f:
@@ -210,13 +212,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, kee
                 for d, ids in zip(batch.column(0).to_pylist(), enc.many(batch.column(1))):
                     ids += end
                     yield from packer.add(d, len(ids) // 4, 0, ids)
+                hand_back()
             if packer:
                 yield from packer.remainder()
 
         yield from _batches((shard if r[8] else shard + r[0], *r[1:]) for r in rows())
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    pieces = cut(source.mapInArrow(frugal(run), _PIECE))
+    with small_batches(spark):
+        pieces = cut(source.mapInArrow(frugal(run), _PIECE))
     tails = pieces.filter("tail").withColumn("together", F.shiftright("sequence_id", 32) / TAILS_TOGETHER)
 
     def join_tails(key, table):

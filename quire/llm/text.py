@@ -19,6 +19,12 @@ SLICE_BYTES = 4 << 20
 #: Words longer than this are hashed one by one.
 LONG_WORD = 64
 
+def hand_back() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+
 def frugal(run):
     """run(batches) for mapInArrow, after which the worker hands freed memory back: idle workers live on beside later stages."""
 
@@ -27,8 +33,7 @@ def frugal(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+            hand_back()
 
     return wrapped
 

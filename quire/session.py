@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 FALLBACK_DIR = "file:///tmp/checkpoints/quire"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _shipped: dict[str, str] = {}
 
@@ -66,6 +67,17 @@ def passing_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Actions inside send Python workers Arrow batches of about `most` bytes, or of one longer row, not 10,000 rows of any length."""
+    was = spark.conf.get(_BATCH_BYTES, None)
+    spark.conf.set(_BATCH_BYTES, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_BYTES) if was is None else spark.conf.set(_BATCH_BYTES, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage by a reliable checkpoint in the shared folder; its shuffle files go."""
     shared_dir(df.sparkSession)

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from quire.llm import packing
 from quire.llm.packing import best_cuts, pack
 from quire.llm.tokens import Encoder, public_tokenizer
 
@@ -80,3 +81,26 @@ def test_a_word_is_tokenized_once_for_all_texts():
     assert list(enc.many(pa.array(texts))) == [enc.whole(t) for t in texts]
     words = [x for x in seen if x[0].isalpha()]
     assert len(words) == len(set(words)) == 7
+
+
+def test_workers_get_few_bytes_at_once(spark, monkeypatch):
+    limit, most, cut = "spark.sql.execution.arrow.maxBytesPerBatch", [], packing.cut
+    texts = spark.range(1000).selectExpr("id doc_id", "repeat('Word. ', 2000 + 100000 * int(id = 7)) text")  # 12 kB each, one of 600 kB
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["m"])
+
+    def spied(df):
+        most.append(max(r.m for r in texts.coalesce(1).mapInArrow(sizes, "m long").collect()))
+        return cut(df)
+
+    monkeypatch.setattr(packing, "cut", spied)
+    before = spark.conf.get(limit, None)
+    pieces = pack(texts, public_tokenizer("word_bpe_49k.json"), 2).collect()
+    assert most and max(most) < 6 << 20  # all 13 MB before
+    assert spark.conf.get(limit, None) == before
+    held = {}
+    for p in pieces:
+        held[p.doc_id] = held.get(p.doc_id, 0) + p.length
+    assert held == {i: 204001 if i == 7 else 4001 for i in range(1000)}
