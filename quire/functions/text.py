@@ -36,7 +36,7 @@ def normal_body(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?<=[A-Za-z])-\s*\n+\s*(?=[a-z])", "")
     c = F.regexp_replace(c, "(?<=" + HAN + ")\\s*\\n+\\s*(?=" + HAN + "|[\\d，。；：！？、）])", "")
     c = F.regexp_replace(c, "(?<=\\d)\\s*\\n+\\s*(?=" + HAN + ")", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*\n+\s*", " "), r"[ \t]+", " "))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\s*\n+\s*", " "), r"[ \t]+", " "), r"^\p{Zs}+|\p{Zs}+\z", "")
 
 
 def compare_key(c: Column) -> Column:
@@ -57,10 +57,10 @@ def heading_level(c: Column) -> Column:
     return F.when(number != "", F.length(number) - F.length(F.replace(number, F.lit("."))) + 1).otherwise(1)
 
 
-def numbered_heading(c: Column) -> Column:
-    """Section number and title parted by an ideographic space."""
-    c = normal_space(c)
-    return F.regexp_replace(c, "^(\\d+(?:\\.\\d+)*)[.)]?[ \\u00a0\\u3000]+(.+)$", "$1　$2")
+def numbered_heading(c: Column, space: str = r"(?U)\s+") -> Column:
+    """Section number and title parted by an ideographic space; space is the pattern of what is squeezed to one blank."""
+    c = F.regexp_replace(F.regexp_replace(c, space, " "), r"^ | \z", "")
+    return F.regexp_replace(c, r"(?s)^(\d+(?:\.\d+)*)[.)]?[ \u00a0\u3000]+(.+)\z", "$1　$2")
 
 
 def join_continuation(left: Column, right: Column) -> Column:
