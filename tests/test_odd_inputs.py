@@ -26,3 +26,7 @@ def same_as_sql(spark, path, name):
 
 def test_headings_without_title_or_with_wide_blanks(spark, tmp_path):
     same_as_sql(spark, documents(spark, tmp_path, ["", " ", "\nx", " a  b ", "a b ", "　a", " a", "a b", "a\x0bb", "3.5 x", None]), "f_heading")
+
+
+def test_bodies_that_end_in_digits_or_blanks(spark, tmp_path):
+    same_as_sql(spark, documents(spark, tmp_path, ["tail 5", "", " ", "a\n", "汉5", " a", "er er 7\n", "a, b. 1", None]), "f_norm_body")
