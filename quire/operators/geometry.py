@@ -26,6 +26,12 @@ def area(p: str = "") -> Column:
     return (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
 
 
+def rounded(c: str | Column, digits: int) -> Column:
+    """A double rounded as SQL and C do, half away from zero after it is multiplied; F.round goes by its shortest decimal digits instead."""
+    scaled = F.abs(c) * F.lit(10.0**digits)
+    return F.signum(c) * (F.floor(scaled) + (scaled - F.floor(scaled) >= 0.5).cast("int")) / F.lit(10.0**digits)
+
+
 def prefixed(df: DataFrame, p: str, keep: tuple[str, ...] = ("page",)) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(f"{p}{c}") for c in df.columns])
 
@@ -92,7 +98,7 @@ def merged_lines(lines: DataFrame) -> DataFrame:
             a, b = sorted((find(a), find(b)))
             root[b] = a
 
-        tolerance = lambda r, rule: max(rule[0], rule[1] * r[5])
+        tolerance = lambda r, rule: max(rule[0], round(rule[1] * r[5], 9))
         widest = max((tolerance(r, SAME_LINE) for r in body), default=0.0)
         for i, a in enumerate(body):
             for b in body[i + 1 :]:
@@ -104,7 +110,9 @@ def merged_lines(lines: DataFrame) -> DataFrame:
         for r in rows:
             if r[2] != "body":
                 t = tolerance(r, FORMULA_LINE)
-                near = [b for b in body[bisect_left(places, r[0] - t) : bisect_right(places, r[0] + t)] if min(r[4], b[4]) > max(r[3], b[3])]
+                # a sum may be rounded to the other side of a place; the difference decides
+                near = body[bisect_left(places, r[0] - t - 1e-6) : bisect_right(places, r[0] + t + 1e-6)]
+                near = [b for b in near if abs(r[0] - b[0]) <= t and min(r[4], b[4]) > max(r[3], b[3])]
                 if near:
                     join(r[1], min(near, key=lambda b: (abs(b[0] - r[0]), b[1]))[1])
         return [(page, r[1], find(r[1])) for r in rows]

@@ -30,3 +30,16 @@ def test_headings_without_title_or_with_wide_blanks(spark, tmp_path):
 
 def test_bodies_that_end_in_digits_or_blanks(spark, tmp_path):
     same_as_sql(spark, documents(spark, tmp_path, ["tail 5", "", " ", "a\n", "汉5", " a", "er er 7\n", "a, b. 1", None]), "f_norm_body")
+
+
+def test_baselines_at_the_very_tolerance(spark):
+    """268.1 - 229.6 is above 38.5 in doubles, though 229.6 + 38.5 reaches 268.1; a line at 17.1, 0.18 times its size."""
+    rows = [(1, 1, "body", 0.0, 9.0, 268.1, 45.0), (1, 2, "equation", 0.0, 9.0, 229.6, 70.0), (2, 1, "body", 0.0, 9.0, 17.1, 95.0), (2, 2, "body", 0.0, 9.0, 0.0, 145.0)]
+    lines = spark.createDataFrame(rows, "page long, n int, kind string, x0 double, x1 double, baseline double, size double")
+    assert sorted(map(tuple, geometry.merged_lines(lines).collect())) == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 1)]
+
+
+@pytest.mark.parametrize("value", [0.25, 8.35, 268.04999999999995, 4.449999999999999, -0.25, 0.05, 1.15])
+def test_rounded_as_sql(spark, value):
+    want = duckdb.connect().execute("select round(?::double, 1)", [value]).fetchall()[0][0]
+    assert spark.range(1).select(geometry.rounded(F.lit(value), 1).alias("x")).first().x == want
