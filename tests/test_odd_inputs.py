@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import geometry
+from quire.operators import folds, geometry, joins, state
 from quire.plans import catalog
 
 
@@ -43,3 +43,22 @@ def test_baselines_at_the_very_tolerance(spark):
 def test_rounded_as_sql(spark, value):
     want = duckdb.connect().execute("select round(?::double, 1)", [value]).fetchall()[0][0]
     assert spark.range(1).select(geometry.rounded(F.lit(value), 1).alias("x")).first().x == want
+
+
+def test_cascade_moves_blocks_not_pairs(spark, monkeypatch):
+    """Pairs of common keys are made where the result is; over block ends none is lost or doubled."""
+    monkeypatch.setattr(joins, "BLOCK", 3)
+    rows = [(i, "10.1/a" if i % 3 else None, "2001.1" if i % 5 == 1 else None, f"t{i % 2}", "2001", "k") for i in range(40)]
+    e = spark.createDataFrame(rows[:20], "item_id long, doi string, arxiv string, title string, year string, parent_key string")
+    c = spark.createDataFrame([(*r[:5], "K", None) for r in rows[20:]], "item_id long, doi string, arxiv string, title string, year string, key string, kind string")
+    got = joins.cascade(e, c)
+    want = set()
+    for i, d, a, t, *_ in rows[:20]:
+        for j, d2, a2, t2, *_ in rows[20:]:
+            if d == d2 if d else a == a2 if a else t == t2:
+                want.add((i, j, "doi" if d else "arxiv" if a else "title+year"))
+            elif t == t2 and (not d or not d2 or d == d2) and (not a or not a2 or a == a2):
+                want.add((i, j, "source-parent-key"))
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert "LeftAnti" not in got._jdf.queryExecution().toString()
