@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.operators import evidence as E
+from quire.operators import folds
 from quire.operators.units import UNITS_SQL, table, units
-from quire.operators.windows import islands, ordered
 
 
 def _text(c):
@@ -106,14 +105,7 @@ def proj_compact(spark, sf):
 
 def win_coalesce_style(spark, sf):
     """Neighbouring words of one style, parted by white space alone, are one run."""
-    u = units(spark, sf).select("id", "source_text", F.posexplode(F.split("source_text", " ")).alias("k", "word"))
-    w = Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    u = u.withColumn("start", F.coalesce(F.sum(F.length("word") + 1).over(w), F.lit(0)))
-    u = u.filter(F.length("word") != 3).filter("word != ''").select("id", "source_text", "start", (F.col("start") + F.length("word")).alias("end"), F.when(F.length("word") % 2 == 0, "bold").otherwise("italic").alias("kind"))
-    by = ordered("id", order="start")
-    gap = F.substring("source_text", (F.lag("end").over(by) + 1).cast("int"), (F.col("start") - F.lag("end").over(by)).cast("int"))
-    r = islands(u, ["id"], "start", (F.lag("kind").over(by) == F.col("kind")) & gap.rlike(r"(?U)^\s+$"))
-    return r.groupBy("id", "island", "kind").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("id", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return folds.word_runs(units(spark, sf))
 
 
 SQL = {

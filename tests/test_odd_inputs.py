@@ -62,3 +62,10 @@ def test_cascade_moves_blocks_not_pairs(spark, monkeypatch):
     found = [tuple(r) for r in got.collect()]
     assert len(found) == len(want) and set(found) == want
     assert "LeftAnti" not in got._jdf.queryExecution().toString()
+
+
+def test_word_runs_shuffle_nothing(spark):
+    u = spark.createDataFrame([("a", "ab cd  ef x yyy z"), ("b", None), ("c", ""), ("d", "q \t\t\t w")], "id string, source_text string")
+    got = folds.word_runs(u)
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == [("a", "bold", 0, 9), ("a", "italic", 10, 11), ("a", "italic", 16, 17), ("d", "italic", 0, 1), ("d", "italic", 6, 7)]
