@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.folds import by_group
 from quire.session import cut
 
 
@@ -86,20 +87,21 @@ def replay(units: DataFrame, operations: DataFrame, doc: str = "doc_id") -> Data
     """Apply ordered operations (doc_id, step, op, id, text) to the units of each document (doc_id, ord, id, source_text).
 
     suppress drops a unit, replace gives it other text, insert puts a new unit (<id>-review) behind one; operations on units that were put in
-    count too. An operation on an id that isn't there leaves the document as it was, since a review is applied whole or not at all. One fold
-    a document over its operations alone, in time linear in its rows; texts of units that no operation names don't enter it.
+    count too. An operation on an id that isn't there, or an insert whose id is there, leaves the document as it was, since a review is applied whole or not
+    at all. One fold over the streamed rows of each document, in time linear in its rows; rows are dealt out once, with their texts.
     """
-    import pandas as pd
 
-    def fold(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def fold(key, rows):
         # next unit of each: units and what is put in behind them are a chain
-        ids = left.sort_values("ord")["id"].tolist()
-        after = dict(zip([None, *ids], [*ids, None]))
-        before = {b: a for a, b in after.items() if b is not None}
-        text: dict = {}
-        for op, i, t in right.sort_values("step")[["op", "op_id", "op_text"]].itertuples(index=False):
-            if i not in before:
-                after, text = dict(zip([None, *ids], [*ids, None])), {}
+        had = {i: t for _, side, _, _, i, t in rows if side == 0}
+        text, after, before = dict(had), dict(zip([None, *had], [*had, None])), dict(zip([*had, None], [None, *had]))
+        del before[None]
+        for _, side, _, op, i, t in rows:
+            if side == 0:
+                continue
+            new = f"{i}-review"
+            if i not in before or (op == "insert" and new in before):
+                text, after = had, dict(zip([None, *had], [*had, None]))
                 break
             if op == "suppress":
                 a, b = before.pop(i), after.pop(i)
@@ -109,19 +111,16 @@ def replay(units: DataFrame, operations: DataFrame, doc: str = "doc_id") -> Data
             elif op == "replace":
                 text[i] = t
             elif op == "insert":
-                new, b = f"{i}-review", after[i]
+                b = after[i]
                 after[i], after[new], before[new], text[new] = new, b, i, t
                 if b is not None:
                     before[b] = new
         out, at = [], after[None]
         while at is not None:
-            out.append((key[0], len(out) + 1, at, text.get(at), at in text))
+            out.append((key, len(out) + 1, at, text[at]))
             at = after[at]
-        return pd.DataFrame(out, columns=["doc_id", "ord", "id", "new_text", "rewritten"])
-
-    operations = operations.select(F.col(doc).alias("op_doc"), "step", "op", F.col("id").alias("op_id"), F.col("text").alias("op_text"))
-    units = units.select(F.col(doc).alias("doc_id"), "ord", "id", "source_text")
-    places = units.select("doc_id", "ord", "id").groupBy("doc_id").cogroup(operations.groupBy("op_doc"))
-    places = places.applyInPandas(fold, "doc_id long, ord long, id string, new_text string, rewritten boolean")
-    out = places.join(units.select(F.col("doc_id").alias("_d"), F.col("id").alias("_i"), "source_text"), (F.col("doc_id") == F.col("_d")) & (F.col("id") == F.col("_i")), "left")
-    return out.select("doc_id", "ord", "id", F.when(F.col("rewritten"), F.col("new_text")).otherwise(F.col("source_text")).alias("source_text"))
+        return out
+
+    rows = units.select(F.col(doc).alias("doc_id"), F.lit(0).alias("side"), F.col("ord").cast("long").alias("at"), F.lit(None).cast("string").alias("op"), "id", F.col("source_text").alias("text"))
+    rows = rows.unionByName(operations.select(F.col(doc).alias("doc_id"), F.lit(1).alias("side"), F.col("step").cast("long").alias("at"), "op", "id", "text"))
+    return by_group(rows, "doc_id", ["side", "at"], fold, "doc_id long, ord long, id string, source_text string")

@@ -69,3 +69,12 @@ def test_word_runs_shuffle_nothing(spark):
     got = folds.word_runs(u)
     assert "Exchange" not in got._jdf.queryExecution().toString()
     assert sorted(map(tuple, got.collect())) == [("a", "bold", 0, 9), ("a", "italic", 10, 11), ("a", "italic", 16, 17), ("d", "italic", 0, 1), ("d", "italic", 6, 7)]
+
+
+def test_review_that_inserts_an_id_twice_is_refused(spark):
+    u = spark.createDataFrame([(1, 1, "a", "t"), (1, 2, "b", None)], "doc_id long, ord long, id string, source_text string")
+    ops = spark.createDataFrame([(1, 1, "replace", "a", "r"), (1, 2, "insert", "a", "i"), (1, 3, "insert", "a", "j")], "doc_id long, step long, op string, id string, text string")
+    once = state.replay(u, ops.filter("step < 3"))
+    assert "Join" not in once._jdf.queryExecution().toString() and "FlatMapCoGroups" not in once._jdf.queryExecution().toString()
+    assert [tuple(r) for r in once.orderBy("ord").collect()] == [(1, 1, "a", "r"), (1, 2, "a-review", "i"), (1, 3, "b", None)]
+    assert [r.id for r in state.replay(u, ops).orderBy("ord").collect()] == ["a", "b"]
