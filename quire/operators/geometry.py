@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,17 +123,48 @@ def merged_lines(lines: DataFrame) -> DataFrame:
     return by_group(lines.select("page", "baseline", "n", "kind", "x0", "x1", "size"), "page", ["baseline", "n"], fold, "page long, n int, line int")
 
 
-def reading_order(df: DataFrame, by: list[str], tie: str) -> DataFrame:
-    """Wide boxes split a page into bands; inside a band the left lane comes before the right one."""
-    w = Window.partitionBy(*by)
-    left, right = F.min("x0").over(w), F.max("x1").over(w)
-    df = df.withColumn("wide", F.col("x1") - F.col("x0") >= WIDE * (right - left))
-    df = df.withColumn("lane", F.when((F.col("x0") + F.col("x1")) / 2 < (left + right) / 2, 0).otherwise(1))
-    above = w.orderBy("y0", "x0", tie).rowsBetween(Window.unboundedPreceding, -1)
-    is_wide = F.col("wide").cast("int")
-    df = df.withColumn("band", F.coalesce(F.sum(is_wide).over(above), F.lit(0)) + is_wide)
-    order = [F.col("band"), 1 - is_wide, F.when(F.col("wide"), 0).otherwise(F.col("lane")), "y0", "x0", tie]
-    return df.withColumn("place", F.row_number().over(w.orderBy(*order)))
+def reading_order(boxes: DataFrame) -> DataFrame:
+    """Place of each of boxes (page, n, x0, y0, x1) on its page: wide boxes split it into bands; inside a band the left lane comes before the right one.
+
+    Rows are dealt out by page and sorted once, by y0, x0 and n. In that order a band is a stretch that begins with its wide box, so a stable sort by stretch and lane gives the places; pages are held while they last.
+    """
+
+    def pages(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("page").cast(pa.int64()).fill_null(-(1 << 63)).to_numpy()
+
+    def places(batch: pa.RecordBatch) -> pa.RecordBatch:
+        page, x0, x1 = pages(batch), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("x0", "x1"))
+        begins = np.append(True, page[1:] != page[:-1])
+        first, which = np.flatnonzero(begins), np.cumsum(begins) - 1
+        left, right = np.fmin.reduceat(x0, first)[which], np.fmax.reduceat(x1, first)[which]
+        wide = x1 - x0 >= WIDE * (right - left)
+        lane = np.where(wide, 0, np.where((x0 + x1) / 2 < (left + right) / 2, 1, 2))
+        order = np.argsort(np.cumsum(begins | wide) * 4 + lane, kind="stable")
+        place = np.empty(len(page), np.int32)
+        place[order] = np.arange(len(page)) - first[which] + 1
+        return pa.RecordBatch.from_arrays([batch.column("page"), batch.column("n"), pa.array(place)], ["page", "n", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            page = pages(batch)
+            # rows before the last page that the batch reaches, which may go on in the next one
+            whole = int(np.searchsorted(page, page[-1]))
+            if held and page[0] != pages(held[-1])[-1]:
+                yield places(pa.concat_batches(held))
+                held = []
+            if whole:
+                yield places(pa.concat_batches([*held, batch.slice(0, whole)]))
+                held, batch = [], batch.slice(whole)
+            held.append(batch)
+        if held:
+            yield places(pa.concat_batches(held))
+
+    rows = boxes.select("page", "n", "x0", "y0", "x1").repartition("page").sortWithinPartitions("page", "y0", "x0", "n")
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
+    return rows.mapInArrow(run, f"page {kinds['page']}, n {kinds['n']}, place int")
 
 
 def column_vote(df: DataFrame, by: list[str]) -> DataFrame:

@@ -92,7 +92,7 @@ def sort_reading(spark, sf):
     """Reading order: wide boxes split a page into bands; in a band the left lane, then the right."""
     from quire.operators.geometry import reading_order
 
-    return reading_order(boxes(spark, sf), ["page"], "n").select("page", "n", "place")
+    return reading_order(boxes(spark, sf))
 
 
 def limit_next(spark, sf):

@@ -78,3 +78,31 @@ def test_review_that_inserts_an_id_twice_is_refused(spark):
     assert "Join" not in once._jdf.queryExecution().toString() and "FlatMapCoGroups" not in once._jdf.queryExecution().toString()
     assert [tuple(r) for r in once.orderBy("ord").collect()] == [(1, 1, "a", "r"), (1, 2, "a-review", "i"), (1, 3, "b", None)]
     assert [r.id for r in state.replay(u, ops).orderBy("ord").collect()] == ["a", "b"]
+
+
+def test_list_flow_streams(spark, tmp_path):
+    got = catalog.queries()["win_list_flow"](spark, documents(spark, tmp_path, ["a\nb\nc", "", None]))
+    assert "InPandas" not in got._jdf.queryExecution().toString() and got.count() == 4
+
+
+def test_reading_order_of_pages_over_batches(spark):
+    """Pages longer than an Arrow batch keep their places; rows are sorted once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        b = spark.range(40).selectExpr("cast(sqrt(id) as long) as page", "cast(id as int) as n", "double(id * 7 % 5) as x0", "double(id * 3 % 11) as y0", "double(id * 7 % 5 + id % 6) as x1")
+        frame = geometry.reading_order(b)
+        assert "Window" not in frame._jdf.queryExecution().toString()
+        got = {(r.page, r.n): r.place for r in frame.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pages = {}
+    for r in b.collect():
+        pages.setdefault(r.page, []).append(r)
+    for page, rows in pages.items():
+        left, right, band, keyed = min(r.x0 for r in rows), max(r.x1 for r in rows), 0, []
+        for r in sorted(rows, key=lambda r: (r.y0, r.x0, r.n)):
+            wide = r.x1 - r.x0 >= 0.6 * (right - left)
+            band += wide
+            keyed.append((band, not wide, 0 if wide else (r.x0 + r.x1) / 2 >= (left + right) / 2, r.y0, r.x0, r.n))
+        for place, k in enumerate(sorted(keyed), 1):
+            assert got[page, k[-1]] == place
